@@ -68,3 +68,23 @@ WITH s AS (
 SELECT doc_id, size, source_size, target, CAST(coalesce(sum(words * times), 0) AS BIGINT) AS taken
 FROM r WHERE size > 0 OR block IS NULL GROUP BY doc_id, rank, place, size, source_size, target
 """
+
+OP9 = r"""
+WITH i AS (
+  SELECT item_id, w, least(5, len(w)) AS gram FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT item_id, gram, array_to_string(w[k:k + gram - 1], ' ') AS shingle
+  FROM (SELECT item_id, gram, w, unnest(range(1, len(w) - gram + 2)) AS k FROM i)
+), n AS (
+  SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id
+), d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, gram, array_to_string(w[k:k + gram - 1], ' ') AS shingle
+  FROM (SELECT doc_id, gram, w, unnest(range(1, len(w) - gram + 2)) AS k FROM d, (SELECT DISTINCT gram FROM i))
+), h AS (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM g JOIN s USING (gram, shingle) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM h JOIN n USING (item_id)
+WHERE 10 * n_shared >= 8 * n_item
+"""
