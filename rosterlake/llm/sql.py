@@ -88,3 +88,24 @@ WITH i AS (
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM h JOIN n USING (item_id)
 WHERE 10 * n_shared >= 8 * n_item
 """
+
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[k] || ' ' || w[k + 1] END AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS k FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s AS x JOIN s AS y USING (shingle) JOIN n AS nx ON nx.doc_id = x.doc_id JOIN n AS ny ON ny.doc_id = y.doc_id
+  WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, nx.n, ny.n
+  HAVING 100 * count(*) >= 80 * (nx.n + ny.n - count(*))
+), r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""

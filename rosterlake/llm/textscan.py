@@ -141,3 +141,12 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of n words lie in a window of `size` words from one of the starts."""
     change = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + size, minlength=n + 1)[: n + 1]
     return np.cumsum(change[:n]) > 0
+
+
+def sorted_unique_by_doc(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each owner, ascending, and n + 1 borders."""
+    order = np.lexsort((values, owner))
+    v, o = values[order], owner[order]
+    fresh = np.ones(len(v), bool)
+    fresh[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return v[fresh], np.searchsorted(o[fresh], np.arange(n + 1))
