@@ -96,7 +96,8 @@ def output_slots(sources: DataFrame, slots_per_shard: int = SLOTS_PER_SHARD) ->
     """rank, block, pass, shard, position: the block that each slot of the mix holds."""
     urn = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("urn"))
     chunks = sources.crossJoin(F.broadcast(urn)).where("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {_CHUNK})")))
-    slots = chunks.repartition("rank", "chunk").withColumn("slot", F.explode(F.expr(f"sequence(chunk * {_CHUNK}, least(slots, (chunk + 1) * {_CHUNK}) - 1)")))
+    wide = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = chunks.repartition(wide, "rank", "chunk").withColumn("slot", F.explode(F.expr(f"sequence(chunk * {_CHUNK}, least(slots, (chunk + 1) * {_CHUNK}) - 1)")))
     number = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     block = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("rank") + number)
     place = permuted(F.col("before") + F.col("slot"), F.col("urn"), F.lit(0))
@@ -121,7 +122,8 @@ def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     sizes = written(sized(docs), "sizes")
     sources = written(source_targets(sizes, block_words=block_words), "sources")
     placed = packed(sizes, sources, block_words)
-    times = output_slots(sources).groupBy("rank", "block").count()
+    # merge: sizes of exploded rows are underestimated, and the slots grow with the input
+    times = output_slots(sources).groupBy("rank", "block").count().hint("merge")
     key = ["doc_id", "rank", "at", "size", "source_size", "target"]
     got = fragments(placed, block_words).select(*key, "block", "words").join(times, ["rank", "block"], "left")
     summed = got.groupBy(key).agg(F.sum(F.col("words") * F.coalesce("count", F.lit(0))).alias("taken"))
@@ -139,7 +141,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     sizes = written(sized(keyed, "_row"), "sizes")
     sources = written(source_targets(sizes, block_words=block_words), "sources")
     placed = packed(sizes, sources, block_words).select("doc_id", "_row", "rank", "at", "size")
-    slots = output_slots(sources).select("rank", "block", "pass")
+    slots = output_slots(sources).select("rank", "block", "pass").hint("merge")
     parts = fragments(placed, block_words).join(slots, ["rank", "block"])
     rows = parts.groupBy(F.col("doc_id").alias("_id"), "_row", "rank", "at", "size", "pass").agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("_parts"))
     # `_row` fixes all columns, so joining on it alone and comparing ids keeps to equal rows
