@@ -150,3 +150,19 @@ def sorted_unique_by_doc(values: np.ndarray, owner: np.ndarray, n: int) -> tuple
     fresh = np.ones(len(v), bool)
     fresh[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
     return v[fresh], np.searchsorted(o[fresh], np.arange(n + 1))
+
+
+def joined(s: Scan, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the kept words of each document, joined by single spaces, and n + 1 borders.
+
+    Each document's part ends in one space more; an empty part has none.
+    """
+    start, length = s.start[keep], (s.end - s.start)[keep] + 1
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    place = np.arange(total) - np.repeat(ends - length - start, length)
+    out = np.append(s.data, np.uint8(0))[place]
+    out[ends - 1] = 32
+    per_word = np.zeros(len(s.start), np.int64)
+    per_word[keep] = length
+    return out, np.concatenate(([0], np.cumsum(per_doc(per_word, s.first))))
