@@ -115,21 +115,23 @@ def commit(manifest: DataFrame, folder: str) -> DataFrame:
 HISTOGRAM_CELLS = 1 << 15
 
 
-def range_shards(df: DataFrame, key: str, weight, per_shard: int) -> tuple[DataFrame, int]:
+def range_shards(df: DataFrame, key: str, weight, per_shard: int, source: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Add `shard`: consecutive ranges of the integer `key`, of about `per_shard` total weight each.
 
     Deterministic, unlike sampled range bounds: an equal-width histogram of the
     key with `HISTOGRAM_CELLS` cells at most (that many rows reach the driver,
     at any input size) is cut where the running weight passes a multiple of
     `per_shard`.  Rows with a null key form shard 0 together with the smallest
-    keys.  Returns the frame and the number of shards.
+    keys.  Returns the frame and the number of shards.  source: a cheaper frame
+    with the same keys and weights, to take the histogram from.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    base = df if source is None else source
+    lo, hi = base.agg(F.min(key), F.max(key)).first()
     if lo is None:
         return df.withColumn("shard", F.lit(0)), 1
     width = max(1, -(-(hi - lo + 1) // HISTOGRAM_CELLS))
     cell = F.coalesce(((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(0)).cast("int")
-    rows = df.groupBy(cell.alias("cell")).agg(F.sum(weight).cast("double").alias("w")).orderBy("cell").collect()
+    rows = base.groupBy(cell.alias("cell")).agg(F.sum(weight).cast("double").alias("w")).orderBy("cell").collect()
     cuts, total = [], 0.0
     for r in rows:
         if total >= per_shard:
