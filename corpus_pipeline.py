@@ -1,6 +1,60 @@
-STAGES = []
+"""A corpus pipeline: quality rules, near-dedup, decontamination, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run`
+writes as Parquet in the shared folder and rereads as the next stage's docs.
+All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rosterlake.llm import decontaminate, mixing, near_dedup, quality_rules, token_store
+from rosterlake.llm.queries import table, tokenizer_file
+from rosterlake.llm.storage import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the trees keep."""
+    return quality_rules.filter_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return near_dedup.deduplicated(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at their target weights: what each pass takes of a document."""
+    return mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as a token-id store, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_store.encoded_documents(docs, tokenizer_file())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("near_dedup", dedup),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token_ids", token_ids),
+]
+
+#: SQL can express neither the trees nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
