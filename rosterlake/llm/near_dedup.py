@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .membership import maybe_members
 from .storage import slices, written
 from .textscan import U64, Scan, constants, scan, segment_hash, sorted_unique_by_doc, windows, word_hash
 
@@ -198,7 +199,7 @@ def _sets(size: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             values, first = shingle_sets(scan(b.column("text"), lower=True), size)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("grp"), b.column("n"), pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "grp", "n", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "set"])
 
     return build
 
@@ -227,9 +228,10 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
 def confirmed_links(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     """A spanning forest (a, b) of the exact links inside the candidate groups."""
     counted = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
-    side = counted.select(F.col("id").alias("doc_id"), "grp", "n")
-    members = docs.select("doc_id", "text").join(side, "doc_id").select(F.col("doc_id").alias("id"), "grp", "n", "text")
-    sets = written(members.mapInArrow(_sets(size), "id long, grp long, n long, set binary").groupBy("id", "grp", "n").agg(F.min("set").alias("set")), "sets")
+    side = written(counted.select("id", "grp", "n"), "members")
+    # only texts of (nearly only) members become sets, and only sets are shuffled
+    read = maybe_members(docs.select(F.col("doc_id").alias("id"), "text"), "id", side.select("id"))
+    sets = written(read.mapInArrow(_sets(size), "id long, set binary").join(side, "id").groupBy("id", "grp", "n").agg(F.min("set").alias("set")), "sets")
     out = "a long, b long"
     # first round: chunks of a group, each with the same few hubs, so that groups that hang together are linked across chunks
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP_CHUNK)).cast("int")
