@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .membership import maybe_members
 from .quality_rules import repeated_in_document
 from .storage import drop, new_dir, release, remove_dir, slices, written
 from .textscan import U64, Scan, covered, joined, per_doc, scan, sliding, sorted_unique_by_doc, splitmix, windows, word_hash
@@ -179,7 +180,8 @@ class FingerprintIndex:
         shared = shared.unionByName(heads.select("id", F.explode("inner").alias("anchor"), F.lit(True).alias("fresh")))
         touched = written(shared.groupBy("id", "fresh").agg(F.collect_set("anchor").alias("shared")), "touched")
         texts = batch.withColumn("fresh", F.lit(True)).unionByName(archive.withColumn("fresh", F.lit(False)))
-        read = written(texts.join(touched, ["id", "fresh"]), "texts")
+        # a fixed-size bitmap keeps texts without a shared anchor out of the shuffle
+        read = written(maybe_members(texts, "id", touched.select("id")).join(touched, ["id", "fresh"]), "texts")
         found = written(read.mapInArrow(_shared_windows, "w1 long, w2 long, fresh boolean, id long, pos int, starts array<int>"), "windows")
         place = F.struct("fresh", "id", "pos")
         group = Window.partitionBy("w1", "w2")
