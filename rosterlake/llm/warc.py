@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .storage import commit, drop, new_dir, put_temporary, range_shards, read_file, slices, written
 
 FILE_BYTES = 64 << 20
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 64 << 20
+PIECE = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
 #: Payloads of fewer bytes are never stored as revisits.
 MIN_REVISIT_BYTES = 0
@@ -114,12 +115,14 @@ def write_pages(pages: DataFrame, file_bytes: int = FILE_BYTES, shard_bytes: int
 
 
 def members(raw: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one by one."""
-    at = memoryview(raw)
-    while len(at):
-        z = zlib.decompressobj(31)
-        yield z.decompress(at) + z.flush()
-        at = at[len(at) - len(z.unused_data) :]
+    """The gzip members of a file, one by one, fed in pieces (what is left over is copied for each member)."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            out.append(z.decompress(view[at : at + PIECE]))
+            at = min(at + PIECE, len(view)) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
