@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .membership import with_maybe
 from .storage import commit, drop, new_dir, put_temporary, range_shards, read_file, slices, written
 
 FILE_BYTES = 64 << 20
@@ -105,12 +106,17 @@ def write_pages(pages: DataFrame, file_bytes: int = FILE_BYTES, shard_bytes: int
     keyed = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.encode(payload, "UTF-8"))).withColumn("length", F.octet_length(payload))
     # one row a payload that occurs twice, combined on the map side
     groups = keyed.groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("first_id"), F.max_by("url", F.struct("page_id", "url")).alias("first_url"), F.max("length").alias("n")).where((F.col("copies") > 1) & (F.col("n") >= min_revisit_bytes))
-    marked = keyed.join(groups.drop("copies", "n"), "digest", "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    groups = written(groups.drop("copies", "n"), "payloads")
+    # only pages whose payload may have a copy are shuffled for the join
+    split = with_maybe(keyed, "digest", groups.select("digest"))
+    several = split.where("maybe").join(groups, "digest", "left")
+    single = split.where("not maybe").withColumn("first_id", F.lit(None).cast("long")).withColumn("first_url", F.lit(None).cast("string"))
+    marked = several.unionByName(single).withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     placed, shards = range_shards(marked, "page_id", F.col("length"), shard_bytes, pages.select("page_id", F.octet_length(payload).alias("length")))
     ordered = placed.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
     files = written(ordered.select("shard", "page_id", "url", "html", "first_id", "first_url", "revisit").mapInArrow(_write(folder, file_bytes, date), _MANIFEST), "files")
     manifest = commit(files, folder)
-    drop(files)
+    drop(files, groups)
     return folder, manifest
 
 
