@@ -11,17 +11,16 @@ control bytes up in a table and gathers all values at once with numpy.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import commit, drop, new_dir, put_temporary, range_shards, read_file, slices, written
+from .textscan import constants, segment_hash, text_bytes
 
 # Fixed values of the contract.
 END_ID = 2
@@ -29,8 +28,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 #: Ids of a file, about; a longer document has a file to itself.
 IDS_PER_FILE = 8 << 20
-#: Encoded words that a worker remembers, at most.
-MEMORY = 400_000
+#: Encoded words that a worker goes on remembering more until, at about 30 bytes each.
+MEMORY = 1_500_000
+#: Words of more bytes are encoded each time.
+LONG = 64
 
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], 1).astype(np.int64)
 
@@ -62,17 +63,48 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> n
     return out
 
 
-_STRICT = re.compile(r"^\s|\s\s|\s\Z|[\x00\x01]")
+def _bytes(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+_LETTER = _bytes(bytes([*range(65, 91), *range(97, 123)]))
+_PUNCTUATION = _bytes(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+_OTHER_SPACE = _bytes(bytes([9, 11, 12, 13, 28, 29, 30, 31]))
+
+
+def oddly_spaced(data: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+    """Documents with white space other than single spaces and line breaks between other characters."""
+    n, size = len(doc_start) - 1, len(data)
+    space = (data == 32) | (data == 10)
+    bad = _OTHER_SPACE[data]
+    bad[1:] |= space[1:] & space[:-1]
+    full = doc_start[:-1] < doc_start[1:]
+    heads, tails = doc_start[:-1][full], doc_start[1:][full] - 1
+    bad[heads] = space[heads] | _OTHER_SPACE[data[heads]]
+    bad[tails] |= space[tails]
+    # white space outside ASCII, in UTF-8
+    padded = np.append(data, np.zeros(2, np.uint8))
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    x, y, z = padded[at], padded[at + 1], padded[at + 2]
+    wide = ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE2) & (y == 0x81) & (z == 0x9F)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+    wide |= (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+    bad[at[wide]] = True
+    out = np.zeros(n, bool)
+    where = np.flatnonzero(bad) if size else np.zeros(0, np.int64)
+    out[np.searchsorted(doc_start, where, side="right") - 1] = True
+    return out
 
 
 class Encoder:
     """Encodes texts with the tokenizers library, word by word where that is the same.
 
     In a byte-level BPE vocabulary no piece crosses a single space or line break
-    between two other characters, so such texts are cut there; each distinct
-    word of a batch is encoded once, and words are remembered across batches.
-    Texts with other spacing, or with the string of an added token, are encoded
-    whole.
+    between two other characters, or goes on from a letter to punctuation, so
+    texts are cut there; a word is encoded once and found again by its 64-bit
+    hash, in this batch and in later ones.  Texts with other spacing, or with
+    the string of an added token, are encoded whole.
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -82,53 +114,87 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, np.ndarray] = {}
         self.memory = memory
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, n + 1 borders) of all texts."""
-        odd = [i for i, t in enumerate(texts) if t and (_STRICT.search(t) or any(a in t for a in self.added))]
-        odd_ids = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
-        plain = [i for i in range(len(texts)) if i not in odd_ids and texts[i]]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for i, ids in odd_ids.items():
-            out[i] = ids
-        if plain:
-            # a word's mark tells what stands before it: \x00 nothing, \x01 a line break (its own piece); else a space
-            marked = pa.array(["\x00" + texts[i].replace("\n", " \x01\n \x00") for i in plain], pa.large_string())
-            parts = pc.split_pattern(marked, " ")
-            words = pc.dictionary_encode(parts.flatten())
-            ids, first = self._words(words.dictionary.to_pylist())
-            codes = np.asarray(words.indices)
-            length = np.diff(first)[codes]
-            ends = np.cumsum(length)
-            flat = ids[np.arange(ends[-1]) + np.repeat(first[codes] - (ends - length), length)]
-            border = np.concatenate(([0], ends))[np.asarray(parts.offsets)]
-            for k, i in enumerate(plain):
-                out[i] = flat[border[k] : border[k + 1]]
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        spelled = [w[1:] if w[0] in "\x00\x01" else " " + w for w in new]
-        fresh = dict(zip(new, self.whole(spelled), strict=True))
-        got = [self.known[w] if w in self.known else fresh[w] for w in words]
-        if len(self.known) < self.memory:
-            self.known.update(fresh)
-        return np.concatenate(got), np.concatenate(([0], np.cumsum([len(x) for x in got])))
+        # known words: hashes ascending, and their ids from first to first + count
+        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, n + 1 borders) of all texts; null counts as empty."""
+        data, doc_start = text_bytes(column)
+        n = len(doc_start) - 1
+        odd = oddly_spaced(data, doc_start)
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                odd[np.searchsorted(doc_start, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
+        text = lambda a, b: raw[a:b].decode()
+        begins = np.zeros(len(data), bool)
+        if len(data):
+            line = data == 10
+            begins = (data == 32) | line
+            begins[1:] |= line[:-1] | (_LETTER[data[:-1]] & _PUNCTUATION[data[1:]])
+            begins[doc_start[:-1][doc_start[:-1] < doc_start[1:]]] = True
+            odd_bytes = np.repeat(odd, np.diff(doc_start))
+            begins &= ~odd_bytes
+            # an odd text is one word of its own
+            begins[doc_start[:-1][odd]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))
+        # long words and whole texts are not looked up: their place stands for them
+        long = end - start > LONG
+        keys = segment_hash(data, start, np.where(long, start, end))
+        keys[long] = constants(int(long.sum()), 41)
+        hashes, one, back = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = (self.hashes[place] == hashes) & ~long[one] if len(self.hashes) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~known)
+        encoded = self.whole([text(a, b) for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+        lengths = np.array([len(x) for x in encoded], np.int64)
+        fresh = np.array([i for x in encoded for i in x], np.uint32)
+        table = np.concatenate((self.ids, fresh))
+        first, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        first[known], count[known] = self.first[place[known]], self.count[place[known]]
+        first[new], count[new] = len(self.ids) + np.cumsum(lengths) - lengths, lengths
+        if len(self.hashes) < self.memory:
+            short = ~long[one[new]]
+            kept = new[short]
+            order = np.argsort(np.concatenate((self.hashes, hashes[kept])), kind="stable")
+            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count[kept]) - count[kept]))[order]
+            self.count = np.concatenate((self.count, count[kept]))[order]
+            self.hashes = np.concatenate((self.hashes, hashes[kept]))[order]
+            self.ids = np.concatenate((self.ids, fresh[np.repeat(short, lengths)]))
+        size = count[back]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = table[np.arange(total) + np.repeat(first[back] - (ends - size), size)]
+        border = np.concatenate(([0], ends))[np.searchsorted(start, doc_start)]
+        assert len(border) == n + 1
+        return flat, border
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _tokenize(path: str):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        kind = np.uint16 if encoder.vocabulary <= 1 << 16 else np.uint32
+        kind = np.uint16 if encoder(path).vocabulary <= 1 << 16 else np.uint32
         for b in slices(batches, "text", 8 << 20):
-            ids, first = encoder.encode([t or "" for t in b.column("text").to_pylist()])
+            ids, first = encoder(path).encode(b.column("text"))
             rows = [np.append(ids[x:y], END_ID).astype(kind).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(first) + 1), pa.array(rows, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -211,7 +277,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, ids_per_file: int = IDS_PE
     spark = docs.sparkSession
     folder = new_dir(spark, "token-store")
     tokens = written(docs.select("doc_id", "text").mapInArrow(_tokenize(tokenizer_path), "doc_id long, n_tokens long, ids binary"), "tokens")
-    kind = "<u2" if Encoder(tokenizer_path).vocabulary <= 1 << 16 else "<u4"
+    kind = "<u2" if encoder(tokenizer_path).vocabulary <= 1 << 16 else "<u4"
     # as many rows as the vocabulary has ids, at most
     counts = tokens.select("ids").mapInArrow(_count(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "token"], ascending=[False, True])
     token_of = counts["token"].to_numpy().astype("<u4")
