@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlake.functions import text as T
 from rosterlake.operators import confidence as C
 from rosterlake.operators import evaluation as E
 from rosterlake.operators import events as EV
@@ -322,3 +323,41 @@ flagged AS (
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = full(spark, sf_dir)
     return rounded(R.candidates(e.scored, e.segments).select("company_id", "reason", "months", "severity", "first_months", "priority"), "severity")
+
+
+_TEXT = """
+texts AS (
+  SELECT p_partkey AS row_id, CASE p_partkey % 8 WHEN 0 THEN 'over ' || p_size * 10 || ' employees' WHEN 1 THEN 'about ' || p_size * 10 WHEN 2 THEN p_size * 10 || '-' || (p_size * 10 + 49) WHEN 3 THEN p_size * 10 || '+'
+    WHEN 4 THEN '10,001+' WHEN 5 THEN 'a ' || p_size * 10 || '-person team' WHEN 6 THEN 'n/a' ELSE (p_size * 10)::VARCHAR END AS value_text FROM part
+)"""
+
+
+@query(sql(r"""SELECT row_id, value_text, CASE WHEN b IS NOT NULL THEN 'bucket' WHEN lo IS NOT NULL THEN 'range' WHEN one >= 0 THEN 'exact' END AS kind,
+  CASE WHEN b IS NOT NULL THEN b WHEN lo IS NOT NULL THEN least(lo, hi) WHEN one >= 0 THEN one END AS value_min, CASE WHEN b IS NOT NULL THEN b WHEN lo IS NOT NULL THEN (lo + hi) / 2 WHEN one >= 0 THEN one END AS value_point,
+  CASE WHEN b IS NOT NULL THEN b * 2 WHEN lo IS NOT NULL THEN greatest(lo, hi) WHEN one >= 0 THEN one END AS value_max
+  FROM (SELECT row_id, value_text, try_cast(replace(nullif(regexp_extract(value_text, '^\s*(\d[\d,]*)\s*\+\s*$', 1), ''), ',', '') AS DOUBLE) AS b, try_cast(replace(nullif(regexp_extract(value_text, '^\s*(\d[\d,]*)\s*-\s*(\d[\d,]*)\s*\+?\s*$', 1), ''), ',', '') AS DOUBLE) AS lo,
+    try_cast(replace(nullif(regexp_extract(value_text, '^\s*(\d[\d,]*)\s*-\s*(\d[\d,]*)\s*\+?\s*$', 2), ''), ',', '') AS DOUBLE) AS hi, try_cast(replace(value_text, ',', '') AS DOUBLE) AS one FROM texts)""", 0, _TEXT))
+def value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.size_texts(spark, sf_dir).withColumn("v", T.headcount_value("value_text"))
+    return rows.select("row_id", "value_text", "v.kind", "v.value_min", "v.value_point", "v.value_max")
+
+
+@query(sql(r"""SELECT row_id, value_text, CASE WHEN value_text LIKE 'over %' THEN n WHEN value_text LIKE '%person%' THEN n * 0.9::DOUBLE END AS value_min, CASE WHEN value_text LIKE 'over %' THEN n * 1.1::DOUBLE ELSE n END AS value_point, CASE WHEN value_text LIKE 'over %' THEN n * 1.25::DOUBLE ELSE n * 1.1::DOUBLE END AS value_max,
+  CASE WHEN value_text LIKE 'over %' THEN 'over' ELSE 'n-person' END AS qualifier FROM (SELECT *, regexp_extract(value_text, '\d+')::DOUBLE AS n FROM texts WHERE row_id % 8 IN (0, 5) AND length(regexp_extract(value_text, '\d+')) >= 2)""", 0, _TEXT))
+def size_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.size_texts(spark, sf_dir).select("row_id", "value_text", F.explode(T.size_mentions("value_text")).alias("m"))
+    return rows.select("row_id", "value_text", "m.value_min", "m.value_point", "m.value_max", "m.qualifier")
+
+
+@query(sql(r"""SELECT row_id, date_text, CASE WHEN k = 6 THEN NULL WHEN k = 4 THEN date_trunc('quarter', o_orderdate)::DATE WHEN k = 5 THEN date_trunc('year', o_orderdate)::DATE ELSE date_trunc('month', o_orderdate)::DATE END AS month, k IN (4, 5) AS reduced
+  FROM (SELECT o_orderkey AS row_id, o_orderkey % 7 AS k, o_orderdate, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%B %Y') WHEN 3 THEN strftime(o_orderdate, '%b %Y') WHEN 4 THEN 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) WHEN 5 THEN year(o_orderdate)::VARCHAR ELSE '13/' || year(o_orderdate) END AS date_text FROM orders)""", 1, dates=("month",)))
+def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.date_texts(spark, sf_dir).withColumn("d", T.month_text("date_text", 2030)).select("row_id", "date_text", "d.month", F.coalesce("d.reduced", F.lit(False)).alias("reduced"))
+
+
+@query(sql(r"""SELECT c_custkey AS row_id, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS name_key, lower(replace(c_name, '#', '-')) || '.example.com' AS domain FROM customer""", 1))
+def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legal forms and URL parts are added to customer names and must come off again."""
+    forms = F.element_at(F.array(*map(F.lit, (" Inc.", ", LLC", " GmbH", " Holdings Ltd", ""))), (F.col("c_custkey") % 5).cast("int") + 1)
+    host = F.concat(F.lit("HTTPS://www."), F.regexp_replace("c_name", "#", "-"), F.lit(".example.com/about?x=1"))
+    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), T.name_key(F.concat("c_name", forms)).alias("name_key"), T.domain_key(host).alias("domain"))
