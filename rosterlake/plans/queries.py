@@ -5,20 +5,23 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import text as T
 from rosterlake.operators import confidence as C
 from rosterlake.operators import evaluation as E
 from rosterlake.operators import events as EV
+from rosterlake.operators import evidence as X
 from rosterlake.operators import growth as G
 from rosterlake.operators import overrides as OV
+from rosterlake.operators import resolution as RS
 from rosterlake.operators import review as R
 from rosterlake.operators import series as S
 from rosterlake.plans import adapters as A
 from rosterlake.plans.estimate import Estimate, estimate, outcome
 from rosterlake.plans.oracle import sql
+from rosterlake.sources import tables as TB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,6 +53,11 @@ def full(spark: SparkSession, sf_dir: str) -> Estimate:
     return estimate(*t, A.WINDOW, now())
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored series as a snapshot table, as questions about it read it several times."""
+    return TB.checkpointed(full(spark, sf_dir).stored)
+
+
 def near(c: str) -> Column:
     """Four digits, with ties far from where exact results fall; as `oracle.near`."""
     return F.floor(F.col(c) * 10000.0 + 0.50001) / 10000.0
@@ -65,7 +73,7 @@ _VALUES = ("value_min", "value_point", "value_max")
 
 @query(sql("SELECT company_id, month, horizon, round(growth_point, 4) AS growth_point, round(growth_min, 4) AS growth_min, round(growth_max, 4) AS growth_max, round(delta, 4) AS delta FROM latest", dates=("month",)))
 def growth_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.latest_growth(full(spark, sf_dir).stored).select("company_id", "month", "horizon", "growth_point", "growth_min", "growth_max", "delta")
+    rows = G.latest_growth(stored(spark, sf_dir)).select("company_id", "month", "horizon", "growth_point", "growth_min", "growth_max", "delta")
     return rounded(rows, "growth_point", "growth_min", "growth_max", "delta")
 
 
@@ -147,7 +155,7 @@ def component_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT company_id, month, {_R}, profiles, method, band, needs_review, round(score, 4) AS score FROM stored", 6, dates=("month",)))
 def estimates_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = full(spark, sf_dir).stored.select("company_id", "month", *_VALUES, "profiles", "method", "band", "needs_review", "score")
+    rows = stored(spark, sf_dir).select("company_id", "month", *_VALUES, "profiles", "method", "band", "needs_review", "score")
     return rounded(rows, *_VALUES, "score")
 
 
@@ -158,7 +166,7 @@ def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT company_id, month, prev_month, horizon, round(growth_min, 4) AS growth_min, round(growth_point, 4) AS growth_point, round(growth_max, 4) AS growth_max, round(delta, 4) AS delta FROM growth", dates=("month", "prev_month")))
 def growth_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.growth_series(full(spark, sf_dir).stored), "growth_min", "growth_point", "growth_max", "delta")
+    return rounded(G.growth_series(stored(spark, sf_dir)), "growth_min", "growth_point", "growth_max", "delta")
 
 
 _WINDOWS = """
@@ -176,7 +184,7 @@ ends AS (
   CASE WHEN suppressed_reason IS NULL THEN round(e_min / greatest(s_max, 1e-9) - 1, 4) END AS growth_min, CASE WHEN suppressed_reason IS NULL THEN round(e_point / greatest(s_point, 1e-9) - 1, 4) END AS growth_point, CASE WHEN suppressed_reason IS NULL THEN round(e_max / greatest(s_min, 1e-9) - 1, 4) END AS growth_max,
   CASE WHEN suppressed_reason IS NULL THEN bands[greatest(list_position(bands, e_band), list_position(bands, s_band))] ELSE 'manual_review_required' END AS band FROM wins""", 7, _WINDOWS, dates=("start_month", "end_month")))
 def growth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.growth_windows(full(spark, sf_dir).stored), "start_value", "end_value", "growth_min", "growth_point", "growth_max")
+    return rounded(G.growth_windows(stored(spark, sf_dir)), "start_value", "end_value", "growth_min", "growth_point", "growth_max")
 
 
 @query(sql("""SELECT company_id, event_type, event_month, event_id, round(CASE WHEN n > 1 THEN least(1, c) ELSE confidence END, 4) AS confidence, coalesce(description, CASE WHEN n > 1 THEN d END) AS description, n AS merged FROM (
@@ -231,18 +239,18 @@ def as_of():
 @query(sql(f"""SELECT b.company_id, benchmark_id, provider, metric, s.month, b.value_point AS benchmark_point, round(s.value_point, 4) AS estimate_point, round(abs(b.value_point - s.value_point) / greatest(1, b.value_point), 4) AS relative_gap, NOT (s.value_max < b.value_min OR b.value_max < s.value_min) AS interval_overlap
   FROM benchmark_rows b JOIN stored s ON s.company_id = b.company_id AND s.month = (b.as_of_month - to_months({_OFFSETS}))::DATE WHERE metric LIKE 'headcount%' AND (abs(b.value_point - s.value_point) / greatest(1, b.value_point) > 0.25 OR s.value_max < b.value_min OR b.value_max < s.value_min)""", dates=("month",)))
 def benchmark_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.disagreements(A.benchmark(spark, sf_dir), full(spark, sf_dir).stored)
+    rows = E.disagreements(A.benchmark(spark, sf_dir), stored(spark, sf_dir))
     return rounded(rows, "estimate_point", "relative_gap")
 
 
 @query(sql(_ACCURACY.format("judged"), 7, _SCORED))
 def accuracy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.accuracy(E.scored_rows(A.benchmark(spark, sf_dir), full(spark, sf_dir).stored, as_of())), "mae", "mape", "median_abs_error")
+    return rounded(E.accuracy(E.scored_rows(A.benchmark(spark, sf_dir), stored(spark, sf_dir), as_of())), "mae", "mape", "median_abs_error")
 
 
 @query(sql(_ACCURACY.format("grown"), 7, _SCORED))
 def growth_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.accuracy(E.growth_rows(A.benchmark(spark, sf_dir), full(spark, sf_dir).stored)), "mae", "mape", "median_abs_error")
+    return rounded(E.accuracy(E.growth_rows(A.benchmark(spark, sf_dir), stored(spark, sf_dir))), "mae", "mape", "median_abs_error")
 
 
 @query(sql("""SELECT provider, metric, n, CASE WHEN n >= 3 AND sxx - sx * sx / n > 1e-9 AND syy - sy * sy / n > 1e-9 THEN round((sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)), 4) END AS rho
@@ -250,18 +258,18 @@ def growth_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT provider, metric, rank() OVER (PARTITION BY provider, metric ORDER BY estimate_ratio) + (count(*) OVER (PARTITION BY provider, metric, estimate_ratio) - 1) / 2 AS rx,
       rank() OVER (PARTITION BY provider, metric ORDER BY benchmark_ratio) + (count(*) OVER (PARTITION BY provider, metric, benchmark_ratio) - 1) / 2 AS ry FROM grown WHERE NOT skipped) GROUP BY ALL)""", 7, _SCORED))
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.growth_rows(A.benchmark(spark, sf_dir), full(spark, sf_dir).stored)
+    rows = E.growth_rows(A.benchmark(spark, sf_dir), stored(spark, sf_dir))
     return rounded(E.spearman(rows, ["provider", "metric"], "estimate_ratio", "benchmark_ratio"), "rho")
 
 
 @query(sql("SELECT band, count(company_id) AS months FROM (VALUES ('high'), ('medium'), ('low'), ('manual_review_required')) AS b(band) LEFT JOIN stored USING (band) GROUP BY band", 6))
 def band_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.band_histogram(full(spark, sf_dir).stored)
+    return E.band_histogram(stored(spark, sf_dir))
 
 
 @query(sql("SELECT company_id, benchmark_id, provider, metric, month, benchmark_point, round(estimate_point, 4) AS estimate_point, round(ratio, 4) AS ratio, overlap, band FROM judged WHERE ratio > 0.1 ORDER BY judged.ratio DESC, company_id, provider, metric, benchmark_id LIMIT 25", 7, _SCORED, dates=("month",)))
 def top_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.top_disagreements(E.scored_rows(A.benchmark(spark, sf_dir), full(spark, sf_dir).stored, as_of()))
+    rows = E.top_disagreements(E.scored_rows(A.benchmark(spark, sf_dir), stored(spark, sf_dir), as_of()))
     return rounded(rows.select("company_id", "benchmark_id", "provider", "metric", "month", "benchmark_point", "estimate_point", "ratio", "overlap", "band"), "estimate_point", "ratio")
 
 
@@ -279,7 +287,7 @@ scope AS (
 @query(sql("""SELECT * EXCLUDE (both_n), (SELECT count(*) FROM judged WHERE band IN ('high', 'medium') AND ratio >= 1 AND provider = 'primary') AS high_confidence_disagreements, (SELECT count(*) FROM judged WHERE band IN ('high', 'medium') AND ratio >= 1 AND provider <> 'primary') AS supporting_disagreements,
   CASE WHEN companies_in_scope > 0 THEN round(companies_evaluated / companies_in_scope, 4) ELSE 0 END AS coverage_in_scope, CASE WHEN companies_with_benchmark > 0 THEN round(both_n / companies_with_benchmark, 4) ELSE 0 END AS coverage_with_benchmark FROM totals""", 7, _SCORED, _BOARD))
 def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.scoreboard(A.companies(spark, sf_dir), A.benchmark(spark, sf_dir), full(spark, sf_dir).stored, as_of())
+    return E.scoreboard(A.companies(spark, sf_dir), A.benchmark(spark, sf_dir), stored(spark, sf_dir), as_of())
 
 
 _COMPARED = f"""
@@ -291,7 +299,7 @@ cmp AS (
 
 @query(sql("SELECT company_id, compared, disagreements, round(1 - disagreements / compared, 4) AS match_rate FROM cmp", 7, _COMPARED))
 def benchmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.comparison(A.benchmark(spark, sf_dir), full(spark, sf_dir).stored), "match_rate")
+    return rounded(E.comparison(A.benchmark(spark, sf_dir), stored(spark, sf_dir)), "match_rate")
 
 
 _SIDE = f"""
@@ -304,7 +312,7 @@ tgt AS (
 
 @query(sql("SELECT company_id, provider, " + ", ".join(f"round({p}_{h}, 4) AS {p}_{h}" for p in ("target", "estimate") for h in ("now", "6m", "1y", "2y")) + ", " + ", ".join(f"CASE WHEN {p}_{h} > 0 THEN round(({p}_now / {p}_{h} - 1) * 100, 4) END AS {p}_growth_{h}" for p in ("target", "estimate") for h in ("6m", "1y", "2y")) + " FROM tgt LEFT JOIN est USING (company_id)", 7, _SIDE))
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.side_by_side(A.benchmark(spark, sf_dir), full(spark, sf_dir).stored, as_of())
+    rows = E.side_by_side(A.benchmark(spark, sf_dir), stored(spark, sf_dir), as_of())
     return rounded(rows, *(c for c in rows.columns if c not in ("company_id", "provider")))
 
 
@@ -322,7 +330,7 @@ flagged AS (
   least(99, greatest(0, CASE reason WHEN 'low_confidence' THEN 50 WHEN 'anomaly' THEN 55 ELSE 30 END + round_even(least(1, greatest(0, severity)) * 15, 0) + CASE WHEN confidence IS NULL THEN 0 ELSE round_even(least(1, greatest(0, 1 - confidence)) * 15, 0) END))::INT AS priority FROM items""", 6, _QUEUE))
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = full(spark, sf_dir)
-    return rounded(R.candidates(e.scored, e.segments).select("company_id", "reason", "months", "severity", "first_months", "priority"), "severity")
+    return rounded(R.candidates(TB.checkpointed(e.scored), e.segments).select("company_id", "reason", "months", "severity", "first_months", "priority"), "severity")
 
 
 _TEXT = """
@@ -361,3 +369,99 @@ def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = F.element_at(F.array(*map(F.lit, (" Inc.", ", LLC", " GmbH", " Holdings Ltd", ""))), (F.col("c_custkey") % 5).cast("int") + 1)
     host = F.concat(F.lit("HTTPS://www."), F.regexp_replace("c_name", "#", "-"), F.lit(".example.com/about?x=1"))
     return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), T.name_key(F.concat("c_name", forms)).alias("name_key"), T.domain_key(host).alias("domain"))
+
+
+# Archive, resolution and maintenance over pages, customers and lineitem.
+
+
+def _archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived pages: every fifth carries a JSON-LD statement, every third a size phrase."""
+    n = (F.col("page_id") % 900 + 10).cast("string")
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type": "Organization", "numberOfEmployees": {"minValue": '), n, F.lit(', "maxValue": '), (F.col("page_id") % 900 + 60).cast("string"), F.lit("}}</script>"))
+    said = F.concat(F.lit("<p>We are over "), n, F.lit(" employees.</p>"))
+    extra = F.when(F.col("page_id") % 5 == 0, ld).when(F.col("page_id") % 3 == 0, said).otherwise("")
+    return A.table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", extra).alias("html"))
+
+
+@query("""SELECT page_id, 'json_ld' AS method, (page_id % 900 + 10)::DOUBLE AS value_min, (page_id % 900 + 35)::DOUBLE AS value_point, (page_id % 900 + 60)::DOUBLE AS value_max, 'range' AS kind, 0.7::DOUBLE AS confidence FROM pages WHERE page_id % 5 = 0
+UNION ALL SELECT page_id, 'text', (page_id % 900 + 10)::DOUBLE, (page_id % 900 + 10) * 1.1::DOUBLE, (page_id % 900 + 10) * 1.25::DOUBLE, 'range', 0.55::DOUBLE FROM pages WHERE page_id % 5 <> 0 AND page_id % 3 = 0""")
+def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.page_signals(_archive_pages(spark, sf_dir)).select("page_id", "method", "value_min", "value_point", "value_max", "kind", "confidence")
+
+
+@query("""SELECT url, sha256(html) AS content_hash, min(CASE page_id % 4 WHEN 0 THEN 403 ELSE 200 END) AS status, count(*) * 2 AS seen_count, strftime(min(DATE '2001-01-01' + (page_id % 300)::INT), '%Y-%m-%d') AS first_seen, strftime(max(DATE '2001-02-01' + (page_id % 300)::INT), '%Y-%m-%d') AS last_seen FROM pages GROUP BY url, html""")
+def archive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = A.table(spark, sf_dir, "pages")
+    at = lambda day: F.date_add(F.lit(day).cast("date"), (F.col("page_id") % 300).cast("int"))
+    status = F.when(F.col("page_id") % 4 == 0, 403).otherwise(200)
+    first = TB.archive_merge(pages.select("url", F.col("html").alias("body"), status.alias("status"), at("2001-01-01").alias("fetched_at")))
+    return TB.archive_merge(pages.select("url", F.col("html").alias("body"), F.lit(500).alias("status"), at("2001-02-01").alias("fetched_at")), first).drop("body")
+
+
+@query("""WITH c AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), d AS (SELECT host, row_number() OVER (ORDER BY host) AS company_id FROM c WHERE host NOT LIKE 'blog.%' AND host NOT LIKE 'm.%')
+SELECT page_id, company_id FROM pages p JOIN d ON regexp_replace(regexp_extract(p.url, '://([^/?#]*)', 1), '^(www)\\.', '') = d.host OR regexp_extract(p.url, '://([^/?#]*)', 1) LIKE '%.' || d.host
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(d.host) DESC, company_id) = 1""".replace("regexp_replace(regexp_extract(p.url, '://([^/?#]*)', 1), '^(www)\\\\.', '')", "regexp_extract(p.url, '://([^/?#]*)', 1)"))
+def host_to_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = A.table(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("domain")).distinct().where(~F.col("domain").rlike("^(blog|m)[.]"))
+    companies = hosts.withColumn("company_id", F.row_number().over(Window.orderBy("domain")).cast("long"))
+    return RS.host_to_company(pages, companies)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as candidate rows: names and domains repeat, so that rows chain over shared keys."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Firm "), (k % 400).cast("string"), F.when(k % 3 == 0, F.lit(" Inc.")).otherwise(F.lit("")))
+    domain = F.when(k % 2 == 0, F.concat(F.lit("firm"), (k % 550).cast("string"), F.lit(".example.com")))
+    slug = F.when(k % 5 == 0, F.concat(F.lit("firm-"), (k % 300).cast("string")))
+    return A.table(spark, sf_dir, "customer").select(k.alias("row_no"), name.alias("name"), domain.alias("domain"), slug.alias("profile_url"))
+
+
+@query()
+def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy and order-dependent, so without SQL; tests replay it in one sequence."""
+    return RS.resolve(_candidates(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 3 <> 0), n AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 100 ELSE s_nationkey END AS nation FROM supplier WHERE s_suppkey % 5 <> 0)
+SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.k IS NULL THEN o.nation ELSE n.nation END AS nation, CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' WHEN o.nation <> n.nation THEN 'refreshed' ELSE 'unchanged' END AS action FROM o FULL JOIN n ON o.k = n.k""")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    new = s.where("k % 5 <> 0").withColumn("nation", F.when(F.col("k") % 4 == 0, F.col("nation") + 100).otherwise(F.col("nation")))
+    return TB.upsert(s.where("k % 3 <> 0"), new, ["k"])
+
+
+@query(sql("SELECT reject_reason, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN NOT (value_min <= value_point AND value_point <= value_max) THEN 'interval' END, CASE WHEN NOT (kind <> 'exact' OR (value_min = value_point AND value_point = value_max)) THEN 'exact' END, CASE WHEN NOT value_point >= 0 THEN 'positive' END, CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' END], lambda x: x IS NOT NULL), ',') AS reject_reason FROM (SELECT * REPLACE (value_point - 20 AS value_point, confidence + 0.2::DOUBLE AS confidence) FROM anchors0)) WHERE reject_reason <> '' GROUP BY ALL", 1))
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.anchors(spark, sf_dir).withColumn("value_point", F.col("value_point") - 20).withColumn("confidence", F.col("confidence") + 0.2)
+    return TB.validated(rows, TB.ANCHOR_RULES)[1].groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT s.company_id, s.month, round(s.value_point, 4) AS value_point, s.method, g.segment_no, g.segment_start, (SELECT count(*) FROM placed p WHERE p.company_id = s.company_id AND p.segment_no = g.segment_no) AS n_anchors, (SELECT count(*) FROM events v WHERE v.company_id = s.company_id AND v.event_month BETWEEN g.segment_start AND g.segment_end) AS n_events, (SELECT count(*) FROM growth w WHERE w.company_id = s.company_id AND w.month = s.month) AS n_growth FROM stored s JOIN segments g USING (company_id, segment_no) WHERE year(s.month) = 2000", 7, dates=("month", "segment_start")))
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = full(spark, sf_dir)
+    series = TB.checkpointed(e.stored)
+    wanted = series.where("year(month) = 2000").select("company_id", "month")
+    all_events = OV.with_events(A.events(spark, sf_dir), OV.decode(A.overrides(spark, sf_dir), now())["events"])
+    tree = X.evidence(wanted, series, e.segments, e.placed, all_events, G.growth_series(series))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    rows = tree.select("company_id", "month", F.col("estimate.value_point").alias("value_point"), "estimate.method", F.col("segment.segment_no").cast("long").alias("segment_no"), "segment.segment_start", n("anchors").alias("n_anchors"), n("events").alias("n_events"), n("growth").alias("n_growth"))
+    return rounded(rows, "value_point")
+
+
+@query(sql("SELECT company_id, name, max(CASE WHEN horizon = '1y' THEN round(growth_point, 4) END) AS growth_1y, max(CASE WHEN horizon = '6m' THEN round(growth_point, 4) END) AS growth_6m FROM company LEFT JOIN latest USING (company_id) GROUP BY ALL", 7))
+def company_growth_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = rounded(G.latest_growth(stored(spark, sf_dir)), "growth_point").groupBy("company_id").pivot("horizon", ["1y", "6m"]).agg(F.max("growth_point"))
+    return A.companies(spark, sf_dir).select("company_id", "name").join(grown, "company_id", "left").select("company_id", "name", F.col("1y").alias("growth_1y"), F.col("6m").alias("growth_6m"))
+
+
+@query(sql("SELECT company_id, source_name, count(*) AS n_anchors, count(DISTINCT anchor_month) AS n_months, round(max(confidence), 4) AS best_confidence FROM anchors0 GROUP BY ALL", 1))
+def anchor_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.anchors(spark, sf_dir).groupBy("company_id", "source_name").agg(F.count("*").alias("n_anchors"), F.count_distinct("anchor_month").alias("n_months"), F.max("confidence").alias("best_confidence"))
+    return rounded(rows, "best_confidence")
+
+
+@query(sql("SELECT company_id, priority, severity, reason FROM (SELECT company_id, reason, round(severity, 4) AS severity, least(99, greatest(0, CASE reason WHEN 'low_confidence' THEN 50 WHEN 'anomaly' THEN 55 ELSE 30 END + round_even(least(1, greatest(0, severity)) * 15, 0) + CASE WHEN confidence IS NULL THEN 0 ELSE round_even(least(1, greatest(0, 1 - confidence)) * 15, 0) END))::INT AS priority FROM items) ORDER BY priority DESC, company_id, reason LIMIT 20", 6, _QUEUE))
+def queue_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = full(spark, sf_dir)
+    return rounded(R.candidates(TB.checkpointed(e.scored), e.segments).orderBy(F.desc("priority"), "company_id", "reason").limit(20).select("company_id", "priority", "severity", "reason"), "severity")

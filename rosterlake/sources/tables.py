@@ -71,7 +71,7 @@ def load_employment(raw: DataFrame, companies: DataFrame, existing: DataFrame, d
     """
     by_id = companies.select(F.col("company_id").cast("string").alias("company_id"), F.col("company_id").alias("c1"))
     by_domain = companies.where("domain is not null").groupBy(F.col("domain").alias("company_domain")).agg(F.min("company_id").alias("c2"))
-    start, end = F.try_to_date("start_month", F.lit("yyyy-MM-dd")), F.try_to_date("end_month", F.lit("yyyy-MM-dd"))
+    start, end = F.try_to_date("start_month", "yyyy-MM-dd"), F.try_to_date("end_month", "yyyy-MM-dd")
     conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("confidence").try_cast("double"), F.lit(default_confidence))))
     rows = raw.withColumn("company_domain", F.lower(F.trim("company_domain"))).join(by_id, "company_id", "left").join(by_domain, "company_domain", "left")
     rows = rows.select(F.col("person_source_key").alias("person_id"), F.coalesce("c1", "c2").alias("company_id"), month_floor(start).alias("start_month"), month_floor(end).alias("end_month"), F.lower("is_current_role").isin("true", "1", "yes").alias("is_current"), conf.alias("confidence"), "job_title")
