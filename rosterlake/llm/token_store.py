@@ -27,9 +27,9 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 
 #: Ids of a file, about; a longer document has a file to itself.
-IDS_PER_FILE = 8 << 20
+IDS_PER_FILE = 4 << 20
 #: Encoded words that a worker goes on remembering more until, at about 30 bytes each.
-MEMORY = 1_500_000
+MEMORY = 800_000
 #: Words of more bytes are encoded each time.
 LONG = 64
 
@@ -193,7 +193,7 @@ def encoder(path: str) -> Encoder:
 def _tokenize(path: str):
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint16 if encoder(path).vocabulary <= 1 << 16 else np.uint32
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text"):
             ids, first = encoder(path).encode(b.column("text"))
             rows = [np.append(ids[x:y], END_ID).astype(kind).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(first) + 1), pa.array(rows, pa.binary())], ["doc_id", "n_tokens", "ids"])
