@@ -68,7 +68,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     target = F.when(F.col("ratio") <= F.col("level"), F.col("cap")).otherwise(F.col("final") * F.col("weight"))
     blocks = F.ceil(F.col("source_size") / block_words)
     out = shaped.select("rank", "source", "source_size", target.alias("target"), blocks.cast("long").alias("blocks"))
-    slots = F.least(F.round(F.col("target") / block_words).cast("long"), F.floor(F.col("blocks") * F.lit(float(most))).cast("long"))
+    # in units of the source's mean block, as its last one may be short
+    wanted = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0.0)
+    slots = F.least(wanted.cast("long"), F.floor(F.col("blocks") * F.lit(float(most))).cast("long"))
     return out.withColumn("slots", slots).withColumn("before", F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 

@@ -46,7 +46,7 @@ WITH s AS (
     CAST(ceil(source_size / 64.0::DOUBLE) AS BIGINT) AS blocks
   FROM f
 ), h AS (
-  SELECT *, least(CAST(round(target / 64) AS BIGINT), 2 * blocks) AS slots FROM g
+  SELECT *, least(CASE WHEN source_size > 0 THEN CAST(round(target * blocks / source_size) AS BIGINT) ELSE 0 END, 2 * blocks) AS slots FROM g
 ), j AS (
   SELECT rank, blocks, unnest(range(slots)) AS slot FROM h
 ), c AS (
