@@ -29,9 +29,11 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Ids of a file, about; a longer document has a file to itself.
 IDS_PER_FILE = 4 << 20
 #: Encoded words that a worker goes on remembering more until, at about 30 bytes each.
-MEMORY = 800_000
+MEMORY = 500_000
 #: Words of more bytes are encoded each time.
 LONG = 64
+#: Words given to the library at once.
+PIECE = 4096
 
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], 1).astype(np.int64)
 
@@ -121,8 +123,10 @@ class Encoder:
         self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; a few at a time, as the library's results are large."""
+        parts = (texts[k : k + PIECE] for k in range(0, len(texts), PIECE))
+        return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, n + 1 borders) of all texts; null counts as empty."""
@@ -158,7 +162,7 @@ class Encoder:
         new = np.flatnonzero(~known)
         encoded = self.whole([text(a, b) for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
         lengths = np.array([len(x) for x in encoded], np.int64)
-        fresh = np.array([i for x in encoded for i in x], np.uint32)
+        fresh = np.concatenate([*encoded, np.zeros(0, np.uint32)])
         table = np.concatenate((self.ids, fresh))
         first, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         first[known], count[known] = self.first[place[known]], self.count[place[known]]
@@ -204,7 +208,7 @@ def _tokenize(path: str):
 def _count(kind: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for b in batches:
+        for b in slices(batches, "ids"):
             ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), kind)
             seen = np.bincount(ids)
             if len(seen) > len(total):
@@ -218,7 +222,7 @@ def _count(kind: str):
 
 def _encode(kind: str, rank_of: np.ndarray):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "ids"):
             control, data = zip(*(encode_ranks(rank_of[np.frombuffer(x, kind)]) for x in b.column("ids").to_pylist()), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary()), b.column("shard")], ["doc_id", "n_tokens", "control", "data", "shard"])
 
