@@ -15,6 +15,7 @@ from rosterlake.operators import events as EV
 from rosterlake.operators import evidence as X
 from rosterlake.operators import growth as G
 from rosterlake.operators import overrides as OV
+from rosterlake.operators import promotion as PR
 from rosterlake.operators import resolution as RS
 from rosterlake.operators import review as R
 from rosterlake.operators import series as S
@@ -465,3 +466,18 @@ def anchor_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queue_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = full(spark, sf_dir)
     return rounded(R.candidates(TB.checkpointed(e.scored), e.segments).orderBy(F.desc("priority"), "company_id", "reason").limit(20).select("company_id", "priority", "severity", "reason"), "severity")
+
+
+@query(sql("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN provider = 'tertiary' THEN 'skipped_provider' WHEN value_min > value_point OR value_max < value_point THEN 'skipped_no_value' WHEN company_id % 10 = 0 THEN 'already_promoted' ELSE 'promoted' END AS outcome FROM (SELECT * REPLACE (CASE WHEN row_index % 7 = 0 THEN value_min + 100 ELSE value_min END AS value_min) FROM benchmark_rows) WHERE metric LIKE 'headcount%') GROUP BY ALL", 1))
+def benchmark_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.benchmark(spark, sf_dir).withColumn("value_min", F.when(F.col("row_index") % 7 == 0, F.col("value_min") + 100).otherwise(F.col("value_min")))
+    first = PR.promote_benchmarks(rows.where("company_id % 10 = 0"), A.anchors(spark, sf_dir).limit(0), ("tertiary",))["anchors"]
+    return PR.promote_benchmarks(rows, first, ("tertiary",))["counts"]
+
+
+@query(sql("SELECT company_id, anchor_month, months, round(value_point / (1 + pct / 100), 4) AS value_point FROM (SELECT company_id, (anchor_month - to_months(months))::DATE AS anchor_month, months, value_point, pct FROM (SELECT company_id, arg_max(anchor_month, (anchor_month, anchor_id)) AS anchor_month, arg_max(value_point, (anchor_month, anchor_id)) AS value_point FROM anchors0 WHERE anchor_type = 'current_headcount_anchor' GROUP BY ALL), (VALUES (6), (12)) AS h(months), LATERAL (SELECT CASE months WHEN 6 THEN (company_id % 50)::DOUBLE ELSE -((company_id % 30)::DOUBLE) END AS pct))", 1, dates=("anchor_month",)))
+def trend_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("6 month growth "), (F.col("company_id") % 50).cast("string"), F.lit("% 1 year growth -"), (F.col("company_id") % 30).cast("string"), F.lit("%"))
+    trends = A.companies(spark, sf_dir).select("company_id", T.growth_trends(text).alias("trends"))
+    now_anchor = PR.latest_current_anchor(A.anchors(spark, sf_dir)).join(trends, "company_id")
+    return rounded(T.back_computed(now_anchor).select("company_id", "anchor_month", F.col("months").cast("int").alias("months"), "value_point"), "value_point")
