@@ -11,6 +11,7 @@ from rosterlake.config import EstimateConfig, Window
 from rosterlake.operators import confidence as C
 from rosterlake.operators import overrides as O
 from rosterlake.operators import series as S
+from rosterlake.sources.tables import checkpointed
 
 
 @dataclass
@@ -33,9 +34,10 @@ def estimate(companies: DataFrame, employment: DataFrame, anchors: DataFrame, ev
     """Every step over all companies at once; bad override rows end in `rejected` instead of failing a company."""
     decoded = O.decode(overrides, now)
     all_events = O.with_events(events, decoded["events"])
-    segs = S.segments(all_events, companies, window)
-    counts = S.profile_counts(employment, companies, window)
-    placed = S.anchors_in_segments(O.with_pins(anchors, decoded["pins"]), segs)
+    # several steps read these three; as tables they are computed once and survive lost executors
+    segs = checkpointed(S.segments(all_events, companies, window))
+    counts = checkpointed(S.profile_counts(employment, companies, window))
+    placed = checkpointed(S.anchors_in_segments(O.with_pins(anchors, decoded["pins"]), segs))
     reconciled = S.reconcile_anchors(placed, config.decay_half_life)
     raw = S.monthly_series(segs, counts, placed, reconciled, window, config)
     series = S.suppress(raw, decoded["windows"])
