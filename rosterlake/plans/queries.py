@@ -347,7 +347,7 @@ texts AS (
   FROM (SELECT row_id, value_text, try_cast(replace(nullif(regexp_extract(value_text, '^\s*(\d[\d,]*)\s*\+\s*$', 1), ''), ',', '') AS DOUBLE) AS b, try_cast(replace(nullif(regexp_extract(value_text, '^\s*(\d[\d,]*)\s*-\s*(\d[\d,]*)\s*\+?\s*$', 1), ''), ',', '') AS DOUBLE) AS lo,
     try_cast(replace(nullif(regexp_extract(value_text, '^\s*(\d[\d,]*)\s*-\s*(\d[\d,]*)\s*\+?\s*$', 2), ''), ',', '') AS DOUBLE) AS hi, try_cast(replace(value_text, ',', '') AS DOUBLE) AS one FROM texts)""", 0, _TEXT))
 def value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.size_texts(spark, sf_dir).withColumn("v", T.headcount_value("value_text"))
+    rows = A.size_texts(spark, sf_dir).withColumn("v", T.size_value("value_text"))
     return rows.select("row_id", "value_text", "v.kind", "v.value_min", "v.value_point", "v.value_max")
 
 

@@ -88,7 +88,7 @@ def load_benchmarks(sheet: DataFrame, provider: str, metrics: dict[str, str], va
     """A provider's wide sheet -> one row a metric with its parsed value and the month it is about.
 
     metrics: column -> metric; value: column -> struct(value_min, value_point,
-    value_max, kind), such as functions.text.headcount_value.
+    value_max, kind), such as functions.text.size_value.
     """
     from rosterlake.config import METRIC_OFFSET
 

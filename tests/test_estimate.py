@@ -208,7 +208,7 @@ MONTHS = [("2023-08-15", "2023-08-01", False), ("08/2023", "2023-08-01", False),
 
 
 def test_text_readers(spark):
-    v = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(VALUES)], "i int, t string").withColumn("v", T.headcount_value("t")).orderBy("i").collect()
+    v = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(VALUES)], "i int, t string").withColumn("v", T.size_value("t")).orderBy("i").collect()
     assert [tuple(r.v) if r.v else None for r in v] == [x for _, x in VALUES]
     m = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(MONTHS)], "i int, t string").withColumn("v", T.month_text("t", 2030)).orderBy("i").collect()
     assert [(str(r.v.month), r.v.reduced) if r.v else (None, None) for r in m] == [(x, y) for _, x, y in MONTHS]
