@@ -106,3 +106,18 @@ def filing_facts(filings: DataFrame, concepts: tuple[str, ...] = ("NumberOfEmplo
 
     newest = Window.partitionBy("company_id").orderBy(F.desc("end"), F.desc("filed"), "concept")
     return rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= top).drop("_n")
+
+
+def knowledge_rows(answers: DataFrame, default_month: Column) -> DataFrame:
+    """answers (company_id, body: JSON of query bindings) -> company_id, value_point, anchor_month; positive values only."""
+    cell = "struct<value:string>"
+    bindings = F.from_json("body", f"struct<results:struct<bindings:array<struct<company:{cell},employees:{cell},asof:{cell}>>>>")["results"]["bindings"]
+    rows = answers.select("company_id", F.explode(bindings).alias("b")).select("company_id", F.col("b.employees.value").try_cast("double").alias("value_point"), F.try_to_date(F.substring("b.asof.value", 1, 10), "yyyy-MM-dd").alias("d"))
+    return rows.where("value_point > 0").select("company_id", "value_point", F.coalesce(F.trunc("d", "month"), default_month).alias("anchor_month"))
+
+
+def archive_url(url: Column | str) -> Column:
+    """struct(snapshot_month, origin) of an archive URL such as .../web/20200131120000/https://a.org/; null parts otherwise."""
+    u = F.col(url) if isinstance(url, str) else url
+    stamp, origin = (F.nullif(F.regexp_extract(u, r"/web/(\d{6})\d{0,8}[a-z_]*/(.+)$", k), F.lit("")) for k in (1, 2))
+    return F.struct(F.try_to_date(F.concat(stamp, F.lit("01")), "yyyyMMdd").alias("snapshot_month"), origin.alias("origin"))

@@ -131,3 +131,22 @@ def shard(rows: DataFrame, order: list[str], n: int, m: int) -> DataFrame:
     return rows.withColumn("_n", number).where(F.col("_n") % m == n - 1).drop("_n")
 
 
+
+
+def missing_keys(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Aliases or links to insert: those whose keys are not there yet, one for each."""
+    return wanted.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+
+
+def event_company(events: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The company of an event: its own, else that of the candidate it came from."""
+    known = candidates.select("candidate_id", F.col("company_id").alias("_c"))
+    return events.join(known, "candidate_id", "left").withColumn("company_id", F.coalesce("company_id", "_c")).drop("_c")
+
+
+def match_targets(targets: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Target names (target) -> company_id by name key; a company's own name wins over an alias, null where nothing matches."""
+    own = companies.select(name_key("name").alias("key"), F.lit(0).alias("rank"), "company_id")
+    keys = own.unionByName(aliases.select(name_key("alias").alias("key"), F.lit(1).alias("rank"), "company_id")).where("key <> ''")
+    best = keys.groupBy("key").agg(F.min(F.struct("rank", "company_id"))["company_id"].alias("company_id"))
+    return targets.withColumn("key", name_key("target")).join(best, "key", "left").drop("key")

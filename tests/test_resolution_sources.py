@@ -87,3 +87,18 @@ def test_archive_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r.body: (r.seen_count, r.status) for r in spark.read.parquet(f"{tmp_path}/out/snapshot=0").collect()}
     assert got == {"a": (2, 200), "b": (1, 200)}
+
+
+def test_small_lookups(spark):
+    comp = spark.createDataFrame([(1, "Acme Inc"), (2, "Beta")], "company_id long, name string")
+    alias = spark.createDataFrame([(2, "ACME"), (2, "B2")], "company_id long, alias string")
+    got = {r.target: r.company_id for r in RS.match_targets(spark.createDataFrame([("acme llc",), ("b2",), ("zzz",)], "target string"), comp, alias).collect()}
+    assert got == {"acme llc": 1, "b2": 2, "zzz": None}
+    assert RS.missing_keys(alias.unionByName(alias), alias.where("alias = 'B2'"), ["company_id", "alias"]).count() == 1
+    ev = spark.createDataFrame([(None, 7), (5, 7)], "company_id long, candidate_id long")
+    assert sorted(r.company_id for r in RS.event_company(ev, spark.createDataFrame([(7, 9)], "candidate_id long, company_id long")).collect()) == [5, 9]
+    body = '{"results": {"bindings": [{"company": {"value": "q"}, "employees": {"value": "12"}, "asof": {"value": "2020-05-07T00:00:00Z"}}, {"employees": {"value": "-1"}}, {"employees": {"value": "3"}}]}}'
+    rows = X.knowledge_rows(spark.createDataFrame([(1, body)], "company_id long, body string"), F.lit("2021-01-01").cast("date")).collect()
+    assert sorted((r.value_point, str(r.anchor_month)) for r in rows) == [(3.0, "2021-01-01"), (12.0, "2020-05-01")]
+    u = spark.createDataFrame([("https://archive.org/web/20200131120000/https://a.org/x",), ("https://a.org",)], "u string").select(X.archive_url("u").alias("a")).collect()
+    assert (str(u[0].a.snapshot_month), u[0].a.origin, u[1].a.origin) == ("2020-01-01", "https://a.org/x", None)
