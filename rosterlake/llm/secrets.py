@@ -31,9 +31,11 @@ NAME_WEIGHT = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "s
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|changeme|example|placeholder|none|null|true|false|your[-_ ].*)$", re.IGNORECASE)
 #: Literals that score this much are reported.
 MIN_SCORE = 1.2
-MAX_LITERAL = 4096
+#: Characters of a value joined of several pieces that its score is taken from; a literal by itself is scored whole.
+JOINED_SAMPLE = 1024
 
-_PAIR = re.compile(r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})["']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?=["'$A-Za-z0-9+/_-])""")
+_TYPE = r"""(?P<type>[A-Za-z_][\w.]{0,63})(?:[<\[][^"'=\n]{0,64}[>\]])?(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]{0,63}){0,4}[?!]?"""
+_PAIR = re.compile(r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})["']?[ \t]*(?::[ \t]*(?:&(?:'[a-z]+[ \t]+)?)?""" + _TYPE + r"""(?:[ \t]+=(?![=>])|=(?=[ \t]*["']))|:=|=>|=(?!=)|:(?![:/]))[ \t]*(?=["'$A-Za-z0-9+/_-])""")
 _TERM = re.compile(r"""(?:"(?P<double>[^"\n]*)"|'(?P<single>[^'\n]*)'|\$\{(?P<braced>[A-Za-z_]\w*)\}|\$(?P<dollar>[A-Za-z_]\w*)|(?P<bare>[A-Za-z0-9+/_.=-]+))""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -46,8 +48,11 @@ def name_weight(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """0 to 1: length, entropy and mix of character classes of a literal."""
-    if len(value) < 8 or _PLACEHOLDER.match(value) or any(c in " \t" for c in value):
+    """0 to 1: length, entropy and mix of character classes of a literal, spaces and tabs left out."""
+    if _PLACEHOLDER.match(value):
+        return 0.0
+    value = value.replace(" ", "").replace("\t", "")
+    if len(value) < 8:
         return 0.0
     n = len(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
@@ -58,37 +63,73 @@ def literal_score(value: str) -> float:
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose name and shape together score MIN_SCORE or more.
 
-    held maps each name to the literal pieces (start, end) that its value is
-    made of; a name that is set again takes the later value for what follows.
+    held maps each name to its value: (parts, sample), where a part is a span
+    or the value of another name and sample is the start of the joined text
+    (None for a literal by itself).  Values are shared, not copied, and each is
+    reported once, so that chains of constants cost no more than their length.
+    A name that is set again takes the later value for what follows.  In
+    `name: word = literal`, `word` may be a type or, after a label, the name
+    proper, so the stronger of the two counts.
     """
     if "=" not in text and ":" not in text:
         return []
-    held: dict[str, list[tuple[int, int]]] = {}
-    found = set()
+    held: dict[str, tuple[list, str | None]] = {}
+    found, told = set(), set()
+
+    def sample(part) -> str:
+        if isinstance(part[0], int):
+            return text[part[0] : part[1]]
+        return sample(part[0][0]) if part[1] is None else part[1]
+
+    def report(value) -> None:
+        stack = [value]
+        while stack:
+            part = stack.pop()
+            if isinstance(part[0], int):
+                found.add(part)
+            elif id(part) not in told:
+                told.add(id(part))
+                kept.append(part)
+                stack += part[0]
+
+    kept: list[tuple] = []  # reported values stay alive, so their id stays theirs
     for pair in _PAIR.finditer(text):
-        at, pieces = pair.end(), []
+        at, parts = pair.end(), []
         while term := _TERM.match(text, at):
             kind, value = term.lastgroup, term[term.lastgroup]
             quoted = kind in ("double", "single")
             ref = re.fullmatch(r"\$\{?(\w+)\}?", value) if quoted else None
-            if kind in ("braced", "dollar"):
-                pieces += held.get(value, [])
-            elif ref and ref[1] in held:
-                pieces += held[ref[1]]
-            elif kind == "bare" and value in held:
-                pieces += held[value]
+            name = ref[1] if ref else value
+            if kind in ("braced", "dollar") or (ref or kind == "bare") and name in held:
+                if name in held:
+                    parts.append(held[name])
             else:
-                pieces.append(term.span(kind))
+                parts.append(term.span(kind))
             plus = _PLUS.match(text, term.end())
             if not plus:
                 break
             at = plus.end()
-        if not pieces or sum(e - s for s, e in pieces) > MAX_LITERAL:
+        names = [n for n in (pair["name"], pair["type"]) if n]
+        if pair["type"] and any(c.isdigit() for c in pair["type"]):  # `name: literal = ...` is possible too
+            weight = name_weight(pair["name"])
+            if weight and weight + literal_score(pair["type"]) >= MIN_SCORE + (1 - weight) * 0.5:
+                found.add(pair.span("type"))
+        if not parts:
             continue
-        held[pair["name"]] = pieces
-        weight = name_weight(pair["name"])
-        if weight and weight + literal_score("".join(text[s:e] for s, e in pieces)) >= MIN_SCORE + (1 - weight) * 0.5:
-            found.update(pieces)
+        if len(parts) == 1:
+            value = ([parts[0]], None) if isinstance(parts[0][0], int) else parts[0]
+        else:
+            joined, n = [], 0
+            for part in parts:
+                if n >= JOINED_SAMPLE:
+                    break
+                joined.append(sample(part)[:JOINED_SAMPLE])
+                n += len(joined[-1])
+            value = (parts, "".join(joined)[:JOINED_SAMPLE])
+        held.update(dict.fromkeys(names, value))
+        weight = max(map(name_weight, names))
+        if weight and weight + literal_score(sample(value)) >= MIN_SCORE + (1 - weight) * 0.5:
+            report(value)
     return sorted(found)
 
 
