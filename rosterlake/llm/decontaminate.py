@@ -44,8 +44,12 @@ def gram_texts(w: Column, size: int) -> Column:
 
 
 def item_table(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """items (item_id, text) -> item_id, gram (words a shingle), texts (distinct shingles), n, hashes (distinct)."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """items (item_id, text) -> item_id, gram (words a shingle), texts (distinct shingles), n, hashes (distinct), item.
+
+    A row for each item_id and text; `item` numbers the rows, as ids may be null
+    or repeat with other texts.  The numbers hold once the table is written.
+    """
+    w = items.select("item_id", "text").distinct().select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     per_size = []
     for k in range(1, shingle + 1):
         here = w.where(F.size("w") == k if k < shingle else F.size("w") >= shingle)
@@ -53,51 +57,61 @@ def item_table(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     out = per_size[0]
     for x in per_size[1:]:
         out = out.unionByName(x)
-    return out.withColumn("n", F.size("texts"))
+    return out.withColumn("n", F.size("texts")).withColumn("item", F.monotonically_increasing_id())
 
 
 def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """item_table -> item_id, hash, need (shingles a document must have), least (sketch hashes it must meet)."""
+    """item_table -> item, hash, need (shingles a document must have), least (sketch hashes it must meet)."""
     need = F.ceil(F.col("n") * F.lit(containment) - F.lit(1e-9)).cast("int")
     partition = F.floor(F.log2(F.col("n"))).cast("int")
     largest = F.pow(F.lit(2.0), partition + 1) - 1
     k = F.least((largest - F.ceil(largest * F.lit(containment)) + 1).cast("int"), F.size("hashes"))
     shaped = items.withColumn("need", need).withColumn("k", k).withColumn("least", F.greatest(F.lit(1), F.col("k") - (F.col("n") - F.col("need"))))
-    return shaped.select("item_id", "need", "least", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.col("k"))).alias("hash"))
+    return shaped.select("item", "need", "least", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.col("k"))).alias("hash"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """docs (doc_id, text, ...), items (item_id, text, ...) -> a row for each document and item it holds.
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
-    doc_id, item_id, n_item (distinct shingles of the item), n_shared (those
-    that the document has) and their ratio, 0.8 or more.  Words are runs of
-    other than space and 0x09-0x0D, lower-cased.  An item with fewer than
-    `shingle` words is one shingle of all its words; null and empty texts hold
-    nothing and are held by nothing.  Rows with equal ids but different texts
-    are judged apart; equal result rows are given once.
-    """
+
+def keyed_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+    """`find_leaks` with the digest `key` of the document's text, and not reduced to distinct rows."""
     table = written(item_table(items, shingle), "items")
     sizes = sorted(r["gram"] for r in table.select("gram").distinct().collect()) or [shingle]  # `shingle` numbers at most
     index = written(sketches(table, containment), "sketches")
     small = F.broadcast if index.count() <= MAX_BROADCAST_ROWS else lambda df: df
-    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), words(F.col("text")).alias("w"))
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w"))
     probes = keyed.select("key", F.size("w").alias("n_words"), F.explode(gram_hashes(F.col("w"), sizes)).alias("hash"))
-    met = probes.join(small(index), "hash").where(F.col("n_words") >= F.col("need")).select("key", "item_id", "least", "hash").distinct()
-    candidates = written(met.groupBy("key", "item_id").agg(F.count("*").alias("met"), F.first("least").alias("least")).where("met >= least").select("key", "item_id"), "candidates")
+    met = probes.join(small(index), "hash").where(F.col("n_words") >= F.col("need")).select("key", "item", "least", "hash").distinct()
+    candidates = written(met.groupBy("key", "item").agg(F.count("*").alias("met"), F.first("least").alias("least")).where("met >= least").select("key", "item"), "candidates")
     few = candidates.count() <= MAX_BROADCAST_ROWS
     near = F.broadcast if few else lambda df: df
-    pairs = keyed.join(near(candidates), "key").join(small(table.select("item_id", "gram", "texts", "n")), "item_id")
+    pairs = keyed.join(near(candidates), "key").join(small(table.select("item", "item_id", "gram", "texts", "n")), "item")
     mine = gram_texts(F.col("w"), shingle)
     for k in range(1, shingle):
         if k in sizes:
             mine = F.when(F.col("gram") == k, gram_texts(F.col("w"), k)).otherwise(mine)
-    shared = pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), F.size(F.array_intersect("texts", mine)).cast("long").alias("n_shared"))
+    shared = pairs.select("doc_id", "key", "item_id", F.col("n").cast("long").alias("n_item"), F.size(F.array_intersect("texts", mine)).cast("long").alias("n_shared"))
     held = shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(containment) - F.lit(1e-9)))
-    return held.withColumn("containment", F.col("n_shared") / F.col("n_item")).distinct()
+    return held.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+    """docs (doc_id, text, ...), items (item_id, text, ...) -> a row for each document and item it holds.
+
+    doc_id, item_id, n_item (distinct shingles of the item), n_shared (those
+    that the document has) and their ratio, 0.8 or more.  Words are runs of
+    other than space and 0x09-0x0D, lower-cased.  An item with fewer than
+    `shingle` words is one shingle of all its words; null and empty texts hold
+    nothing and are held by nothing.  Rows with equal or null ids but different
+    texts are judged apart, in docs and in items; equal result rows are given
+    once.
+    """
+    return keyed_leaks(docs, items, shingle, containment).drop("key").distinct()
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of docs, with all their columns, whose id holds no item."""
-    leaks = written(find_leaks(docs, items, shingle, containment).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    """The rows of docs, with all their columns, whose text holds no item; rows that share an id are judged apart."""
+    leaks = written(keyed_leaks(docs, items, shingle, containment).select(F.col("doc_id").alias("_leak"), F.col("key").alias("_leak_key")).distinct(), "leaks")
     side = F.broadcast(leaks) if leaks.count() <= MAX_BROADCAST_ROWS else leaks
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_leak")) & (text_key(F.col("text")) == F.col("_leak_key")), "left_anti")

@@ -296,6 +296,22 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(df, items.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), items).count() == 0
 
 
+def test_decontamination_null_and_repeated_ids(spark):
+    one, two = " ".join(f"one{i}" for i in range(40)), " ".join(f"two{i}" for i in range(3000))
+    items = spark.createDataFrame([(None, one), (7, two), (7, "short item"), (7, "short item")], "item_id long, text string")
+    rows = [(None, "x " + one), (None, "clean row"), (None, None), (3, two + " y"), (3, "clean row"), (4, "a short item b"), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (decontaminate.MAX_BROADCAST_ROWS, 0):
+        decontaminate.MAX_BROADCAST_ROWS, before = few, decontaminate.MAX_BROADCAST_ROWS
+        try:
+            got = sorted(((r.doc_id, r.item_id, r.n_item) for r in decontaminate.find_leaks(df, items).collect()), key=repr)
+            left = sorted(((r.doc_id, r.text) for r in decontaminate.clean_documents(df, items).collect()), key=repr)
+        finally:
+            decontaminate.MAX_BROADCAST_ROWS = before
+        assert got == [(3, 7, 2996), (4, 7, 1), (5, None, 36), (None, None, 36)]
+        assert left == [(3, "clean row"), (None, "clean row"), (None, None)]
+
+
 def removed(rows):
     first = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
