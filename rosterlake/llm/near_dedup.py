@@ -1,6 +1,7 @@
 """MinHash near-dedup: signature-coordinate inverted join, verified on full shingle sets.
 
-1. Documents with equal shingle sets form one class (a digest of the set).
+1. Documents with equal shingle sets form one class (a digest of the set); classes
+   are numbered, as ids may be null or repeat with other texts.
 2. A class has a MinHash signature of K coordinates.  Two sets of similarity
    0.8 agree in fewer than T of them with a chance of about 1e-7.
 3. Classes are posted under their coordinate-value pairs, but only under the
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -80,7 +81,7 @@ def _described(size: int):
             sig = signatures(values, first)
             n = np.diff(first)
             keys = [hashlib.blake2b(values[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "key", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "digest", "n_shingles", "key", "signature"])
 
     return describe
 
@@ -197,9 +198,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(size: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of rows that repeat an id and its text, one in each task
         for b in slices(batches, "text"):
+            rows = []
+            for i, k in enumerate(zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), strict=True)):
+                if k not in seen:
+                    seen.add(k)
+                    rows.append(i)
+            b = b.take(pa.array(rows, pa.int64()))
             values, first = shingle_sets(scan(b.column("text"), lower=True), size)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "digest", "set"])
 
     return build
 
@@ -225,13 +233,14 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return components(edges).withColumnRenamed("component", "grp")
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
-    """A spanning forest (a, b) of the exact links inside the candidate groups."""
-    counted = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
-    side = written(counted.select("id", "grp", "n"), "members")
+def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, size: int) -> DataFrame:
+    """A spanning forest (a, b) of the exact links inside the candidate groups; classes (id, first) names a row of each."""
+    counted = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp").join(classes.select("id", "first.doc_id", "first.digest"), "id")
+    side = written(counted.select("id", "grp", "n", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.xxhash64("doc_id", "digest").alias("row")), "members")
     # only texts of (nearly only) members become sets, and only sets are shuffled
-    read = maybe_members(docs.select(F.col("doc_id").alias("id"), "text"), "id", side.select("id"))
-    sets = written(read.mapInArrow(_sets(size), "id long, set binary").join(side, "id").groupBy("id", "grp", "n").agg(F.min("set").alias("set")), "sets")
+    read = maybe_members(digested(docs).withColumn("row", F.xxhash64("doc_id", "digest")), "row", side.select("row")).drop("row")
+    built = read.mapInArrow(_sets(size), "doc_id long, digest binary, set binary")
+    sets = written(built.join(side, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))).groupBy("id", "grp", "n").agg(F.min("set").alias("set")), "sets")
     out = "a long, b long"
     # first round: chunks of a group, each with the same few hubs, so that groups that hang together are linked across chunks
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP_CHUNK)).cast("int")
@@ -262,31 +271,57 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     return first.unionByName(second)
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+def judged(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """`near_duplicates` with the digest of each row's text."""
+    described = written(digested(docs).mapInArrow(_described(size), "doc_id long, digest binary, n_shingles long, key binary, signature binary"), "described")
+    # the first row of a class or component: the smallest doc_id, null ids last, then by digest
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    of_key = described.where("key is not null").groupBy("key").agg(F.min(row).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
+    classes = written(of_key.withColumn("id", F.monotonically_increasing_id()), "classes")
+    groups = candidate_groups(classes.select("id", "n_shingles", "signature"))
+    links = confirmed_links(docs, classes, groups, size)
+    of_class = written(components(links), "linked")
+    firsts = of_class.join(classes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("linked_first"))
+    named = classes.select("key", "id", "first").join(of_class.join(firsts, "component").select("id", "linked_first"), "id", "left").select("key", F.coalesce("linked_first", "first").alias("first"))
+    out = described.select("doc_id", "digest", "n_shingles", "key").join(named, "key", "left")
+    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"), "digest")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per row.
 
     Words are runs of other than space and 0x09-0x0D, A-Z lower-cased; a set
     holds the distinct `size`-word shingles, or all words as one where there
-    are fewer.  Documents are linked where sets are similar to 80 % or more.
-    component_id is the smallest doc_id reachable, kept tells whether it is the
-    document's own.  Null and empty texts have no set and are linked with
-    nothing; rows with a null doc_id are kept apart with a null component_id
-    and kept = true; rows that repeat an id share a component, judged by one of
-    their sets (the smallest by bytes).
+    are fewer.  Rows are linked where sets are similar to 80 % or more.
+    component_id is the smallest doc_id reachable, null where no row reached
+    has one; kept tells whether the row is the first of its component (by
+    doc_id, null ids last, then by the digest of the text).  Null and empty
+    texts have no set and are linked with nothing.  Rows that repeat an id with
+    another text are compared and kept apart; rows that repeat both are kept
+    together.
     """
-    described = written(docs.select("doc_id", "text").mapInArrow(_described(size), "doc_id long, n_shingles long, key binary, signature binary"), "described")
-    usable = described.where("key is not null and doc_id is not null")
-    classes = written(usable.groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")), "classes")
-    groups = candidate_groups(classes.select("id", "n_shingles", "signature"))
-    links = confirmed_links(docs, groups, size)
-    of_class = components(links)
-    named = classes.select("key", "id").join(of_class, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    out = described.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    own = F.when(F.col("key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return judged(docs, size).drop("digest")
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One document of each component, with all columns of docs; of rows that repeat a kept id, the first by text."""
-    keep = near_duplicates(docs, size).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each component, with all columns of docs; of rows that repeat an id and its text, the first by all columns.
+
+    Rows with neither an id nor words are no repeats of each other and all stay.
+    """
+    rows = judged(docs, size).where("kept")
+    keep = written(rows.groupBy(F.col("doc_id").alias("_kept"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_words")), "kept")
+    single = (F.col("_n") == 1) | (F.col("_kept").isNull() & (F.col("_words") == 0))
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    held = lambda side: docs.join(side, F.col("doc_id").eqNullSafe(F.col("_kept")) & (digest == F.col("_digest")), "left_semi")
+    once = held(keep.where(single))
+    several = keep.where(~single)
+    if several.isEmpty():
+        return once
+    by_row = Window.partitionBy("doc_id", digest).orderBy(*(F.col(c) for c in docs.columns))
+    return once.unionByName(held(several).withColumn("_row", F.row_number().over(by_row)).where("_row = 1").drop("_row"))

@@ -195,6 +195,16 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.deduplicated(docs(spark)).columns == docs(spark).columns
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, c), (3, c), (None, a + " end"), (None, "p q r s t u v"), (None, "p q r s t u v"), (4, ""), (4, ""), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == {(1, 1, True): 2, (2, 1, False): 1, (3, 3, True): 2, (None, 1, False): 1, (None, None, True): 4, (4, 4, True): 2}
+    left = sorted(map(tuple, near_dedup.deduplicated(df).collect()), key=repr)
+    assert left == sorted([(1, a), (1, b), (3, c), (None, "p q r s t u v"), (4, ""), (None, None), (None, None)], key=repr)
+
+
 def test_components_and_membership(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(chain).collect()}
