@@ -1,11 +1,10 @@
 """Mix sources to target weights (DataFrame operations only).
 
 The words of a source, in order of doc_id, are packed into blocks of a fixed
-length.  Each source gets as many output slots as its target holds blocks; the
-slots of all sources form one urn, and a pseudorandom permutation of the urn
-deals them to output shards, so that the source counts of a shard are a draw
-without replacement (multinomial, conditioned on each source's total, which
-therefore comes out exactly).  Slot j of a source takes the block that the
+length.  Each source gets as many output slots as its target holds blocks, so
+its total comes out exactly.  Not done: the source counts of output shards are
+not drawn; `output_slots` spreads the slots evenly by one fixed affine map, and
+its shard and position reach no result.  Slot j of a source takes the block that the
 source's own index permutation of pass `j div blocks` gives, and the join is by
 (source, block).
 """
