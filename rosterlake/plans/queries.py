@@ -96,6 +96,13 @@ def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.segment_of(e.segments, months).withColumn("segment_no", F.col("segment_no").cast("long"))
 
 
+@query(sql("SELECT c.company_id, c.month, segment_no, segment_start, segment_end FROM spine c JOIN segments g ON g.company_id = c.company_id AND c.month BETWEEN segment_start AND segment_end", 3, dates=("month", "segment_start", "segment_end")))
+def segment_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`segment_lookup` for every company-month."""
+    e = full(spark, sf_dir)
+    return S.segment_of(e.segments, e.counts.select("company_id", "month")).withColumn("segment_no", F.col("segment_no").cast("long"))
+
+
 @query(sql(f"SELECT company_id, segment_no, anchor_month, {_R}, n_top, n_point, precise AS has_precise FROM reconciled", 4, dates=("anchor_month",)))
 def anchors_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = full(spark, sf_dir).reconciled.select("company_id", F.col("segment_no").cast("long").alias("segment_no"), "anchor_month", *_VALUES, "n_top", "n_point", "has_precise")
@@ -450,6 +457,19 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, "value_point")
 
 
+@query(sql("SELECT s.company_id, s.month, round(s.value_point, 4) AS value_point, s.method, g.segment_no, g.segment_start, (SELECT count(*) FROM placed p WHERE p.company_id = s.company_id AND p.segment_no = g.segment_no) AS n_anchors, (SELECT count(*) FROM events v WHERE v.company_id = s.company_id AND v.event_month BETWEEN g.segment_start AND g.segment_end) AS n_events, (SELECT count(*) FROM growth w WHERE w.company_id = s.company_id AND w.month = s.month) AS n_growth FROM stored s JOIN segments g USING (company_id, segment_no)", 7, dates=("month", "segment_start")))
+def evidence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`evidence` for every stored company-month."""
+    e = full(spark, sf_dir)
+    series = TB.checkpointed(e.stored)
+    wanted = series.select("company_id", "month")
+    all_events = OV.with_events(A.events(spark, sf_dir), OV.decode(A.overrides(spark, sf_dir), now())["events"])
+    tree = X.evidence(wanted, series, e.segments, e.placed, all_events, G.growth_series(series))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    rows = tree.select("company_id", "month", F.col("estimate.value_point").alias("value_point"), "estimate.method", F.col("segment.segment_no").cast("long").alias("segment_no"), "segment.segment_start", n("anchors").alias("n_anchors"), n("events").alias("n_events"), n("growth").alias("n_growth"))
+    return rounded(rows, "value_point")
+
+
 @query(sql("SELECT company_id, name, max(CASE WHEN horizon = '1y' THEN round(growth_point, 4) END) AS growth_1y, max(CASE WHEN horizon = '6m' THEN round(growth_point, 4) END) AS growth_6m FROM company LEFT JOIN latest USING (company_id) GROUP BY ALL", 7))
 def company_growth_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = rounded(G.latest_growth(stored(spark, sf_dir)), "growth_point").groupBy("company_id").pivot("horizon", ["1y", "6m"]).agg(F.max("growth_point"))
