@@ -1,4 +1,4 @@
-"""Connected components of an edge table: smallest reachable id, by label spreading with pointer jumping."""
+"""Connected components of an edge table: smallest reachable id, by contraction."""
 
 from __future__ import annotations
 
@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from .storage import drop, written
 
 
+def ordered(edges: DataFrame) -> DataFrame:
+    """The distinct edges (a, b) with a < b."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b: long) -> id, component for every id that an edge names.
+    """edges (a, b: long) -> id, component for every id that an edge between different ids names.
 
-    Each round takes, for every id, the smallest label among its own and its
-    neighbours', then follows that label's own label once, so paths shorten
-    geometrically.  Rounds are tables in the shared folder; hot ids are
-    combined on the map side before they are shuffled.
+    Each round points every id to the smallest of itself and its neighbours
+    and from there to where that one points, replaces the ends of all edges by
+    what they point to, and drops the edges whose ends agree: what a star holds
+    is gone after one round, and chains shorten geometrically.  Rounds are
+    tables in the shared folder; hot ids are combined on the map side before
+    they are shuffled.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        seen = labels.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("old"))
-        up = labels.select(F.col("id").alias("c"), F.col("component").alias("up"))
-        after = written(seen.join(up, "c", "left").select("id", F.least("c", F.coalesce("up", "c")).alias("component"), "old"), "labels")
-        changed = not after.where("component <> old").isEmpty()
-        drop(labels)
-        labels = after
-        if not changed:
-            drop(both)
-            return labels.select("id", "component")
+    live, labels = written(ordered(edges), "edges"), None
+    while labels is None or not live.isEmpty():
+        ends = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to")), "least")
+        further = least.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        up = written(least.join(further, "to").select("id", F.col("further").alias("up")), "up")
+        at = lambda name: up.select(F.col("id").alias(name), F.col("up").alias(f"{name}_up"))  # noqa: E731, B023
+        left = written(ordered(live.join(at("a"), "a").join(at("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))), "edges")
+        if labels is None:
+            after = written(up.withColumnRenamed("up", "component"), "labels")
+        else:
+            after = written(labels.join(at("component"), "component", "left").select("id", F.coalesce("component_up", "component").alias("component")), "labels")
+            drop(labels)
+        drop(live, least, up)
+        live, labels = left, after
+    drop(live)
+    return labels

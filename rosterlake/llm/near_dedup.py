@@ -7,14 +7,19 @@
 3. Classes are posted under their coordinate-value pairs, but only under the
    K - T + 1 rarest ones (the prefix: two signatures with T common pairs have
    one there), and pairs that one class alone has are skipped.
-4. Inside a posting, collisions are counted over whole signatures, and only a
-   spanning forest of the pairs with T or more leaves the task.
-5. The forests' components are candidate groups.  A group's full sets meet in
-   a task (large groups in chunks), links are confirmed exactly, and again only
-   a spanning forest of the confirmed links leaves.
+4. Inside a posting, collisions are counted over whole signatures, and stars over
+   the pairs with T or more leave the task.  A class is in a posting of more than
+   POSTING_CHUNK only if T - 1 more of its pairs are as common, so such a posting
+   holds texts around one template; it becomes one star uncounted.
+5. The stars' components are candidate groups.  A group's full sets meet in a
+   task; a larger group's in chunks that share a few hubs.  Links are confirmed
+   exactly, and again only stars leave.
+6. What the hubs of a large group leave unlinked is joined with the group on its
+   rarest shingles (at 0.8, two sets share one of the rarest fifth of either),
+   and those pairs are confirmed exactly.
 
 Every confirmed link between different sets lies in one candidate group, so
-components of the forests are those of all links.
+components of the stars are those of all links.
 """
 
 from __future__ import annotations
@@ -27,19 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, ordered
 from .membership import maybe_members
-from .storage import slices, written
+from .storage import drop, slices, written
 from .textscan import U64, Scan, constants, scan, segment_hash, sorted_unique_by_doc, windows, word_hash
 
 SHINGLE = 5
 #: Similarity as a ratio of integers, so that the comparison is exact.
 SIMILARITY = (80, 100)
 K, T = 48, 23
-#: Rows of a posting, and sets of a candidate group, that are compared in one piece; larger ones are cut into chunks.
-POSTING_CHUNK = 4096
+#: Rows of a posting, and sets of a candidate group, that one task compares; larger ones go the ways of steps 4 and 5.
+POSTING_CHUNK = 512
 GROUP_CHUNK = 1024
 HUBS = 8
+EDGES = "a long, b long"
+#: Parts that the rows of a posting above POSTING_CHUNK are dealt to.
+SALTS = 32
 
 
 def shingle_sets(s: Scan, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +94,28 @@ def _described(size: int):
     return describe
 
 
-def forest(n: int, near) -> list[tuple[int, int]]:
-    """Spanning forest of a similarity graph; near(i, rest) tells which of the indices `rest` are linked with i.
+def stars(n: int, near) -> tuple[np.ndarray, np.ndarray]:
+    """(first, other) index of each index that is not the first of its part of a similarity graph.
 
-    Searches breadth first and compares with unvisited indices only: a group
-    that hangs together costs about one comparison an index.
+    near(i, rest) tells which of the indices `rest` are linked with i.  Searches
+    depth first and compares with unvisited indices only: a group that hangs
+    together costs about one comparison an index.
     """
-    rest, edges = np.arange(n), []
+    rest, heads, others = np.arange(n), [], []
     while len(rest):
-        stack, rest = [rest[0]], rest[1:]
+        head, stack, rest = rest[0], [rest[0]], rest[1:]
         while stack and len(rest):
-            i = stack.pop()
-            hit = near(i, rest)
-            edges += [(i, j) for j in rest[hit].tolist()]
+            hit = near(stack.pop(), rest)
+            heads.append(np.full(hit.sum(), head))
+            others.append(rest[hit])
             stack += rest[hit].tolist()
             rest = rest[~hit]
-    return edges
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *heads]), np.concatenate([none, *others])
+
+
+def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -123,39 +137,47 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def chunk_pairs(df: DataFrame, key: str, size: str, member: str, chunk: int) -> DataFrame:
-    """Rows of groups with more than `chunk` rows go to each pair of chunks that theirs is in; `task` names the pair.
-
-    Any two rows of a group meet in a task, and no task holds more than about
-    two chunks, however large the group.
-    """
-    parts = F.ceil(F.col(size) / chunk).cast("int")
-    mine = F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    cut = df.withColumn("_parts", parts).withColumn("_mine", mine).withColumn("_other", other)
-    return cut.withColumn("task", F.xxhash64(key, F.least("_mine", "_other"), F.greatest("_mine", "_other"))).drop("_parts", "_mine", "_other")
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of a sorted stream, cut at borders between keys only."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        if held and held[-1].column(key)[-1].as_py() != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.searchsorted(values, values[-1]))
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _posting_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for g in grouped(batches, "task"):
-        if g.num_rows < 2:
-            continue
-        ids = g.column("id").to_numpy()
-        ids, at = np.unique(ids, return_index=True)
-        sig = np.frombuffer(b"".join(g.column("signature").to_pylist()), np.uint32).reshape(-1, K)[at]
-        sizes = g.column("n_shingles").to_numpy()[at]
-        p, q = SIMILARITY
+def _posting_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings whose members are all near the first are settled together; the others are searched."""
+    p, q = SIMILARITY
+    for t in whole_groups(batches, "pair"):
+        pair, ids, sizes = (t.column(c).to_numpy() for c in ("pair", "id", "n_shingles"))
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, K)
 
-        def near(i, rest, sig=sig, sizes=sizes):
-            could = q * np.minimum(sizes[rest], sizes[i]) >= p * np.maximum(sizes[rest], sizes[i])
-            hit = np.zeros(len(rest), bool)
-            at = np.flatnonzero(could)
-            hit[at] = (sig[rest[at]] == sig[i]).sum(1) >= T
-            return hit
+        def near(i, j, sig=sig, sizes=sizes):
+            could = q * np.minimum(sizes[i], sizes[j]) >= p * np.maximum(sizes[i], sizes[j])
+            return could & ((sig[i] == sig[j]).sum(1) >= T)
 
-        if e := forest(len(ids), near):
-            a, b = np.array(e).T
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        count = np.diff(np.append(first, len(pair)))
+        head = np.repeat(first, count)
+        hit = near(head, np.arange(len(pair)))
+        simple = np.repeat(np.logical_and.reduceat(hit, first), count)
+        at = np.flatnonzero(simple)
+        yield edge_batch(ids[head[at]], ids[at])
+        for x in first[~simple[first]].tolist():
+            member = np.arange(x, np.searchsorted(pair, pair[x], side="right"))
+            a, b = stars(len(member), lambda i, rest, m=member, near=near: near(np.full(len(rest), m[i]), m[rest]))
+            yield edge_batch(ids[member[a]], ids[member[b]])
 
 
 class SetGroup:
@@ -191,9 +213,29 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ids, at = np.unique(g.column("id").to_numpy(), return_index=True)
         group = SetGroup([np.frombuffer(x, U64) for x in g.column("set").take(pa.array(at)).to_pylist()])
-        if e := forest(len(ids), group.near):
-            a, b = np.array(e).T
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+        a, b = stars(len(ids), group.near)
+        yield edge_batch(ids[a], ids[b])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for b in slices(iter([batch]), "set"):
+            n = np.array([len(x) // 8 for x in b.column("set").to_pylist()], np.int64)
+            rows = pa.array(np.repeat(np.arange(b.num_rows), n))
+            values = np.frombuffer(b"".join(b.column("set").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("grp").take(rows), b.column("id").take(rows), pa.array(np.repeat(n, n)), pa.array(values)], ["grp", "id", "n_set", "member"])
+
+
+def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    p, q = SIMILARITY
+    for batch in batches:
+        hit = []
+        for x, y in zip(batch.column("set").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            hit.append(q * shared >= p * (len(x) + len(y) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
 
 def _sets(size: int):
@@ -212,12 +254,15 @@ def _sets(size: int):
     return build
 
 
-def _tasks(df: DataFrame) -> DataFrame:
-    return df.repartition("task").sortWithinPartitions("task")
+def _tasks(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key).sortWithinPartitions(key, "id")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """classes (id, n_shingles, signature) -> id, grp: groups outside of which no two classes agree in T coordinates."""
+    p, q = SIMILARITY
+    # below, every other set is further away than SIMILARITY
+    classes = classes.where(F.col("n_shingles") * (q - p) >= p)
     pairs = F.posexplode(F.expr(f"transform(sequence(0, {K - 1}), i -> substring(signature, 4 * i + 1, 4))"))
     posted = classes.select("id", pairs.alias("j", "v")).select("id", F.xxhash64("j", "v").alias("pair"))
     common = posted.groupBy("pair").count().where("count > 1")
@@ -225,50 +270,75 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     # a class's pairs that it alone has come first in the prefix; what is left of the prefix holds its rarest shared pairs
     own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("pairs"))
     left = F.lit(K - T + 1) - (F.lit(K) - F.size("pairs"))
-    prefix = own.where(left > 0).select("id", F.explode(F.slice("pairs", F.lit(1), left)).alias("p")).select("id", F.col("p.pair").alias("pair"), F.col("p.count").alias("count"))
-    prefix = written(prefix.join(classes, "id"), "postings")
-    held = prefix.groupBy("pair").agg(F.count("*").alias("held")).where("held > 1")
-    tasks = chunk_pairs(prefix.drop("count").join(held, "pair"), "pair", "held", "id", POSTING_CHUNK)
-    edges = written(_tasks(tasks.select("task", "id", "n_shingles", "signature")).mapInArrow(_posting_forests, "a long, b long").distinct(), "candidates")
-    return components(edges).withColumnRenamed("component", "grp")
-
-
-def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, size: int) -> DataFrame:
-    """A spanning forest (a, b) of the exact links inside the candidate groups; classes (id, first) names a row of each."""
+    prefix = written(own.where(left > 0).select("id", F.explode(F.slice("pairs", F.lit(1), left)).alias("p")).select("id", F.col("p.pair").alias("pair")), "prefix")
+    held = written(prefix.groupBy("pair").agg(F.count("*").alias("held"), F.min("id").alias("head")).where("held > 1"), "postings")
+    # the few large postings meet salted rows, so no task gets a whole one
+    large = held.where(F.col("held") > POSTING_CHUNK).select("pair", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = prefix.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(large, ["pair", "salt"], "left")
+    edges = dealt.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    small = dealt.where("head is null").select("pair", "id").join(held.where(F.col("held") <= POSTING_CHUNK).select("pair"), "pair").join(classes, "id")
+    counted = _tasks(small.select("pair", "id", "n_shingles", "signature"), "pair").mapInArrow(_posting_stars, EDGES)
+    groups = components(edges.unionByName(counted))
+    drop(prefix, held)
+    return groups.withColumnRenamed("component", "grp")
+
+
+def class_sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, size: int) -> DataFrame:
+    """id, grp, n (members of the group), set of every member of a candidate group; classes (id, first) names a row of each."""
     counted = groups.join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp").join(classes.select("id", "first.doc_id", "first.digest"), "id")
     side = written(counted.select("id", "grp", "n", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.xxhash64("doc_id", "digest").alias("row")), "members")
     # only texts of (nearly only) members become sets, and only sets are shuffled
     read = maybe_members(digested(docs).withColumn("row", F.xxhash64("doc_id", "digest")), "row", side.select("row")).drop("row")
     built = read.mapInArrow(_sets(size), "doc_id long, digest binary, set binary")
-    sets = written(built.join(side, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))).groupBy("id", "grp", "n").agg(F.min("set").alias("set")), "sets")
-    out = "a long, b long"
-    # first round: chunks of a group, each with the same few hubs, so that groups that hang together are linked across chunks
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP_CHUNK)).cast("int")
-    large = F.col("n") > GROUP_CHUNK
-    hub_of = sets.where(large).select("grp", "id", F.xxhash64("id", F.lit(1)).alias("h"))
-    hubs = hub_of.groupBy("grp").agg(F.min("h").alias("h0"))
-    for k in range(1, HUBS):
-        hubs = hub_of.join(hubs, "grp").where(F.col("h") > F.col(f"h{k - 1}")).groupBy("grp", *(f"h{i}" for i in range(k))).agg(F.min("h").alias(f"h{k}"))
-    chosen = hub_of.join(hubs.select("grp", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("h")), ["grp", "h"]).select("id")
-    spread = sets.join(chosen, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP_CHUNK).cast("int") - 1)))
-    tasks = sets.withColumn("part", part).unionByName(spread).withColumn("task", F.xxhash64("grp", "part"))
-    first = written(_tasks(tasks.select("task", "id", "set")).mapInArrow(_confirmed, out), "links")
-    if sets.where(large).isEmpty():
-        return first
-    # second round, large groups only: what is not in a group's largest part so far meets every chunk
-    so_far = components(first)
-    named = sets.where(large).join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counts = named.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = written(named.join(counts, "grp").withColumn("out", F.col("component") != F.col("main")), "rest")
-    outside = rest.where("out").groupBy("grp").agg(F.count("*").alias("n_out"))
-    pieces = F.ceil(F.col("n_out") / GROUP_CHUNK).cast("int")
+    sets = built.join(side, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))).groupBy("id", "grp", "n").agg(F.min("set").alias("set"))
+    out = written(sets, "sets")
+    drop(side)
+    return out
+
+
+def confirmed_links(sets: DataFrame) -> DataFrame:
+    """Stars (a, b) over the exact links inside the candidate groups; sets (id, grp, n, set)."""
+    # chunks of a group, each with the same few hubs, so that groups that hang together are linked across chunks
     parts = F.ceil(F.col("n") / GROUP_CHUNK).cast("int")
-    with_out = rest.join(outside, "grp")
-    chunked = with_out.withColumn("part", part).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    probing = with_out.where("out").withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), pieces).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tasks = chunked.unionByName(probing).withColumn("task", F.xxhash64("grp", "part", "piece"))
-    second = _tasks(tasks.select("task", "id", "set")).mapInArrow(_confirmed, out)
-    return first.unionByName(second)
+    large = sets.where(F.col("n") > GROUP_CHUNK)
+    nth = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"]
+    hubs = large.groupBy("grp").agg(F.array_distinct(F.array(*map(nth, range(HUBS)))).alias("hubs")).select(F.explode("hubs").alias("id"))
+    spread = large.join(hubs, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tasks = sets.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).unionByName(spread).withColumn("task", F.xxhash64("grp", "part"))
+    return written(_tasks(tasks.select("task", "id", "set"), "task").mapInArrow(_confirmed, EDGES), "links")
+
+
+def remaining_links(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The exact links (a, b) of large groups between what the hubs have linked to the group's largest part and what not.
+
+    A prefix join: sets of similarity s share one of the n - ceil(s n) + 1
+    shingles of either that are rarest in the group.  Work grows with the
+    pairs that share such a shingle and are not linked yet, an end of which
+    lies outside the largest part.
+    """
+    large = sets.where(F.col("n") > GROUP_CHUNK)
+    if large.isEmpty():
+        return links
+    p, q = SIMILARITY
+    so_far = components(links)
+    named = written(large.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
+    main = named.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    open_sets = named.join(main.select("grp", "main"), "grp")
+    exploded = written(open_sets.select("grp", "id", "set").mapInArrow(_members, "grp long, id long, n_set long, member long"), "shingles")
+    common = exploded.groupBy("grp", "member").count().where("count > 1")
+    own = exploded.join(common, ["grp", "member"]).groupBy("grp", "id", "n_set").agg(F.sort_array(F.collect_list(F.struct("count", "member"))).alias("members"))
+    left = (F.col("n_set") - F.expr(f"(n_set * {p} + {q - 1}) div {q}") + 1 - (F.col("n_set") - F.size("members"))).cast("int")
+    prefix = own.where(left > 0).select("grp", "id", "n_set", F.explode(F.slice("members", F.lit(1), left)).alias("m")).select("grp", "id", "n_set", "m.member")
+    prefix = written(prefix.join(open_sets.select("id", "component", "main"), "id"), "rare")
+    outside = prefix.where("component <> main").select("grp", "member", F.col("id").alias("a"), F.col("n_set").alias("n_a"), F.col("component").alias("c_a"))
+    met = outside.join(prefix.select("grp", "member", F.col("id").alias("b"), F.col("n_set").alias("n_b"), F.col("component").alias("c_b")), ["grp", "member"])
+    could = (F.col("c_a") != F.col("c_b")) & (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
+    pairs = ordered(met.where(could).select("a", "b"))
+    one = large.select(F.col("id").alias("a"), "set")
+    other = large.select(F.col("id").alias("b"), F.col("set").alias("other"))
+    found = written(pairs.join(one, "a").join(other, "b").select("a", "b", "set", "other").mapInArrow(_linked_pairs, EDGES), "more")
+    drop(named, exploded, prefix, so_far)
+    return links.unionByName(found)
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -283,8 +353,9 @@ def judged(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     of_key = described.where("key is not null").groupBy("key").agg(F.min(row).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = written(of_key.withColumn("id", F.monotonically_increasing_id()), "classes")
     groups = candidate_groups(classes.select("id", "n_shingles", "signature"))
-    links = confirmed_links(docs, classes, groups, size)
-    of_class = written(components(links), "linked")
+    sets = class_sets(docs, classes, groups, size)
+    of_class = components(remaining_links(sets, confirmed_links(sets)))
+    drop(sets)
     firsts = of_class.join(classes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("linked_first"))
     named = classes.select("key", "id", "first").join(of_class.join(firsts, "component").select("id", "linked_first"), "id", "left").select("key", F.coalesce("linked_first", "first").alias("first"))
     out = described.select("doc_id", "digest", "n_shingles", "key").join(named, "key", "left")

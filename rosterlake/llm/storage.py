@@ -151,11 +151,3 @@ def range_shards(df: DataFrame, key: str, weight, per_shard: int, source: DataFr
 
 def spark_int_array(values: list[int]) -> str:
     return f"array({', '.join(map(str, values))})"
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()

@@ -6,9 +6,9 @@ and a document has far fewer anchors than windows.  The index holds sorted
 immutable runs of (anchor, document), bucketed by anchor: a new batch becomes a
 run, is merge-joined with itself and with every earlier run without a shuffle,
 and runs are compacted into one when there are too many.  Only documents that
-share an anchor are read again: their windows with shared anchors are hashed to
-128 bits and compared, which verifies the anchors, and words under windows that
-start earlier elsewhere are removed.
+share an anchor are read again: of their windows with shared anchors two
+independent 64-bit hashes over all words are compared, which verifies the
+anchors, and words under windows that start earlier elsewhere are removed.
 
 Documents whose words equal an earlier document's are settled first (all their
 windows start earlier there), so large groups of copies never meet in a task.
@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .membership import maybe_members
 from .quality_rules import repeated_in_document
-from .storage import drop, new_dir, release, remove_dir, slices, written
+from .storage import drop, new_dir, remove_dir, slices, written
 from .textscan import U64, Scan, covered, joined, per_doc, scan, sliding, sorted_unique_by_doc, splitmix, windows, word_hash
 
 # Fixed value of the contract.
@@ -72,7 +72,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows with a shared anchor: of equal ones in a slice only the earliest goes on; starts of the others are listed."""
     names = ["w1", "w2", "fresh", "id", "pos", "starts"]
-    for b in slices(batches, "text", 16 << 20):
+    for b in slices(batches, "text"):
         s = scan(b.column("text"))
         hashes, doc = word_hash(s), s.doc_of_word()
         anchor, whole = anchors(hashes, s.first)
@@ -82,7 +82,8 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         lengths = np.asarray(column.value_lengths())
         wanted = splitmix(np.asarray(column.flatten()).view(U64) ^ salt(np.repeat(np.arange(b.num_rows), lengths)))
         at = at[np.isin(splitmix(anchor[at] ^ salt(doc[at])), wanted)]
-        w1, w2 = (windows(hashes, s.first, WINDOW, seed=k)[0][at] for k in (33, 34))
+        # two hashes of the window that share no part: words are hashed anew for the second
+        w1, w2 = (windows(h, s.first, WINDOW, seed=k)[0][at] for h, k in ((hashes, 33), (word_hash(s, seed=35), 34)))
         ids, fresh = b.column("id").to_numpy(), np.asarray(b.column("fresh")).astype(bool)
         d, pos = doc[at], at - s.first[doc[at]]
         order = np.lexsort((pos, ids[d], fresh[d], w2, w1))
@@ -145,6 +146,12 @@ class FingerprintIndex:
         for run in self.runs:
             self._drop(run)
         self.runs = [merged]
+        keys = self.keys[0]
+        for more in self.keys[1:]:
+            keys = keys.unionByName(more)
+        keys = written(keys, "keys")
+        drop(*self.keys)
+        self.keys = [keys]
 
     def close(self) -> None:
         for run in self.runs:
@@ -184,8 +191,9 @@ class FingerprintIndex:
         read = written(maybe_members(texts, "id", touched.select("id")).join(touched, ["id", "fresh"]), "texts")
         found = written(read.mapInArrow(_shared_windows, "w1 long, w2 long, fresh boolean, id long, pos int, starts array<int>"), "windows")
         place = F.struct("fresh", "id", "pos")
-        group = Window.partitionBy("w1", "w2")
-        later = found.where("w1 is not null").withColumn("first", F.min(place).over(group)).where(F.col("fresh") & (place > F.col("first")))
+        # combined on the map side, so that no task gets all places of a frequent window
+        firsts = found.where("w1 is not null").groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        later = found.where("fresh").join(firsts, ["w1", "w2"]).where(place > F.col("first"))
         starts = later.groupBy("id").agg(F.collect_list("pos").alias("starts")).unionByName(found.where("w1 is null").select("id", "starts"))
         starts = starts.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
         cut = read.where("fresh").select("id", "text").join(starts, "id").mapInArrow(_cut, "id long, key string, n_removed long, kept_sha256 string")
@@ -206,7 +214,6 @@ class FingerprintIndex:
         self.runs.append(new)
         if len(self.runs) > self.max_runs:
             self.compact()
-        release(self.spark)
         return result
 
 

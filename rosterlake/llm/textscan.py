@@ -6,6 +6,7 @@ ASCII, so word borders in UTF-8 bytes are word borders in code points.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +32,9 @@ def constants(n: int, seed: int) -> np.ndarray:
     return splitmix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + splitmix(np.array([seed], U64))) | U64(1)
 
 
-BYTE_VALUE = constants(256, 11)
-WORD_BASE = constants(1, 12)[0]
+#: Blocks of 8 bytes that `segment_hash` mixes in numpy steps; longer ranges are hashed one by one.
+BLOCKS = 32
+_LAST = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 8)), (1 << 64) - 1], U64)
 
 
 @dataclass
@@ -87,22 +89,32 @@ def scan(column: pa.Array, lower: bool = False) -> Scan:
     return Scan(data, off, start, end, np.searchsorted(start, off))
 
 
-def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range (ranges ascending, not overlapping)."""
+def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 12) -> np.ndarray:
+    """64-bit hash of each byte range.
+
+    Blocks of 8 bytes are mixed in one after the other, each step a bijection
+    of the block, so ranges of one block never collide and no relation between
+    texts makes longer ones do so; seeds give independent hashes.
+    """
     length = end - start
-    out = np.zeros(len(start), U64)
-    full = np.flatnonzero(length > 0)
-    if len(full):
-        s, n = start[full], length[full]
-        at = np.cumsum(n) - n
-        pos = np.arange(n.sum()) - np.repeat(at, n)
-        powers = np.cumprod(np.full(int(n.max()), WORD_BASE, U64))
-        out[full] = np.add.reduceat(BYTE_VALUE[data[pos + np.repeat(s, n)]] * powers[pos], at)
-    return splitmix(out + length.astype(U64) * U64(0x9E3779B97F4A7C15))
+    key = constants(2, seed)
+    out = splitmix(length.astype(U64) * key[0] + key[1])
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    long = length > 8 * BLOCKS
+    at, k = np.flatnonzero((length > 0) & ~long), 0
+    while len(at):
+        left = length[at] - 8 * k
+        block = eight[start[at] + 8 * k].view("<u8").ravel() & _LAST[np.minimum(left, 8)]
+        out[at] = splitmix((out[at] ^ block) * key[0])
+        at, k = at[left > 8], k + 1
+    for i in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key.tobytes()).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
-def word_hash(s: Scan) -> np.ndarray:
-    return segment_hash(s.data, s.start, s.end)
+def word_hash(s: Scan, seed: int = 12) -> np.ndarray:
+    return segment_hash(s.data, s.start, s.end, seed)
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
