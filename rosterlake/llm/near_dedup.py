@@ -14,9 +14,12 @@
 5. The stars' components are candidate groups.  A group's full sets meet in a
    task; a larger group's in chunks that share a few hubs.  Links are confirmed
    exactly, and again only stars leave.
-6. What the hubs of a large group leave unlinked is joined with the group on its
-   rarest shingles (at 0.8, two sets share one of the rarest fifth of either),
-   and those pairs are confirmed exactly.
+6. A large group that its hubs leave in several parts is split again: its sets are
+   posted under the first fifth of their shingles, those that no hub has first
+   (at 0.8, two sets share one of these), and each posting is one star.  In what
+   still hangs together, sets outside the largest part meet all others, chunk by
+   chunk: the one step that may cost the product of two groups of sets, and only
+   where neither hubs nor shingles tell them apart.
 
 Every confirmed link between different sets lies in one candidate group, so
 components of the stars are those of all links.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, ordered
+from .components import components
 from .membership import maybe_members
 from .storage import drop, slices, written
 from .textscan import U64, Scan, constants, scan, segment_hash, sorted_unique_by_doc, windows, word_hash
@@ -217,25 +220,21 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edge_batch(ids[a], ids[b])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each set."""
-    for batch in batches:
-        for b in slices(iter([batch]), "set"):
-            n = np.array([len(x) // 8 for x in b.column("set").to_pylist()], np.int64)
-            rows = pa.array(np.repeat(np.arange(b.num_rows), n))
-            values = np.frombuffer(b"".join(b.column("set").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("grp").take(rows), b.column("id").take(rows), pa.array(np.repeat(n, n)), pa.array(values)], ["grp", "id", "n_set", "member"])
-
-
-def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix of each set: in an order that puts shingles of hubs last, as many as any similar set must meet."""
     p, q = SIMILARITY
-    for batch in batches:
-        hit = []
-        for x, y in zip(batch.column("set").to_pylist(), batch.column("other").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            hit.append(q * shared >= p * (len(x) + len(y) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+    for g in grouped(batches, "task"):
+        sets = [np.frombuffer(x, U64) for x in g.column("set").to_pylist()]
+        is_hub = g.column("hub").to_pylist()
+        common = np.unique(np.concatenate([np.zeros(0, U64), *(x for x, h in zip(sets, is_hub, strict=True) if h)]))
+        mine = [i for i, h in enumerate(is_hub) if not h]
+        first = []
+        for i in mine:
+            x, late = sets[i], np.isin(sets[i], common)
+            first.append(np.concatenate((x[~late], x[late]))[: len(x) + 1 - -(-p * len(x) // q)])
+        rows = pa.array(np.repeat(np.array(mine, np.int64), [len(x) for x in first]))
+        member = np.concatenate([np.zeros(0, U64), *first]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([g.column(c).take(rows).combine_chunks() for c in ("grp", "id", "outside")] + [pa.array(member)], ["grp", "id", "outside", "member"])
 
 
 def _sets(size: int):
@@ -296,48 +295,47 @@ def class_sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, size: int
     return out
 
 
-def confirmed_links(sets: DataFrame) -> DataFrame:
-    """Stars (a, b) over the exact links inside the candidate groups; sets (id, grp, n, set)."""
-    # chunks of a group, each with the same few hubs, so that groups that hang together are linked across chunks
+def with_hubs(sets: DataFrame) -> DataFrame:
+    """Deal sets (id, grp, n, ...) to tasks: groups of up to GROUP_CHUNK whole, larger ones in chunks that get the same few hubs (`hub`)."""
     parts = F.ceil(F.col("n") / GROUP_CHUNK).cast("int")
     large = sets.where(F.col("n") > GROUP_CHUNK)
     nth = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"]
     hubs = large.groupBy("grp").agg(F.array_distinct(F.array(*map(nth, range(HUBS)))).alias("hubs")).select(F.explode("hubs").alias("id"))
-    spread = large.join(hubs, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tasks = sets.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).unionByName(spread).withColumn("task", F.xxhash64("grp", "part"))
-    return written(_tasks(tasks.select("task", "id", "set"), "task").mapInArrow(_confirmed, EDGES), "links")
+    spread = large.join(hubs, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("hub", F.lit(True))
+    own = sets.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("hub", F.lit(False))
+    return own.unionByName(spread).withColumn("task", F.xxhash64("grp", "part")).drop("part")
 
 
-def remaining_links(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """The exact links (a, b) of large groups between what the hubs have linked to the group's largest part and what not.
+def confirmed_links(sets: DataFrame) -> DataFrame:
+    """Stars (a, b) over the exact links inside the candidate groups; sets (id, grp, n, set)."""
+    return written(_tasks(with_hubs(sets).select("task", "id", "set"), "task").mapInArrow(_confirmed, EDGES), "links")
 
-    A prefix join: sets of similarity s share one of the n - ceil(s n) + 1
-    shingles of either that are rarest in the group.  Work grows with the
-    pairs that share such a shingle and are not linked yet, an end of which
-    lies outside the largest part.
-    """
+
+def remaining_links(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """`links` and stars over the exact links between the parts that they leave of groups above GROUP_CHUNK."""
     large = sets.where(F.col("n") > GROUP_CHUNK)
     if large.isEmpty():
         return links
-    p, q = SIMILARITY
     so_far = components(links)
     named = written(large.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
     main = named.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    open_sets = named.join(main.select("grp", "main"), "grp")
-    exploded = written(open_sets.select("grp", "id", "set").mapInArrow(_members, "grp long, id long, n_set long, member long"), "shingles")
-    common = exploded.groupBy("grp", "member").count().where("count > 1")
-    own = exploded.join(common, ["grp", "member"]).groupBy("grp", "id", "n_set").agg(F.sort_array(F.collect_list(F.struct("count", "member"))).alias("members"))
-    left = (F.col("n_set") - F.expr(f"(n_set * {p} + {q - 1}) div {q}") + 1 - (F.col("n_set") - F.size("members"))).cast("int")
-    prefix = own.where(left > 0).select("grp", "id", "n_set", F.explode(F.slice("members", F.lit(1), left)).alias("m")).select("grp", "id", "n_set", "m.member")
-    prefix = written(prefix.join(open_sets.select("id", "component", "main"), "id"), "rare")
-    outside = prefix.where("component <> main").select("grp", "member", F.col("id").alias("a"), F.col("n_set").alias("n_a"), F.col("component").alias("c_a"))
-    met = outside.join(prefix.select("grp", "member", F.col("id").alias("b"), F.col("n_set").alias("n_b"), F.col("component").alias("c_b")), ["grp", "member"])
-    could = (F.col("c_a") != F.col("c_b")) & (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-    pairs = ordered(met.where(could).select("a", "b"))
-    one = large.select(F.col("id").alias("a"), "set")
-    other = large.select(F.col("id").alias("b"), F.col("set").alias("other"))
-    found = written(pairs.join(one, "a").join(other, "b").select("a", "b", "set", "other").mapInArrow(_linked_pairs, EDGES), "more")
-    drop(named, exploded, prefix, so_far)
+    open_sets = named.join(main.select("grp", "main"), "grp").withColumn("outside", F.col("component") != F.col("main"))
+    open_sets = written(open_sets.select("id", "grp", "n", "set", "outside"), "open")
+    tasks = _tasks(with_hubs(open_sets).select("task", "grp", "id", "outside", "hub", "set"), "task")
+    prefix = written(tasks.mapInArrow(_first_members, "grp long, id long, outside boolean, member long"), "prefix")
+    heads = prefix.groupBy("grp", "member").agg(F.min("id").alias("head"), F.count("*").alias("held"), F.max("outside").alias("any")).where("any and held > 1")
+    finer = components(prefix.join(heads, ["grp", "member"]).select(F.col("head").alias("a"), F.col("id").alias("b")))
+    split = open_sets.drop("grp", "n").join(finer.withColumnRenamed("component", "grp"), "id")
+    counts = split.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.col("outside").cast("int")).alias("n_out")).where("n_out > 0")
+    met = written(split.join(counts, "grp"), "met")
+    parts, pieces = (F.ceil(F.col(c) / GROUP_CHUNK).cast("int") for c in ("n", "n_out"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    chunks = met.withColumn("part", mine(parts)).withColumn("piece", every(pieces))
+    probes = met.where("outside").withColumn("piece", mine(pieces)).withColumn("part", every(parts))
+    both = chunks.unionByName(probes).withColumn("task", F.xxhash64("grp", "part", "piece"))
+    found = written(_tasks(both.select("task", "id", "set"), "task").mapInArrow(_confirmed, EDGES), "more")
+    drop(so_far, named, open_sets, prefix, finer, met)
     return links.unionByName(found)
 
 
