@@ -47,14 +47,20 @@ WITH s AS (
   FROM f
 ), h AS (
   SELECT *, least(CASE WHEN source_size > 0 THEN CAST(round(target * blocks / source_size) AS BIGINT) ELSE 0 END, 2 * blocks) AS slots FROM g
+), m AS (
+  SELECT greatest(least(CAST(ceil(sum(slots) / 1024.0::DOUBLE) AS BIGINT), 65536), 1) AS shards FROM h
+), d AS (
+  SELECT rank, blocks, unnest(range(slots)) AS draw FROM h
+), i AS (
+  SELECT rank, blocks, draw, CAST(('0x' || substr(md5('17:' || rank || ':' || draw), 1, 8))::BIGINT * shards // 4294967296 AS BIGINT) AS shard FROM d, m
 ), j AS (
-  SELECT rank, blocks, unnest(range(slots)) AS slot FROM h
+  SELECT rank, blocks, shard, row_number() OVER (PARTITION BY rank ORDER BY shard, draw) - 1 AS slot FROM i
 ), c AS (
-  SELECT rank, CAST(((slot % blocks)::HUGEINT * (([1000000000000000003, 1000000000000000009, 1000000000000000031, 1000000000000000079, 1000000000000000177, 1000000000000000183, 1000000000000000201])[((rank + slot // blocks) % 7) + 1] % blocks)
+  SELECT rank, shard, CAST(((slot % blocks)::HUGEINT * (([1000000000000000003, 1000000000000000009, 1000000000000000031, 1000000000000000079, 1000000000000000177, 1000000000000000183, 1000000000000000201])[((rank + slot // blocks) % 7) + 1] % blocks)
       + ((rank + slot // blocks + 1) * 7919) % blocks) % blocks AS BIGINT) AS block
   FROM j
 ), n AS (
-  SELECT rank, block, count(*) AS times FROM c GROUP BY ALL
+  SELECT rank, block, count(*) AS times, min(shard) AS block_shard FROM c GROUP BY ALL
 ), p AS (
   SELECT s.doc_id, s.size, h.rank, h.source_size, h.target,
     CAST(coalesce(sum(s.size) OVER (PARTITION BY h.rank ORDER BY s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
@@ -62,10 +68,10 @@ WITH s AS (
 ), e AS (
   SELECT *, CASE WHEN size > 0 THEN unnest(range(place // 64, (place + greatest(size, 1) - 1) // 64 + 1)) END AS block FROM p
 ), r AS (
-  SELECT e.*, least(place + size, (block + 1) * 64) - greatest(place, block * 64) AS words, coalesce(times, 0) AS times
+  SELECT e.*, least(place + size, (block + 1) * 64) - greatest(place, block * 64) AS words, coalesce(times, 0) AS times, block_shard
   FROM e LEFT JOIN n USING (rank, block)
 )
-SELECT doc_id, size, source_size, target, CAST(coalesce(sum(words * times), 0) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(coalesce(sum(words * times), 0) AS BIGINT) AS taken, min(block_shard) AS first_shard
 FROM r WHERE size > 0 OR block IS NULL GROUP BY doc_id, rank, place, size, source_size, target
 """
 

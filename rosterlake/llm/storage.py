@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`); a local one only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='rosterlake-')}")
     return where.rstrip("/")
 
@@ -113,41 +115,58 @@ def commit(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 HISTOGRAM_CELLS = 1 << 15
+MAX_SHARDS = 1 << 13
+
+
+def _reached(cuts: list[int], x: str, kind: str) -> str:
+    """SQL: how many of the ascending cuts are <= x, by binary search over a literal array."""
+    if not cuts:
+        return "0"
+    table = f"array({', '.join(f'cast({c} as {kind})' for c in cuts)})"
+    middle = "cast((s.lo + s.hi) div 2 as int)"
+    return (
+        f"aggregate(sequence(1, {len(cuts).bit_length()}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> if(s.lo >= s.hi, s,"
+        f" if({table}[{middle}] <= {x}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))), s -> s.lo)"
+    )
 
 
 def range_shards(df: DataFrame, key: str, weight, per_shard: int, source: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Add `shard`: consecutive ranges of the integer `key`, of about `per_shard` total weight each.
+    """Add `shard`: consecutive ranges of the integer `key`, of about `per_shard` total weight each (MAX_SHARDS ranges or so at most).
 
     Deterministic, unlike sampled range bounds: an equal-width histogram of the
-    key with `HISTOGRAM_CELLS` cells at most (that many rows reach the driver,
-    at any input size) is cut where the running weight passes a multiple of
-    `per_shard`.  Rows with a null key form shard 0 together with the smallest
-    keys.  Returns the frame and the number of shards.  source: a cheaper frame
-    with the same keys and weights, to take the histogram from.
+    key is taken, cells that weigh too much are taken apart by histograms of
+    their own until they hold one key, and the cells are cut where the running
+    weight passes a multiple of `per_shard`.  At most HISTOGRAM_CELLS + MAX_SHARDS
+    rows of a histogram reach the driver, at any input size.  Rows with a null
+    key form shard 0 together with the smallest keys; rows of one key stay
+    together.  Returns the frame and the number of shards.  source: a cheaper
+    frame with the same keys and weights, to take the histograms from.
     """
     base = df if source is None else source
-    lo, hi = base.agg(F.min(key), F.max(key)).first()
+    lo, hi, total = base.agg(F.min(key), F.max(key), F.sum(F.when(F.col(key).isNotNull(), weight)).cast("double")).first()
     if lo is None:
         return df.withColumn("shard", F.lit(0)), 1
-    width = max(1, -(-(hi - lo + 1) // HISTOGRAM_CELLS))
-    cell = F.coalesce(((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(0)).cast("int")
-    rows = base.groupBy(cell.alias("cell")).agg(F.sum(weight).cast("double").alias("w")).orderBy("cell").collect()
-    cuts, total = [], 0.0
-    for r in rows:
-        if total >= per_shard:
-            cuts.append(r["cell"])
-            total = 0.0
-        total += r["w"] or 0.0
-    shard = F.lit(0)
-    if cuts:
-        # width_bucket over uneven cuts: position of the last cut <= cell, by binary search over a literal array
-        table = spark_int_array(cuts)
-        shard = F.expr(f"aggregate(sequence(1, {max(1, len(cuts).bit_length())}), named_struct('lo', 0, 'hi', {len(cuts)}),"
-                       f" (s, i) -> if(s.lo >= s.hi, s, if({table}[cast((s.lo + s.hi) div 2 as int)] <= _cell,"
-                       " named_struct('lo', cast((s.lo + s.hi) div 2 as int) + 1, 'hi', s.hi),"
-                       " named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)))), s -> s.lo)")
-    return df.withColumn("_cell", cell).withColumn("shard", shard.cast("int")).drop("_cell"), len(cuts) + 1
-
-
-def spark_int_array(values: list[int]) -> str:
-    return f"array({', '.join(map(str, values))})"
+    per = max(per_shard, (total or 0.0) / MAX_SHARDS)
+    # places count from the smallest key; as decimals where long would overflow
+    kind = "bigint" if hi - lo < 1 << 62 else "decimal(20,0)"
+    place = f"(cast(`{key}` as {kind}) - cast({lo} as {kind}))"
+    weighed = base.where(F.col(key).isNotNull()).select(F.expr(place).alias("place"), weight.cast("double").alias("w"))
+    cells, open_cells = [], [(0, hi - lo + 1, float("inf"))]
+    while open_cells:
+        starts = [c[0] for c in open_cells]
+        widths = [max(1, -(-c[1] // max(2, HISTOGRAM_CELLS // len(open_cells)))) for c in open_cells]
+        at = lambda values: f"array({', '.join(f'cast({v} as {kind})' for v in values)})[no]"
+        numbered = weighed.withColumn("no", F.expr(f"{_reached(starts, 'place', kind)} - 1")).withColumn("past", F.expr(f"place - {at(starts)}"))
+        inside = numbered.where(F.expr(f"past < {at([c[1] for c in open_cells])}"))
+        rows = inside.groupBy("no", F.expr(f"cast(past div {at(widths)} as bigint)").alias("cell")).agg(F.sum("w").alias("w")).collect()
+        found = [(starts[r["no"]] + r["cell"] * widths[r["no"]], widths[r["no"]], r["w"] or 0.0) for r in rows]
+        open_cells = sorted(c for c in found if c[2] > 2 * per and c[1] > 1)
+        cells += [c for c in found if not (c[2] > 2 * per and c[1] > 1)]
+    cuts, held = [], 0.0
+    for start, _, w in sorted(cells):
+        if held >= per:
+            cuts.append(start)
+            held = 0.0
+        held += w
+    shard = F.expr(f"coalesce({_reached(cuts, '_place', kind)}, 0)").cast("int")
+    return df.withColumn("_place", F.coalesce(F.expr(place), F.lit(0))).withColumn("shard", shard).drop("_place"), len(cuts) + 1
