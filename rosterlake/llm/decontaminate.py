@@ -20,8 +20,8 @@ from .storage import written
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Tables of at most this many rows (under 100 bytes each) are broadcast; larger ones are joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Tables of at most this many bytes, measured, are broadcast; larger ones are joined by a shuffle.
+MAX_BROADCAST_BYTES = 48 << 20
 
 
 def words(text: Column) -> Column:
@@ -70,6 +70,12 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     return shaped.select("item", "need", "least", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.col("k"))).alias("hash"))
 
 
+def small_enough(df: DataFrame, size: Column):
+    """F.broadcast where the rows of df, by their `size` in bytes, are within the bound; else no hint."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast if total <= MAX_BROADCAST_BYTES else lambda frame: frame
+
+
 def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
@@ -79,14 +85,14 @@ def keyed_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, conta
     table = written(item_table(items, shingle), "items")
     sizes = sorted(r["gram"] for r in table.select("gram").distinct().collect()) or [shingle]  # `shingle` numbers at most
     index = written(sketches(table, containment), "sketches")
-    small = F.broadcast if index.count() <= MAX_BROADCAST_ROWS else lambda df: df
+    of_index = small_enough(index, F.lit(40))
+    of_table = small_enough(table, F.aggregate("texts", F.lit(100), lambda n, x: n + F.octet_length(x) + 16))
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w"))
     probes = keyed.select("key", F.size("w").alias("n_words"), F.explode(gram_hashes(F.col("w"), sizes)).alias("hash"))
-    met = probes.join(small(index), "hash").where(F.col("n_words") >= F.col("need")).select("key", "item", "least", "hash").distinct()
+    met = probes.join(of_index(index), "hash").where(F.col("n_words") >= F.col("need")).select("key", "item", "least", "hash").distinct()
     candidates = written(met.groupBy("key", "item").agg(F.count("*").alias("met"), F.first("least").alias("least")).where("met >= least").select("key", "item"), "candidates")
-    few = candidates.count() <= MAX_BROADCAST_ROWS
-    near = F.broadcast if few else lambda df: df
-    pairs = keyed.join(near(candidates), "key").join(small(table.select("item", "item_id", "gram", "texts", "n")), "item")
+    near = small_enough(candidates, F.lit(80))
+    pairs = keyed.join(near(candidates), "key").join(of_table(table.select("item", "item_id", "gram", "texts", "n")), "item")
     mine = gram_texts(F.col("w"), shingle)
     for k in range(1, shingle):
         if k in sizes:
@@ -113,5 +119,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contai
 def clean_documents(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item; rows that share an id are judged apart."""
     leaks = written(keyed_leaks(docs, items, shingle, containment).select(F.col("doc_id").alias("_leak"), F.col("key").alias("_leak_key")).distinct(), "leaks")
-    side = F.broadcast(leaks) if leaks.count() <= MAX_BROADCAST_ROWS else leaks
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_leak")) & (text_key(F.col("text")) == F.col("_leak_key")), "left_anti")
+    side = small_enough(leaks, F.lit(80))
+    return docs.join(side(leaks), F.col("doc_id").eqNullSafe(F.col("_leak")) & (text_key(F.col("text")) == F.col("_leak_key")), "left_anti")

@@ -5,19 +5,19 @@ Rules use a small pattern language over `host + path + rest` of a URL:
 stands for anything, `^` for a border of a run of letters, digits, `_` and `%`.  A literal token of a pattern is one that a matching URL must hold as
 a whole token.  Each rule is filed under the one of its tokens that fewest URLs
 hold; a URL's tokens fetch the rules filed under them, and only those run their
-regular expression.  Rules without such a token are tried on every URL.
+regular expression.  Rules without such a token are filed under the empty token,
+which every URL has.  Rules are a table, compiled by column expressions.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to this many rules the index is broadcast (a rule takes under 1 KB); beyond, the join is shuffled with salted tokens.
-MAX_BROADCAST_RULES = 20_000
+#: Bytes of rules up to which the index is broadcast; beyond, the join is shuffled with salted tokens.
+MAX_BROADCAST_BYTES = 16 << 20
 SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,19 +47,22 @@ PATTERN_RULES = (
 )
 
 
-def compiled(rule: Rule) -> tuple[str, list[str]]:
-    """(Java regular expression, literal tokens) of a pattern."""
-    bound = rule.pattern.startswith("||")
-    body = rule.pattern.removeprefix("||")
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.pattern, r.verdict, r.label, r.rank) for r in rules], "pattern string, verdict string, label string, rank int")
+
+
+def compiled(rules: DataFrame) -> DataFrame:
+    """rules (pattern, verdict, label, rank) -> those, regex (Java), tokens (literal ones that a matching URL holds)."""
+    bound = F.startswith("pattern", F.lit("||"))
+    body = F.when(bound, F.substring("pattern", 3, 1 << 30)).otherwise(F.col("pattern"))
     border = r"(?:(?<![\w%])|(?![\w%]))"
-    regex = "".join(border if c == "^" else ".*" if c == "*" else re.escape(c) for c in body)
-    tokens = []
-    for m in re.finditer(r"[a-z0-9]+", body.lower()):
-        left = m.start() == 0 and bound or m.start() > 0 and body[m.start() - 1] != "*"
-        right = m.end() < len(body) and body[m.end()] != "*"
-        if left and right:
-            tokens.append(m[0])
-    return ("(?s)" + ("^(?:[^/?#]*\\.)?" if bound else "") + regex), tokens
+    quoted = F.regexp_replace(body, r"([^\w*^])", r"\\$1")
+    regex = F.replace(F.replace(quoted, F.lit("^"), F.lit(border)), F.lit("*"), F.lit(".*"))
+    # a token ends at a border or another character on both sides, not at `*` or at an open end
+    closed = F.lower(F.concat(F.when(bound, F.lit("^")).otherwise(F.lit("")), body))
+    tokens = F.array_distinct(F.regexp_extract_all(closed, F.lit("(?<=[^*a-z0-9])[a-z0-9]+(?=[^*a-z0-9])"), F.lit(0)))
+    whole = F.concat(F.lit("(?s)"), F.when(bound, F.lit("^(?:[^/?#]*\\.)?")).otherwise(F.lit("")), regex)
+    return rules.select("pattern", "verdict", "label", "rank", whole.alias("regex"), tokens.alias("tokens"))
 
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -72,43 +75,42 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
 
 
 def _tokens(target: Column) -> Column:
-    return F.array_distinct(F.split(F.translate(target, _UPPER, _LOWER), "[^a-z0-9]+"))
-
-
-def match_rules(targets: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """targets (target: distinct strings) -> target, rule, verdict of the winning rule of each that any rule fits."""
-    spark = targets.sparkSession
-    shaped = [(i, *compiled(r)[:1], compiled(r)[1], r.verdict, r.label, r.rank, len(r.label or r.pattern)) for i, r in enumerate(rules)]
-    table = spark.createDataFrame(shaped, "rule_no int, regex string, tokens array<string>, verdict string, label string, rank int, length int")
-    few = len(rules) <= MAX_BROADCAST_RULES
-    small = F.broadcast if few else lambda df: df
-    exploded = targets.select("target", F.explode(_tokens(F.col("target"))).alias("token"))
-    wanted = table.select("rule_no", F.explode("tokens").alias("token"))
-    # how many URLs hold each token of a rule: semi join before counting, so only rule tokens are shuffled
-    counts = exploded.join(small(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").count()
-    filed = wanted.join(counts, "token", "left").groupBy("rule_no").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
-    index = table.drop("tokens").join(filed, "rule_no")
-    if few:
-        hits = exploded.join(F.broadcast(index), "token").where(F.expr("target rlike regex"))
-    else:
-        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = exploded.withColumn("salt", F.pmod(F.xxhash64("target"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).where(F.expr("target rlike regex"))
-    always = table.where(F.size("tokens") == 0).drop("tokens")
-    hits = hits.select("target", "rank", "length", "rule_no", "label", "verdict")
-    if any(not x[2] for x in shaped):
-        hits = hits.unionByName(targets.join(small(always), F.expr("target rlike regex")).select(hits.columns))
-    best = F.max_by(F.struct("label", "verdict"), F.struct("rank", "length", -F.col("rule_no")))
-    return hits.groupBy("target").agg(best.alias("won")).select("target", F.col("won.label").alias("rule"), F.col("won.verdict").alias("verdict"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.translate(target, _UPPER, _LOWER), "[^a-z0-9]+")))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, default: str = "allow") -> DataFrame:
+def rule_index(rules: DataFrame, exploded: DataFrame) -> DataFrame:
+    """compiled rules -> their columns without tokens, and `token`: the one of theirs that fewest rows of exploded (token) have."""
+    wanted = rules.select("pattern", F.explode("tokens").alias("token"))
+    # semi join before counting, so only rule tokens are shuffled
+    counts = exploded.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    filed = wanted.join(counts, "token", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    return rules.drop("tokens").join(filed, "pattern", "left").withColumn("token", F.coalesce("token", F.lit("")))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """pages (page_id, url, ...) -> page_id, host, path, rule, verdict; one row per row.
 
+    rules (pattern, verdict, label, rank): the highest rank wins, then the
+    longest label or pattern, then `allow`, then the last pattern by name.
     Null and malformed URLs have empty host and path, fit no rule and get the
-    default.  Equal URLs are judged once; repeated ids give a row each; other
-    columns are ignored.
+    default.  Repeated rows give a row each; other columns are ignored.
     """
+    rules = rule_table(pages.sparkSession, HOST_RULES + PATTERN_RULES) if rules is None else rules
+    # a pattern that is listed twice counts once
+    rules = rules.groupBy("pattern").agg(F.max(F.struct("rank", (F.col("verdict") == "allow").alias("allow"), "verdict", "label")).alias("r")).select("pattern", "r.verdict", "r.label", "r.rank")
     host, path, target = url_parts(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"), target.alias("target"))
-    won = match_rules(parts.where(F.col("target") != "").select("target").distinct(), rules)
-    return parts.join(won, "target", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    parts = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"), target.alias("target"))
+    exploded = parts.select("*", F.explode(_tokens(F.col("target"))).alias("token"))
+    index = rule_index(compiled(rules), exploded.where("target <> ''").select("token"))
+    few = (rules.agg(F.sum(F.octet_length("pattern") + 200)).first()[0] or 0) <= MAX_BROADCAST_BYTES
+    if few:
+        met = exploded.join(F.broadcast(index), "token", "left")
+    else:
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = exploded.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"], "left")
+    fits = F.expr("target <> '' and target rlike regex")
+    order = F.struct("rank", F.length(F.coalesce("label", "pattern")), F.col("verdict") == "allow", "pattern")
+    # one row each comes back from its own candidates: no join on URLs, so copies of one URL meet in no task
+    best = F.max_by(F.struct("label", "verdict"), F.when(fits, order))
+    won = met.groupBy("row", "page_id", "host", "path").agg(best.alias("won"))
+    return won.select("page_id", "host", "path", F.col("won.label").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))

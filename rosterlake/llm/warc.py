@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .membership import with_maybe
 from .storage import commit, drop, new_dir, put_temporary, range_shards, read_file, slices, written
 
-FILE_BYTES = 64 << 20
+#: Compressed bytes at which a file is closed, and payload bytes of a shard, which one task writes as several files.
+FILE_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
 PIECE = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
@@ -42,8 +43,12 @@ def member(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
 
 
+def digest(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 def page_record(page_id: int | None, url: str | None, payload: bytes, first_id: int | None, first_url: str | None, revisit: bool, date: str) -> bytes:
-    sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    sha = digest(payload).removeprefix("sha1:")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     uri = lambda u: None if u is None else u.translate(_UNSAFE)
@@ -53,7 +58,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, first_id:
         ("WARC-Date", date),
         ("WARC-Target-URI", uri(url)),
         ("WARC-Payload-Digest", f"sha1:{sha}"),
-        ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
+        ("WARC-Block-Digest", digest(block)),
     ]
     if revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first_id, first_url, sha)), ("WARC-Refers-To-Target-URI", uri(first_url)), ("X-Refers-To-Page-Id", first_id), ("X-Payload-Length", len(payload))]
@@ -142,6 +147,8 @@ def read_pages(folder: str, manifest: DataFrame) -> DataFrame:
 
     Payload length and digest of a response are taken anew from its block; a
     revisit holds no payload, so it has a null html and its header's values.
+    A file that differs from the manifest's digest, or a block or payload that
+    differs from its header's, raises ValueError.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +159,22 @@ def read_pages(folder: str, manifest: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for b in batches:
-            for name in b.column("file_name").to_pylist():
+            for name, sha1 in zip(b.column("file_name").to_pylist(), b.column("sha1").to_pylist(), strict=True):
                 rows, size = [], 0
-                for record in members(read_file(folder, name)):
+                raw = read_file(folder, name)
+                if hashlib.sha1(raw).hexdigest() != sha1:
+                    raise ValueError(f"{name} is not what the manifest vouches for")
+                for record in members(raw):
                     fields, block = parsed(record)
+                    if "WARC-Block-Digest" in fields and fields["WARC-Block-Digest"] != digest(block):
+                        raise ValueError(f"block digest of {fields['WARC-Record-ID']} in {name}")
                     kind, number = fields["WARC-Type"], lambda k, fields=fields: int(fields[k]) if k in fields else None
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
-                        rows.append((number("X-Page-Id"), fields.get("WARC-Target-URI"), len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), kind, None, payload.decode()))
+                        found = digest(payload)
+                        if fields["WARC-Payload-Digest"] != found:
+                            raise ValueError(f"payload digest of {fields['WARC-Record-ID']} in {name}")
+                        rows.append((number("X-Page-Id"), fields.get("WARC-Target-URI"), len(payload), found.removeprefix("sha1:"), kind, None, payload.decode()))
                         size += len(payload)
                     elif kind == "revisit":
                         rows.append((number("X-Page-Id"), fields.get("WARC-Target-URI"), number("X-Payload-Length"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number("X-Refers-To-Page-Id"), None))
@@ -170,7 +185,7 @@ def read_pages(folder: str, manifest: DataFrame) -> DataFrame:
                     yield batch(rows)
 
     wide = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file_name").repartition(wide, "file_name").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    return manifest.select("file_name", "sha1").repartition(wide, "file_name").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def archived_pages(pages: DataFrame, **options: int) -> DataFrame:

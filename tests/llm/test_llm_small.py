@@ -84,12 +84,12 @@ URLS = [("http://A.NET/x", "a.net", "/x", "net/", "block"), ("http://a.net", "a.
 
 def test_urls(spark):
     df = spark.createDataFrame([(i, u[0], "rule?") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
-    for few in (url_filter.MAX_BROADCAST_RULES, 0):
-        url_filter.MAX_BROADCAST_RULES, before = few, url_filter.MAX_BROADCAST_RULES
+    for few in (url_filter.MAX_BROADCAST_BYTES, 0):
+        url_filter.MAX_BROADCAST_BYTES, before = few, url_filter.MAX_BROADCAST_BYTES
         try:
             got = {r.page_id: (r.host, r.path, r["rule"], r.verdict) for r in url_filter.filter_urls(df).collect()}
         finally:
-            url_filter.MAX_BROADCAST_RULES = before
+            url_filter.MAX_BROADCAST_BYTES = before
         assert got == {i: u[1:] for i, u in enumerate(URLS)}
     assert url_filter.filter_urls(df.limit(0)).count() == 0 and url_filter.filter_urls(df.unionByName(df)).count() == 2 * len(URLS)
 
@@ -295,12 +295,12 @@ def test_decontamination(spark):
     miss = " ".join(item.split()[:30])
     items = spark.createDataFrame([(1, item), (2, "short one"), (3, ""), (4, None), (5, item + " " + LONG)], "item_id long, text string")
     df = docs(spark, [hit, part, miss, "a Short ONE b", "shortone", None, ""])
-    for few in (decontaminate.MAX_BROADCAST_ROWS, 0):
-        decontaminate.MAX_BROADCAST_ROWS, before = few, decontaminate.MAX_BROADCAST_ROWS
+    for few in (decontaminate.MAX_BROADCAST_BYTES, 0):
+        decontaminate.MAX_BROADCAST_BYTES, before = few, decontaminate.MAX_BROADCAST_BYTES
         try:
             got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.find_leaks(df, items).collect()}
         finally:
-            decontaminate.MAX_BROADCAST_ROWS = before
+            decontaminate.MAX_BROADCAST_BYTES = before
         assert got.keys() == {(0, 1), (0, 5), (1, 1), (3, 2)} and got[0, 1] == 36 and got[1, 1] == 33
     assert {r.doc_id for r in decontaminate.clean_documents(df, items).collect()} == {2, 4, 5, 6}
     assert decontaminate.find_leaks(df, items.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), items).count() == 0
@@ -311,13 +311,13 @@ def test_decontamination_null_and_repeated_ids(spark):
     items = spark.createDataFrame([(None, one), (7, two), (7, "short item"), (7, "short item")], "item_id long, text string")
     rows = [(None, "x " + one), (None, "clean row"), (None, None), (3, two + " y"), (3, "clean row"), (4, "a short item b"), (5, one)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for few in (decontaminate.MAX_BROADCAST_ROWS, 0):
-        decontaminate.MAX_BROADCAST_ROWS, before = few, decontaminate.MAX_BROADCAST_ROWS
+    for few in (decontaminate.MAX_BROADCAST_BYTES, 0):
+        decontaminate.MAX_BROADCAST_BYTES, before = few, decontaminate.MAX_BROADCAST_BYTES
         try:
             got = sorted(((r.doc_id, r.item_id, r.n_item) for r in decontaminate.find_leaks(df, items).collect()), key=repr)
             left = sorted(((r.doc_id, r.text) for r in decontaminate.clean_documents(df, items).collect()), key=repr)
         finally:
-            decontaminate.MAX_BROADCAST_ROWS = before
+            decontaminate.MAX_BROADCAST_BYTES = before
         assert got == [(3, 7, 2996), (4, 7, 1), (5, None, 36), (None, None, 36)]
         assert left == [(3, "clean row"), (None, "clean row"), (None, None)]
 
