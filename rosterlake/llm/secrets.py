@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns plus assignment-aware lexing of source and configuration text.
 
-The lexer reads `name = literal` pairs (code, JSON, YAML, INI, shell), follows
-constants (`key = BASE`, `"$BASE"`, `A + "tail"`) back to the literals they
-hold, and scores each literal by the sensitivity of the name it ends up in.
+The lexer reads `name = literal` pairs (code, JSON, YAML with block scalars, INI,
+shell, XML elements and attributes, subscripts, literals wrapped in calls),
+follows constants (`key = BASE`, `"${BASE}tail"`, `A + "tail"`) back to the
+literals they hold, and scores each literal by the sensitivity of the name it
+ends up in.  Comments are read like code, as secrets stand there too.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +39,24 @@ MIN_SCORE = 1.2
 JOINED_SAMPLE = 1024
 
 _TYPE = r"""(?P<type>[A-Za-z_][\w.]{0,63})(?:[<\[][^"'=\n]{0,64}[>\]])?(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]{0,63}){0,4}[?!]?"""
-_PAIR = re.compile(r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})["']?[ \t]*(?::[ \t]*(?:&(?:'[a-z]+[ \t]+)?)?""" + _TYPE + r"""(?:[ \t]+=(?![=>])|=(?=[ \t]*["']))|:=|=>|=(?!=)|:(?![:/]))[ \t]*(?=["'$A-Za-z0-9+/_-])""")
-_TERM = re.compile(r"""(?:"(?P<double>[^"\n]*)"|'(?P<single>[^'\n]*)'|\$\{(?P<braced>[A-Za-z_]\w*)\}|\$(?P<dollar>[A-Za-z_]\w*)|(?P<bare>[A-Za-z0-9+/_.=-]+))""", re.ASCII)
+# a name begins where a run of name characters does, so long runs are read once
+_NAME = r"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)"""
+_PAIR = re.compile(
+    _NAME
+    + r"""(?:["'](?:[ \t]*\])?|\])?[ \t]*"""
+    + r"""(?::[ \t]*(?:&(?:'[a-z]+[ \t]+)?)?"""
+    + _TYPE
+    + r"""(?:[ \t]+=(?![=>])|=(?=[ \t]*["']))|:=|=>|=(?!=)|:(?![:/]))[ \t]*"""
+    + r"""(?:(?:[A-Za-z_][\w.]{0,63}\([ \t]*){1,4}(?=["'])|(?=["'$A-Za-z0-9+/_-]))"""
+)
+_TERM = re.compile(
+    r"""(?:[bBrRfFuU]{0,2}"(?P<double>(?:[^"\\\n]|\\.)*+)"|[bBrRfFuU]{0,2}'(?P<single>(?:[^'\\\n]|\\.)*+)'"""
+    r"""|\$\{(?P<braced>[A-Za-z_]\w*)\}|\$(?P<dollar>[A-Za-z_]\w*)|(?P<bare>[A-Za-z0-9+/_.=-]+))""",
+    re.ASCII,
+)
+_INSIDE = re.compile(r"\$\{(?P<braced>[A-Za-z_]\w*)\}|\$(?P<dollar>[A-Za-z_]\w*)", re.ASCII)
+_ELEMENT = re.compile(r"""<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]{0,255})(?:[ \t\n][^<>]{0,1000})?>[ \t\n]*(?P<value>[^<>]*[^<> \t\n])[ \t\n]*</(?P=name)>""")
+_BLOCK = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?:[ \t]*[|>][+-]?[ \t]*\n(?P<value>(?:[ \t]+[^ \t\n][^\n]*(?:\n|\Z))++)""")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -71,7 +91,7 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
     `name: word = literal`, `word` may be a type or, after a label, the name
     proper, so the stronger of the two counts.
     """
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     held: dict[str, tuple[list, str | None]] = {}
     found, told = set(), set()
@@ -103,6 +123,17 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
             if kind in ("braced", "dollar") or (ref or kind == "bare") and name in held:
                 if name in held:
                     parts.append(held[name])
+            elif quoted and "$" in value:
+                # constants inside a string, and the literal pieces between them
+                last, (begin, stop) = 0, term.span(kind)
+                for ref in _INSIDE.finditer(value):
+                    if (name := ref["braced"] or ref["dollar"]) in held:
+                        if last < ref.start():
+                            parts.append((begin + last, begin + ref.start()))
+                        parts.append(held[name])
+                        last = ref.end()
+                if begin + last < stop or not parts:
+                    parts.append((begin + last, stop))
             else:
                 parts.append(term.span(kind))
             plus = _PLUS.match(text, term.end())
@@ -130,7 +161,14 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
         weight = max(map(name_weight, names))
         if weight and weight + literal_score(sample(value)) >= MIN_SCORE + (1 - weight) * 0.5:
             report(value)
-    return sorted(found)
+    for pattern in (_ELEMENT, _BLOCK):
+        for m in pattern.finditer(text):
+            start = m.end("value") - len(m["value"].lstrip())
+            value = m["value"].strip()
+            weight = name_weight(m["name"])
+            if weight and weight + literal_score(value.replace("\n", "")) >= MIN_SCORE + (1 - weight) * 0.5:
+                found.add((start, start + len(value)))
+    return sorted((x, y) for x, y in found if x < y)
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -143,7 +181,9 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base.sort()
-    more = [(s, 3, e) for s, e in literal_spans(text) if not any(a <= s and e <= b for a, _, b in base)]
+    # the furthest end of the base spans up to each one, so that a literal inside one is found by its start
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    more = [(s, 3, e) for s, e in literal_spans(text) if not (k := bisect_right(starts, s)) or reach[k - 1] < e]
     return base, sorted(base + more)
 
 
