@@ -9,6 +9,7 @@ sum over pairs of <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import FEATURES, document_stats, training_rows
-from .storage import slices
+from .quality_rules import FEATURES, document_stats, labelled
+from .storage import drop, slices, written
 from .textscan import scan, sorted_unique_by_doc, word_hash
 
 BUCKETS = 1 << 15
@@ -29,6 +30,8 @@ MAX_TRAIN_ROWS = 8_000
 #: Fixed value of the contract.
 THRESHOLD = 0.3
 EPOCHS = 6
+#: One in so many training rows is left out of the fit and calibrates the scores.
+CALIBRATE = 5
 BATCH = 256
 N_FEATURES = BUCKETS + (len(FEATURES) + 1) * BINS
 WORD_WEIGHT = 1.0
@@ -40,6 +43,8 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray  # N_FEATURES x RANK
     edges: np.ndarray  # bin edges of each statistic
+    slope: float = 1.0  # calibration of the margin
+    shift: float = 0.0
 
     def margin(self, index: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Every row holds a feature at least (its bins), so no segment is empty."""
@@ -50,6 +55,25 @@ class Machine:
         return self.bias + np.add.reduceat(self.linear[index] * value, at) + 0.5 * ((total * total).sum(1) - squares)
 
 
+    def probability(self, index: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(index, value, first) + self.shift, -500, 500)))
+
+
+def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that fits labels to margins (Newton steps, smoothed labels); none for one class."""
+    good, bad = y.sum(), len(y) - y.sum()
+    if not good or not bad:
+        return 1.0, 0.0
+    want = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    x, w = np.stack((margin, np.ones(len(y))), 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (p - want))
+        w = w - np.clip(step, -1, 1)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def features(column: pa.Array, n_chars: pa.Array | None, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (index, value, n + 1 borders): distinct word buckets of equal weight, and a bin of each statistic."""
     s = scan(column)
@@ -115,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], ["x"])
 
     n_chars = "n_chars" if "n_chars" in docs.columns else F.lit(None).cast("long").alias("n_chars")
-    sample = docs.select("doc_id", "text", n_chars).join(F.broadcast(training_rows(labels, label, max_rows)), "doc_id")
+    sample = written(labelled(docs, labels, label, max_rows, n_chars), "labelled")
     seen = sample.select("text").mapInArrow(stats, "x array<double>").toPandas()
     if not len(seen):
         return fit(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0), np.zeros((len(FEATURES), BINS - 1)))
@@ -128,9 +152,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.ListArray.from_arrays(borders, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(borders, pa.array(value.astype(np.float32)))], ["doc_id", "label", "index", "value"])
 
     got = sample.select("doc_id", "label", "text", "n_chars").mapInArrow(rows, "doc_id long, label int, index array<int>, value array<float>").toPandas()
-    got = got.assign(size=got["index"].map(len), head=got["index"].map(lambda a: tuple(a[:64]))).sort_values(["doc_id", "size", "head"]).drop_duplicates("doc_id")
-    first = np.concatenate(([0], np.cumsum(got["size"].to_numpy()))).astype(np.int64)
-    return fit(np.concatenate(got["index"].to_list()).astype(np.int64), np.concatenate(got["value"].to_list()).astype(float), first, got["label"].to_numpy(float), edges)
+    drop(sample)
+    got = got.sort_values("doc_id")
+    aside = got["doc_id"].map(lambda i: zlib.crc32(f"calibrate {i}".encode()) % CALIBRATE == 0).to_numpy(bool)
+
+    def sparse(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = np.concatenate(([0], np.cumsum(part["index"].map(len).to_numpy(np.int64)))).astype(np.int64)
+        joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(x, kind) for x in part[c])])
+        return joined("index", np.int64), joined("value", float), first
+
+    machine = fit(*sparse(got[~aside]), got["label"].to_numpy(float)[~aside], edges)
+    if aside.any():
+        machine.slope, machine.shift = calibrated(machine.margin(*sparse(got[aside])), got["label"].to_numpy(float)[aside])
+    return machine
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -143,7 +177,7 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = THRESH
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            p = 1 / (1 + np.exp(-np.clip(machine.margin(*features(b.column("text"), b.column("n_chars"), machine.edges)), -500, 500)))
+            p = machine.probability(*features(b.column("text"), b.column("n_chars"), machine.edges))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")

@@ -116,6 +116,13 @@ def training_rows(labels: DataFrame, label: str, max_rows: int = MAX_TRAIN_ROWS)
     return ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, *columns) -> DataFrame:
+    """doc_id, label, text and `columns` of the training rows: one row each, the smallest by text, of ids that repeat."""
+    rows = docs.select("doc_id", "text", *columns).join(F.broadcast(training_rows(labels, label, max_rows)), "doc_id")
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> gbt.Trees:
     """Fit the trees on `max_rows` labelled documents at most (that many feature rows reach the driver)."""
 
@@ -124,9 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             _, x = document_stats(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    sample = training_rows(labels, label, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x array<double>").toPandas()
-    rows = rows.assign(key=rows["x"].map(tuple)).sort_values(["doc_id", "key"]).drop_duplicates("doc_id").head(max_rows)
+    sample = labelled(docs, labels, label, max_rows).select("doc_id", "label", "text")
+    rows = sample.mapInArrow(features, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")
     if rows.empty:
         return gbt.train(np.zeros((0, len(FEATURES))), np.zeros(0), MONOTONE)
     return gbt.train(np.stack(rows["x"].to_list()), rows["label"].to_numpy(float), MONOTONE)
