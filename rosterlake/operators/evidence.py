@@ -6,11 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions.expressions import month_diff
-from rosterlake.functions.text import html_text, size_badge, size_mentions
+from rosterlake.functions.text import content_gate, exact_count, html_text, size_badge, size_mentions, status_gate
 
 
 def evidence(wanted: DataFrame, stored: DataFrame, segments: DataFrame, placed: DataFrame, events: DataFrame, growth: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _counts(node: object) -> Iterator[tuple[float, float]]:
                 yield from _counts(v)
 
 
-def json_ld(pages: DataFrame) -> DataFrame:
+def json_ld(pages: DataFrame, id_type: str = "long") -> DataFrame:
     """pages (page_id, html) -> page_id, value_min, value_point, value_max, kind: the size that a page's JSON-LD states, exact preferred."""
     blocks = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
 
@@ -65,24 +65,99 @@ def json_ld(pages: DataFrame) -> DataFrame:
                     rows.append((page_id, low, (low + high) / 2, high, "exact" if low == high else "range"))
             yield pd.DataFrame(rows, columns=["page_id", "value_min", "value_point", "value_max", "kind"])
 
-    return pages.select("page_id", blocks.alias("blocks")).where(F.size("blocks") > 0).mapInPandas(read, "page_id long, value_min double, value_point double, value_max double, kind string")
+    return pages.select("page_id", blocks.alias("blocks")).where(F.size("blocks") > 0).mapInPandas(read, f"page_id {id_type}, value_min double, value_point double, value_max double, kind string")
 
 
-#: Fixed policy: what a statement of a source and kind is worth.
-POLICY = {("company_page", "json_ld"): 0.70, ("company_page", "exact"): 0.65, ("company_page", "range"): 0.55, ("profile_page", "json_ld"): 0.60, ("profile_page", "badge"): 0.45}
+# What a statement of a source and kind is worth, and the paths of a company's pages in the order they count.
+POLICY = {
+    ("company_page", "json_ld"): 0.70, ("company_page", "exact"): 0.65, ("company_page", "range"): 0.55,
+    ("profile_page", "badge"): 0.45, ("profile_page", "json_ld_exact"): 0.60, ("profile_page", "json_ld_range"): 0.50, ("people_page", "exact"): 0.35,
+    ("archive", "json_ld"): 0.55, ("archive", "text"): 0.45, ("filing", "fact"): 0.85, ("knowledge_base", "domain"): 0.70, ("knowledge_base", "name"): 0.55,
+}
+PATH_ORDER = ("/", "/about", "/about-us", "/about/company", "/company", "/team", "/our-team", "/leadership", "/people", "/careers")
 
 
-def page_signals(pages: DataFrame) -> DataFrame:
+def policy(spark: SparkSession) -> DataFrame:
+    """POLICY as a table: source, statement, confidence."""
+    return spark.createDataFrame([(*k, v) for k, v in POLICY.items()], "source string, statement string, confidence double")
+
+
+def with_confidence(signals: DataFrame) -> DataFrame:
+    """Signals (source, statement, ...) with the confidence of the policy; those that it does not name are dropped."""
+    return signals.join(F.broadcast(policy(signals.sparkSession)), ["source", "statement"])
+
+
+def profile_signals(pages: DataFrame) -> dict[str, DataFrame]:
+    """The page cascade of profile pages (company_id, part: company | about | people, url, status, html).
+
+    signals (company_id, source, statement, part, value_min, value_point,
+    value_max, confidence): the JSON-LD statement of the company page, else its
+    badge; else the same of the about page; with either, the exact count of the
+    people page comes as a further signal.  gates (company_id, reason): companies
+    without a signal whose company page, or about page after an open company
+    page without a statement, is gated: by its status, a login path or a mark in
+    its text.  Of several pages of a part the first by url counts.
+    """
+    first = pages.groupBy("company_id", "part").agg(F.min(F.struct("url", "status", "html")).alias("p")).select("company_id", "part", "p.*")
+    key = F.concat_ws("/", "company_id", "part")
+    read = first.withColumn("page_id", key).withColumn("body", F.coalesce("html", F.lit("")))
+    ld = json_ld(read.select("page_id", F.col("body").alias("html")), "string").select("page_id", F.struct("value_min", "value_point", "value_max", "kind").alias("ld"))
+    text = html_text("body")
+    described = read.join(ld, "page_id", "left").withColumn("badge", size_badge(text)).withColumn("count", exact_count(text))
+    by_status, by_content = status_gate("status"), content_gate("url", "body")
+    seen = described.withColumn("refused", by_status).withColumn("gate", by_content).withColumn("states", F.col("refused").isNull() & (F.col("ld").isNotNull() | F.col("badge").isNotNull()))
+    of = lambda part: F.max(F.when(F.col("part") == part, F.struct("states", "refused", "gate", "ld", "badge", "count"))).alias(part)
+    wide = seen.groupBy("company_id").agg(*map(of, ("company", "about", "people")))
+    opened = F.coalesce(F.col("company.refused"), F.when(~F.col("company.states"), F.col("company.gate"))).isNull() & F.col("company").isNotNull()
+    chosen = F.when(F.col("company.states"), F.lit("company")).when(opened & F.col("about.states"), F.lit("about"))
+    from_page = wide.withColumn("part", chosen).withColumn("page", F.when(F.col("part") == "company", F.col("company")).otherwise(F.col("about")))
+    stated = from_page.where("part is not null")
+    exact = F.col("page.ld.value_min") == F.col("page.ld.value_max")
+    statement = F.when(F.col("page.ld").isNull(), "badge").when(exact, "json_ld_exact").otherwise("json_ld_range")
+    low, high = F.col("page.badge.low").cast("double"), F.col("page.badge.high").cast("double")
+    value = lambda name, badge: F.coalesce(F.col(f"page.ld.{name}"), badge).alias(name)
+    main = stated.select("company_id", F.lit("profile_page").alias("source"), statement.alias("statement"), "part", value("value_min", low), value("value_point", (low + high) / 2), value("value_max", high))
+    n = F.col("people.count").cast("double")
+    soft = F.col("people.refused").isNull() & F.col("people.gate").isNull() & n.isNotNull()
+    people = stated.where(soft).select("company_id", F.lit("people_page").alias("source"), F.lit("exact").alias("statement"), F.lit("people").alias("part"), n.alias("value_min"), n.alias("value_point"), n.alias("value_max"))
+    late = F.when(opened, F.coalesce(F.col("about.refused"), F.col("about.gate")))
+    reason = F.coalesce(F.col("company.refused"), F.col("company.gate"), late)
+    gates = from_page.where("part is null").select("company_id", reason.alias("reason")).where("reason is not null")
+    return {"signals": with_confidence(main.unionByName(people)), "gates": gates}
+
+
+def site_signals(pages: DataFrame, max_paths: int = 8) -> dict[str, DataFrame]:
+    """The page cascade of company sites (company_id, path, status, html).
+
+    signals (company_id, path, value_min, value_point, value_max, statement,
+    confidence): the statements of the first path, in PATH_ORDER, that has any
+    (its JSON-LD, else the sizes in its text); gates (company_id, reason):
+    companies all of whose pages are forbidden.
+    """
+    rank = F.array_position(F.array(*map(F.lit, PATH_ORDER[:max_paths])), F.col("path")).cast("int")
+    tried = pages.withColumn("path_rank", rank).where("path_rank > 0").withColumn("page_id", F.concat_ws("/", "company_id", "path_rank"))
+    found = page_signals(tried.where("status < 400").select("page_id", "html"), "string", badges=False)
+    placed = found.join(tried.select("page_id", "company_id", "path", "path_rank").distinct(), "page_id")
+    best = placed.groupBy("company_id").agg(F.min("path_rank").alias("path_rank"))
+    values = ["value_min", "value_point", "value_max"]
+    statement = F.when(F.col("method") == "json_ld", "json_ld").when(F.col("kind") == "exact", "exact").otherwise("range")
+    rows = placed.join(best, ["company_id", "path_rank"]).select("company_id", "path", *values, F.lit("company_page").alias("source"), statement.alias("statement"))
+    gates = tried.groupBy("company_id").agg(F.bool_and(F.col("status") == 403).alias("all")).where("all").select("company_id", F.lit("forbidden").alias("reason"))
+    return {"signals": with_confidence(rows).drop("source"), "gates": gates}
+
+
+def page_signals(pages: DataFrame, id_type: str = "long", badges: bool = True) -> DataFrame:
     """Size statements of archived pages, best method only: page_id, method, value_min, value_point, value_max, kind, confidence.
 
     JSON-LD comes before a size badge, which comes before statements in the text.
     """
     values = ["value_min", "value_point", "value_max", "kind"]
-    ld = json_ld(pages).withColumn("method", F.lit("json_ld")).withColumn("method_rank", F.lit(0))
+    ld = json_ld(pages, id_type).withColumn("method", F.lit("json_ld")).withColumn("method_rank", F.lit(0))
     text = pages.select("page_id", html_text("html").alias("t"))
     badge = text.select("page_id", size_badge("t").alias("b")).where("b is not null").select("page_id", F.col("b.low").cast("double").alias("value_min"), ((F.col("b.low") + F.col("b.high")) / 2.0).alias("value_point"), F.col("b.high").cast("double").alias("value_max"), F.lit("bucket").alias("kind"), F.lit("badge").alias("method"), F.lit(1).alias("method_rank"))
     said = text.select("page_id", F.explode(size_mentions("t")).alias("m")).select("page_id", *(f"m.{c}" for c in values), F.lit("text").alias("method"), F.lit(2).alias("method_rank"))
-    every = ld.select("page_id", *values, "method", "method_rank").unionByName(badge).unionByName(said)
+    every = ld.select("page_id", *values, "method", "method_rank").unionByName(said)
+    every = every.unionByName(badge) if badges else every
     best = every.groupBy("page_id").agg(F.min("method_rank").alias("method_rank"))
     confidence = F.when(F.col("method") == "json_ld", POLICY["company_page", "json_ld"]).when(F.col("kind") == "exact", POLICY["company_page", "exact"]).otherwise(POLICY["company_page", "range"])
     return every.join(best, ["page_id", "method_rank"]).withColumn("confidence", confidence).drop("method_rank")
@@ -97,7 +172,11 @@ def snapshot_choice(snapshots: DataFrame, as_of: Column, horizons: tuple[int, ..
     return used.select("origin", "snapshot_month", "h.horizon", F.col("h.target").alias("stamped_month"))
 
 
-def filing_facts(filings: DataFrame, concepts: tuple[str, ...] = ("NumberOfEmployees", "EntityNumberOfEmployees"), top: int = 5) -> DataFrame:
+# The concepts of filings that count employees.
+CONCEPTS = ("EmployeeNumberOfEmployees", "NumberOfEmployees", "EntityNumberOfEmployees", "EmployeeEquivalentsFullTimeAndPartTimeTotalNumberOfEmployees")
+
+
+def filing_facts(filings: DataFrame, concepts: tuple[str, ...] = CONCEPTS, top: int = 5) -> DataFrame:
     """filings (company_id, body JSON) -> the newest `top` headcount facts of each: concept, unit, end, value, filed."""
     schema = "struct<facts:map<string,map<string,struct<units:map<string,array<struct<end:string,val:double,filed:string>>>>>>>"
     flat = filings.select("company_id", F.explode(F.from_json("body", schema)["facts"]).alias("taxonomy", "c")).select("company_id", F.explode("c").alias("concept", "u")).where(F.col("concept").isin(*concepts))

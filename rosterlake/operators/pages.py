@@ -9,18 +9,21 @@ from rosterlake.functions.text import domain_key, let
 
 # Words that turn a one-word name into another company's.
 QUALIFIERS = ("consulting", "consultants", "consultancy", "advisors", "advisory", "partners", "associates", "holdings", "group", "ventures", "capital", "agency", "services", "solutions")
-DENIED = ("login", "signup", "setup", "unavailable")
+# Slugs that are no company's, and marks of a result page that is a captcha.
+DENIED = ("linkedin", "linkedin-corporation", "company", "showcase")
+CAPTCHA = ("captcha", "recaptcha", "verify you are a human")
 SLUG = r"(?i)linkedin\.com/company/([A-Za-z0-9_%.\-]+)"
 
 
 def result_slugs(body: Column | str, limit: int = 5, denied: tuple[str, ...] = DENIED) -> Column:
-    """Up to `limit` distinct slugs of a search result page: direct links first, then those behind redirects (u=, uddg=)."""
+    """Up to `limit` distinct slugs of a search result page: direct links first, then those behind redirects (u=, uddg=); none of a captcha."""
     b = F.coalesce(F.col(body) if isinstance(body, str) else body, F.lit(""))
     direct = F.regexp_extract_all(b, F.lit(SLUG), F.lit(1))
     targets = F.regexp_extract_all(b, F.lit(r"(?i)[?&;](?:u|uddg)=([^&\"'<> ]+)"), F.lit(1))
     behind = F.filter(F.transform(targets, lambda t: F.regexp_extract(F.coalesce(F.try_url_decode(t), F.lit("")), SLUG, 1)), lambda s: s != "")
     clean = F.transform(F.concat(direct, behind), lambda s: F.lower(F.regexp_replace(s, r"[.%]+$", "")))
-    return F.slice(F.filter(F.array_distinct(clean), lambda s: (s != "") & ~s.isin(*denied)), 1, limit)
+    found = F.slice(F.filter(F.array_distinct(clean), lambda s: (s != "") & ~s.isin(*denied)), 1, limit)
+    return F.when(F.lower(b).rlike("|".join(CAPTCHA)), F.array().cast("array<string>")).otherwise(found)
 
 
 def name_tokens(text: Column) -> Column:

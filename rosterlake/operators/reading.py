@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.operators.evaluation import latest_version
@@ -42,3 +42,18 @@ def flat_overrides(overrides: DataFrame, now: Column) -> DataFrame:
     p = F.from_json("payload", "anchor_month date, value_point double, start_month date, end_month date, event_month date, event_type string")
     live = F.col("expires_at").isNull() | (F.col("expires_at") > now)
     return overrides.withColumn("p", p).select("override_id", "company_id", "field_name", "reason", live.alias("active"), "p.*")
+
+
+def anchor_yield(anchors: DataFrame, examples: int = 10) -> DataFrame:
+    """Anchors of each company and source: n_anchors, n_months, best_confidence, and the newest `examples` of them as (month, value)."""
+    newest = Window.partitionBy("company_id", "source_name").orderBy(F.desc("anchor_month"), "anchor_id")
+    shown = anchors.withColumn("_n", F.row_number().over(newest))
+    example = F.when(F.col("_n") <= examples, F.struct(F.col("_n").alias("n"), "anchor_month", "value_point"))
+    return shown.groupBy("company_id", "source_name").agg(
+        F.count("*").alias("n_anchors"), F.count_distinct("anchor_month").alias("n_months"), F.max("confidence").alias("best_confidence"), F.array_sort(F.collect_list(example)).alias("examples")
+    )
+
+
+def anchor_matrix(anchors: DataFrame, sources: list[str]) -> DataFrame:
+    """Companies by sources: how many anchors each source gives."""
+    return anchors.groupBy("company_id").pivot("source_name", sources).agg(F.count("*")).na.fill(0)

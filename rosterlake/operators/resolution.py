@@ -113,14 +113,28 @@ def resolve(candidates: DataFrame) -> DataFrame:
     return shaped.join(parts, "row_no").groupBy("component").applyInPandas(replay, "row_no long, company_row long, matched_by string")
 
 
+# Phrases before a parent's or a former name, the characters of a name, and what ends one.
+PARENT_PHRASES = r"acquired\s+by|subsidiary\s+of|part\s+of|owned\s+by"
+RENAME_PHRASES = r"(?:rebranded|renamed|now)\s+(?:to|as)"
+RELATED_NAME = r"\s+([A-Za-z0-9][A-Za-z0-9 &\-.,'/()]+?)(?:\s+(?:in|on|during)\b|[.,;]|$)"
+
+
 def relations(notes: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
-    """Parents named in notes (company_id, note): edges (parent_id, child_id, kind) and unresolved names."""
-    pattern = r"(?i)\b(subsidiary of|acquired by|part of|owned by)\s+([A-Z][\w&.\- ]*[\w])"
-    found = notes.select("company_id", F.lower(F.regexp_extract("note", pattern, 1)).alias("kind"), F.regexp_extract("note", pattern, 2).alias("parent_name")).where("parent_name <> ''")
+    """Companies named in notes (company_id, note): edges (parent_id, child_id, kind) and unresolved names.
+
+    A name ends at " in", " on", " during", at punctuation, or with the note;
+    kind is the phrase before it, or `renamed`.
+    """
+    parent, rename = (rf"(?i)({phrases}){RELATED_NAME}" for phrases in (PARENT_PHRASES, RENAME_PHRASES))
+    by_parent = F.regexp_extract("note", parent, 2) != ""
+    kind = F.when(by_parent, F.regexp_replace(F.lower(F.regexp_extract("note", parent, 1)), r"\s+", " ")).otherwise("renamed")
+    name = F.when(by_parent, F.regexp_extract("note", parent, 2)).otherwise(F.regexp_extract("note", rename, 2))
+    found = notes.select("company_id", kind.alias("kind"), F.trim(name).alias("parent_name")).where("parent_name <> ''")
     names = companies.groupBy(name_key("name").alias("key")).agg(F.min("company_id").alias("parent_id"))
     hit = found.withColumn("key", name_key("parent_name")).join(names, "key", "left")
-    edges = hit.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("company_id"))).select("parent_id", F.col("company_id").alias("child_id"), "kind").distinct()
-    return {"edges": edges, "unresolved": hit.where("parent_id is null").select("company_id", "parent_name")}
+    edges = hit.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("company_id")))
+    unresolved = hit.where("parent_id is null").select("company_id", "parent_name")
+    return {"edges": edges.select("parent_id", F.col("company_id").alias("child_id"), "kind").distinct(), "unresolved": unresolved}
 
 
 def shard(rows: DataFrame, order: list[str], n: int, m: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,37 +14,63 @@ from rosterlake.operators import series as S
 from rosterlake.sources.tables import checkpointed
 
 
-@dataclass
 class Estimate:
-    segments: DataFrame
-    counts: DataFrame
-    placed: DataFrame
-    reconciled: DataFrame
-    raw: DataFrame
-    series: DataFrame
-    scored: DataFrame
-    rejected: DataFrame
+    """Every step over all companies at once, planned when it is first asked for; bad override rows end in `rejected`.
+
+    Several steps read segments, counts and placed; as tables these are computed
+    once and survive lost executors, and what no result needs is never computed.
+    """
+
+    def __init__(self, companies: DataFrame, employment: DataFrame, anchors: DataFrame, events: DataFrame, overrides: DataFrame, window: Window, now: Column, config: EstimateConfig) -> None:
+        self.companies, self.employment, self.anchors, self.events = companies, employment, anchors, events
+        self.overrides, self.window, self.now, self.config = overrides, window, now, config
+
+    @cached_property
+    def decoded(self) -> dict[str, DataFrame]:
+        return O.decode(self.overrides, self.now)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return checkpointed(S.segments(O.with_events(self.events, self.decoded["events"]), self.companies, self.window))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return checkpointed(S.profile_counts(self.employment, self.companies, self.window))
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return checkpointed(S.anchors_in_segments(O.with_pins(self.anchors, self.decoded["pins"]), self.segments))
+
+    @cached_property
+    def reconciled(self) -> DataFrame:
+        return S.reconcile_anchors(self.placed, self.config.decay_half_life)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return S.monthly_series(self.segments, self.counts, self.placed, self.reconciled, self.window, self.config)
+
+    @cached_property
+    def series(self) -> DataFrame:
+        return S.suppress(self.raw, self.decoded["windows"])
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        breaks = C.break_months(self.segments)
+        return C.confidence(C.anomalies(self.series, breaks, self.config), self.placed, breaks, self.window, self.config)
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.decoded["rejected"]
 
     @property
     def stored(self) -> DataFrame:
         return C.persisted(self.scored)
 
 
-def estimate(companies: DataFrame, employment: DataFrame, anchors: DataFrame, events: DataFrame, overrides: DataFrame, window: Window, now: Column, config: EstimateConfig = EstimateConfig()) -> Estimate:
-    """Every step over all companies at once; bad override rows end in `rejected` instead of failing a company."""
-    decoded = O.decode(overrides, now)
-    all_events = O.with_events(events, decoded["events"])
-    # several steps read these three; as tables they are computed once and survive lost executors
-    segs = checkpointed(S.segments(all_events, companies, window))
-    counts = checkpointed(S.profile_counts(employment, companies, window))
-    placed = checkpointed(S.anchors_in_segments(O.with_pins(anchors, decoded["pins"]), segs))
-    reconciled = S.reconcile_anchors(placed, config.decay_half_life)
-    raw = S.monthly_series(segs, counts, placed, reconciled, window, config)
-    series = S.suppress(raw, decoded["windows"])
-    breaks = C.break_months(segs)
-    flagged = C.anomalies(series, breaks, config)
-    scored = C.confidence(flagged, placed, breaks, window, config)
-    return Estimate(segs, counts, placed, reconciled, raw, series, scored, decoded["rejected"])
+def estimate(
+    companies: DataFrame, employment: DataFrame, anchors: DataFrame, events: DataFrame, overrides: DataFrame, window: Window, now: Column, config: EstimateConfig = EstimateConfig()
+) -> Estimate:
+    return Estimate(companies, employment, anchors, events, overrides, window, now, config)
 
 
 def outcome(scored: DataFrame, companies: DataFrame) -> DataFrame:

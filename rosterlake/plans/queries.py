@@ -16,6 +16,7 @@ from rosterlake.operators import evidence as X
 from rosterlake.operators import growth as G
 from rosterlake.operators import overrides as OV
 from rosterlake.operators import promotion as PR
+from rosterlake.operators import reading as RD
 from rosterlake.operators import resolution as RS
 from rosterlake.operators import review as R
 from rosterlake.operators import series as S
@@ -89,11 +90,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.segments.select("company_id", F.col("segment_no").cast("long").alias("segment_no"), "segment_start", "segment_end", F.array_join("opening_types", ",").alias("opening_types"))
 
 
-@query(sql("SELECT c.company_id, c.month, segment_no, segment_start, segment_end FROM spine c JOIN segments g ON g.company_id = c.company_id AND c.month BETWEEN segment_start AND segment_end WHERE month(c.month) = 6", 3, dates=("month", "segment_start", "segment_end")))
+@query(sql("SELECT c.company_id, c.month, segment_no, segment_start, segment_end FROM spine c JOIN segments g ON g.company_id = c.company_id AND c.month BETWEEN segment_start AND segment_end", 3, dates=("month", "segment_start", "segment_end")))
 def segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = full(spark, sf_dir)
-    months = e.counts.where(F.month("month") == 6).select("company_id", "month")
-    return S.segment_of(e.segments, months).withColumn("segment_no", F.col("segment_no").cast("long"))
+    return S.segment_of(e.segments, e.counts.select("company_id", "month")).withColumn("segment_no", F.col("segment_no").cast("long"))
 
 
 @query(sql("SELECT c.company_id, c.month, segment_no, segment_start, segment_end FROM spine c JOIN segments g ON g.company_id = c.company_id AND c.month BETWEEN segment_start AND segment_end", 3, dates=("month", "segment_start", "segment_end")))
@@ -406,13 +406,13 @@ def archive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.archive_merge(pages.select("url", F.col("html").alias("body"), F.lit(500).alias("status"), at("2001-02-01").alias("fetched_at")), first).drop("body")
 
 
-@query("""WITH c AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), d AS (SELECT host, row_number() OVER (ORDER BY host) AS company_id FROM c WHERE host NOT LIKE 'blog.%' AND host NOT LIKE 'm.%')
+@query("""WITH c AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), d AS (SELECT host, ('0x' || substr(md5(host), 1, 12))::BIGINT AS company_id FROM c WHERE host NOT LIKE 'blog.%' AND host NOT LIKE 'm.%')
 SELECT page_id, company_id FROM pages p JOIN d ON regexp_replace(regexp_extract(p.url, '://([^/?#]*)', 1), '^(www)\\.', '') = d.host OR regexp_extract(p.url, '://([^/?#]*)', 1) LIKE '%.' || d.host
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(d.host) DESC, company_id) = 1""".replace("regexp_replace(regexp_extract(p.url, '://([^/?#]*)', 1), '^(www)\\\\.', '')", "regexp_extract(p.url, '://([^/?#]*)', 1)"))
 def host_to_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = A.table(spark, sf_dir, "pages")
     hosts = pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("domain")).distinct().where(~F.col("domain").rlike("^(blog|m)[.]"))
-    companies = hosts.withColumn("company_id", F.row_number().over(Window.orderBy("domain")).cast("long"))
+    companies = hosts.withColumn("company_id", F.conv(F.substring(F.md5("domain"), 1, 12), 16, 10).cast("long"))
     return RS.host_to_company(pages, companies)
 
 
@@ -445,11 +445,11 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.validated(rows, TB.ANCHOR_RULES)[1].groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT s.company_id, s.month, round(s.value_point, 4) AS value_point, s.method, g.segment_no, g.segment_start, (SELECT count(*) FROM placed p WHERE p.company_id = s.company_id AND p.segment_no = g.segment_no) AS n_anchors, (SELECT count(*) FROM events v WHERE v.company_id = s.company_id AND v.event_month BETWEEN g.segment_start AND g.segment_end) AS n_events, (SELECT count(*) FROM growth w WHERE w.company_id = s.company_id AND w.month = s.month) AS n_growth FROM stored s JOIN segments g USING (company_id, segment_no) WHERE year(s.month) = 2000", 7, dates=("month", "segment_start")))
+@query(sql("SELECT s.company_id, s.month, round(s.value_point, 4) AS value_point, s.method, g.segment_no, g.segment_start, (SELECT count(*) FROM placed p WHERE p.company_id = s.company_id AND p.segment_no = g.segment_no) AS n_anchors, (SELECT count(*) FROM events v WHERE v.company_id = s.company_id AND v.event_month BETWEEN g.segment_start AND g.segment_end) AS n_events, (SELECT count(*) FROM growth w WHERE w.company_id = s.company_id AND w.month = s.month) AS n_growth FROM stored s JOIN segments g USING (company_id, segment_no)", 7, dates=("month", "segment_start")))
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = full(spark, sf_dir)
     series = TB.checkpointed(e.stored)
-    wanted = series.where("year(month) = 2000").select("company_id", "month")
+    wanted = series.select("company_id", "month")
     all_events = OV.with_events(A.events(spark, sf_dir), OV.decode(A.overrides(spark, sf_dir), now())["events"])
     tree = X.evidence(wanted, series, e.segments, e.placed, all_events, G.growth_series(series))
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
@@ -478,7 +478,7 @@ def company_growth_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT company_id, source_name, count(*) AS n_anchors, count(DISTINCT anchor_month) AS n_months, round(max(confidence), 4) AS best_confidence FROM anchors0 GROUP BY ALL", 1))
 def anchor_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.anchors(spark, sf_dir).groupBy("company_id", "source_name").agg(F.count("*").alias("n_anchors"), F.count_distinct("anchor_month").alias("n_months"), F.max("confidence").alias("best_confidence"))
+    rows = RD.anchor_yield(A.anchors(spark, sf_dir)).select("company_id", "source_name", "n_anchors", "n_months", "best_confidence")
     return rounded(rows, "best_confidence")
 
 

@@ -115,9 +115,12 @@ def archive_merge(fetched: DataFrame, stored: DataFrame | None = None) -> DataFr
 
 
 def new_signals(signals: DataFrame, stored: DataFrame) -> DataFrame:
-    """Signals (company_id, source_name, url, text, ...) that are not stored yet, one a content hash."""
+    """Signals (company_id, source_name, url, text, ...) that are not stored yet; of those with one content hash the first by all columns."""
+    key = ["company_id", "source_name", "content_hash"]
+    rest = [c for c in signals.columns if c not in key]
     hashed = signals.withColumn("content_hash", natural_id("url", "text"))
-    return hashed.dropDuplicates(["company_id", "source_name", "content_hash"]).join(stored.select("company_id", "source_name", "content_hash"), ["company_id", "source_name", "content_hash"], "left_anti")
+    once = hashed.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_first")).select(*key, "_first.*")
+    return once.join(stored.select(*key), key, "left_anti")
 
 
 def export(df: DataFrame, path: str, fmt: str, order: list[str] | None = None) -> None:

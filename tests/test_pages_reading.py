@@ -7,7 +7,7 @@ from rosterlake.operators import reading as R
 
 
 def test_result_slugs(spark):
-    body = 'a href="https://www.linkedin.com/company/Acme-Co/" x <a href="/ck/a?u=https%3A%2F%2Flinkedin.com%2Fcompany%2Fbeta&x"> https://linkedin.com/company/login l/?uddg=https%3A%2F%2Fwww.linkedin.com%2Fcompany%2Facme-co%2F'
+    body = 'a href="https://www.linkedin.com/company/Acme-Co/" x <a href="/ck/a?u=https%3A%2F%2Flinkedin.com%2Fcompany%2Fbeta&x"> https://linkedin.com/company/showcase l/?uddg=https%3A%2F%2Fwww.linkedin.com%2Fcompany%2Facme-co%2F'
     df = spark.createDataFrame([(body,), (None,)], "body string")
     assert [r.s for r in df.select(P.result_slugs("body").alias("s")).collect()] == [["acme-co", "beta"], []]
 
