@@ -78,11 +78,12 @@ def _tokens(target: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.translate(target, _UPPER, _LOWER), "[^a-z0-9]+")))
 
 
-def rule_index(rules: DataFrame, exploded: DataFrame) -> DataFrame:
+def rule_index(rules: DataFrame, exploded: DataFrame, few: bool) -> DataFrame:
     """compiled rules -> their columns without tokens, and `token`: the one of theirs that fewest rows of exploded (token) have."""
     wanted = rules.select("pattern", F.explode("tokens").alias("token"))
-    # semi join before counting, so only rule tokens are shuffled
-    counts = exploded.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    # tokens are counted on the map side before any shuffle; where the rules are few, only their tokens are counted
+    counted = exploded.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi") if few else exploded
+    counts = counted.groupBy("token").count()
     filed = wanted.join(counts, "token", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     return rules.drop("tokens").join(filed, "pattern", "left").withColumn("token", F.coalesce("token", F.lit("")))
 
@@ -101,8 +102,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     host, path, target = url_parts(F.col("url"))
     parts = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"), target.alias("target"))
     exploded = parts.select("*", F.explode(_tokens(F.col("target"))).alias("token"))
-    index = rule_index(compiled(rules), exploded.where("target <> ''").select("token"))
     few = (rules.agg(F.sum(F.octet_length("pattern") + 200)).first()[0] or 0) <= MAX_BROADCAST_BYTES
+    index = rule_index(compiled(rules), exploded.where("target <> ''").select("token"), few)
     if few:
         met = exploded.join(F.broadcast(index), "token", "left")
     else:
