@@ -56,4 +56,4 @@ def anchor_yield(anchors: DataFrame, examples: int = 10) -> DataFrame:
 
 def anchor_matrix(anchors: DataFrame, sources: list[str]) -> DataFrame:
     """Companies by sources: how many anchors each source gives."""
-    return anchors.groupBy("company_id").pivot("source_name", sources).agg(F.count("*")).na.fill(0)
+    return anchors.groupBy("company_id").pivot("source_name", sources).agg(F.count(F.lit(1))).na.fill(0)
