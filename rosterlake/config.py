@@ -65,3 +65,4 @@ class EvaluationConfig:
     gap: float = 0.25
     credit_overlap: bool = True
     primary_provider: str = "primary"
+    fallback_provider: str = "secondary"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions.expressions import month_diff
 from rosterlake.functions.text import content_gate, exact_count, html_text, size_badge, size_mentions, status_gate
+from rosterlake.operators.evaluation import latest_version
 
 
 def evidence(wanted: DataFrame, stored: DataFrame, segments: DataFrame, placed: DataFrame, events: DataFrame, growth: DataFrame) -> DataFrame:
@@ -27,6 +28,26 @@ def evidence(wanted: DataFrame, stored: DataFrame, segments: DataFrame, placed:
     return full.select("company_id", "month", F.struct("value_min", "value_point", "value_max", "method", "band", "score").alias("estimate"), F.struct("segment_no", "segment_start", "segment_end", "opening_types").alias("segment"), "anchors", "events", "growth")
 
 
+
+def evidence_tree(records: DataFrame, reconciled: DataFrame, overrides: DataFrame, versions: DataFrame, audit: DataFrame) -> DataFrame:
+    """`evidence` records with what else stands behind their company: newest version, reconciled anchors, active overrides, the version's audit.
+
+    reconciled: see `series.reconcile_anchors`; overrides: the active ones;
+    versions: see `evaluation.latest_version`; audit: version_id, audit_id,
+    action, created_at.
+    """
+    listed = lambda df, key, name, *cols: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    folded = listed(reconciled, "company_id", "reconciled", "segment_no", "anchor_month", "value_min", "value_point", "value_max")
+    live = listed(overrides, "company_id", "overrides", "override_id", "field_name", "payload", "reason", "expires_at")
+    newest = latest_version(versions).select("company_id", "version_id")
+    logged = newest.join(listed(audit, "version_id", "audit", "created_at", "audit_id", "action"), "version_id", "left")
+    out = records
+    for part in (folded, live, logged):
+        out = out.join(part, "company_id", "left")
+    empty = {c: F.coalesce(c, F.array()) for c in ("anchors", "events", "growth", "reconciled", "overrides", "audit")}
+    return out.withColumns(empty)
+
+
 def _counts(node: object) -> Iterator[tuple[float, float]]:
     """(low, high) of every numberOfEmployees below a JSON value."""
     if isinstance(node, list):

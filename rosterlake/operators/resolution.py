@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,8 +147,6 @@ def shard(rows: DataFrame, order: list[str], n: int, m: int) -> DataFrame:
     return rows.withColumn("_n", number).where(F.col("_n") % m == n - 1).drop("_n")
 
 
-
-
 def missing_keys(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Aliases or links to insert: those whose keys are not there yet, one for each."""
     return wanted.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
@@ -158,9 +158,33 @@ def event_company(events: DataFrame, candidates: DataFrame) -> DataFrame:
     return events.join(known, "candidate_id", "left").withColumn("company_id", F.coalesce("company_id", "_c")).drop("_c")
 
 
-def match_targets(targets: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Target names (target) -> company_id by name key; a company's own name wins over an alias, null where nothing matches."""
-    own = companies.select(name_key("name").alias("key"), F.lit(0).alias("rank"), "company_id")
-    keys = own.unionByName(aliases.select(name_key("alias").alias("key"), F.lit(1).alias("rank"), "company_id")).where("key <> ''")
+# Legal forms that a target's name may end in, each cut once in this order.
+LOOSE_FORMS = ("incorporated", "inc", "llc", "ltd", "limited", "corp", "corporation", "company", "co", "gmbh", "sa", "plc")
+
+
+def loose_name(text: Column | str) -> Column:
+    """Match key of a target's name: lower-cased, commas, dots, brackets and quotes as spaces, legal forms cut off its end."""
+    out = F.regexp_replace(F.trim(F.lower(text)), "[,.()\"']", " ")
+    for form in LOOSE_FORMS:
+        out = F.regexp_replace(out, rf" {form}\z", "")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def match_targets(targets: DataFrame, companies: DataFrame, aliases: DataFrame, key: Callable[[str], Column] = loose_name) -> DataFrame:
+    """Target names (target) -> company_id by a name's key; a company's own name wins over an alias, null where nothing matches."""
+    own = companies.select(key("name").alias("key"), F.lit(0).alias("rank"), "company_id")
+    keys = own.unionByName(aliases.select(key("alias").alias("key"), F.lit(1).alias("rank"), "company_id")).where("key <> ''")
     best = keys.groupBy("key").agg(F.min(F.struct("rank", "company_id"))["company_id"].alias("company_id"))
-    return targets.withColumn("key", name_key("target")).join(best, "key", "left").drop("key")
+    return targets.withColumn("key", key("target")).join(best, "key", "left").drop("key")
+
+
+def candidate_hints(candidates: DataFrame, observations: DataFrame) -> DataFrame:
+    """candidates (candidate_id, domain, ...) with the first domain and profile URL that their reference rows state.
+
+    observations: candidate_id, load_order, domain, profile_url.  A candidate's
+    own domain comes first; blank values count as missing.
+    """
+    first = lambda c: F.min(F.when(F.trim(c) != "", F.struct("load_order", c)))[c]
+    stated = observations.groupBy("candidate_id").agg(first("domain").alias("_domain"), first("profile_url").alias("profile_url"))
+    out = candidates.join(stated, "candidate_id", "left")
+    return out.withColumn("domain", F.coalesce("domain", "_domain")).drop("_domain")

@@ -109,6 +109,13 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_suppkey").alias("company_id"), F.col("id").alias("version_id"), F.col("l_shipdate").alias("created_at"), F.col("l_returnflag").alias("run_id"))
 
 
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of versions: one to three each, by quantity."""
+    rows = lines(spark, sf_dir).where("l_linenumber = 4")
+    number = F.explode(F.sequence(F.lit(0), F.col("l_quantity").cast("int") % 3)).alias("number")
+    return rows.select(F.col("id").alias("version_id"), number, F.col("l_shipdate").alias("created_at")).select("version_id", F.concat_ws("-", "version_id", "number").alias("audit_id"), F.lit("estimate").alias("action"), "created_at")
+
+
 def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size statements as analysts type them, one for each part."""
     n = (F.col("p_size") * 10).cast("string")

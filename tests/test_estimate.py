@@ -220,3 +220,24 @@ def test_text_readers(spark):
     assert [(x.m.qualifier, x.m.value_point) for x in s] == [("over", pytest.approx(550)), ("team of", 40), ("n-person", 50), ("strong", pytest.approx(220)), ("headcount", 75)]
     g = spark.createDataFrame([("6 month growth 12% 1 year growth: -5% 6 months growth 20% 2 year growth 900%",)], "t string").select(T.growth_trends("t").alias("g")).first().g
     assert g == {6: 20.0, 12: -5.0}
+
+
+def test_median_and_ranks_agree_with_plain_python(spark):
+    import random
+    import statistics
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, 0.0, 1.0, rng.random()]), rng.choice([0.5, rng.random()])) for _ in range(400)] + [("c", 1.0, 2.0), ("d", 1.0, 3.0), ("d", 4.0, 3.0)]
+    df = spark.createDataFrame(rows, "provider string, x double, y double")
+    got = {r.provider: r.m for r in E.exact_median(df, ["provider"], "x", "m").collect()}
+    assert got == pytest.approx({p: statistics.median(x for q, x, _ in rows if q == p) for p, *_ in rows})
+    rho = {r.provider: r.rho for r in E.spearman(df, ["provider"], "x", "y").collect()}
+    assert rho["c"] is None and rho["d"] is None
+
+    def ranks(v):
+        s = sorted(v)
+        return [s.index(x) + (s.count(x) + 1) / 2 for x in v]
+
+    for p in ("a", "b", None):
+        rx, ry = ranks([x for q, x, _ in rows if q == p]), ranks([y for q, _, y in rows if q == p])
+        assert rho[p] == pytest.approx(statistics.correlation(rx, ry))
