@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.functions.text import domain_key, name_key, profile_slug
+from rosterlake.functions.text import domain_key, legal_suffix, name_key, profile_slug
 from rosterlake.sources.tables import checkpointed
 
 
@@ -52,67 +53,178 @@ def host_to_company(pages: DataFrame, companies: DataFrame) -> DataFrame:
     return hit.groupBy("page_id").agg(F.max(F.struct(F.length("domain").alias("n"), -F.col("company_id"))).alias("m")).select("page_id", (-F.col("m.col2")).alias("company_id"))
 
 
+#: Rank of the key that names a candidate's company, and of a candidate that founds one.
+MATCHED_BY = {0: "domain", 1: "slug", 2: "name", 3: "new"}
+#: Components of at most this many key rows are replayed in one task; larger ones go by rounds of joins.
+MAX_REPLAY_KEYS = 200_000
+
+
 def key_components(keys: DataFrame) -> DataFrame:
-    """row_no -> component (smallest row_no reachable over shared keys), by min-label rounds with checkpoints."""
-    labels = checkpointed(keys.groupBy("row_no").agg(F.first("row_no").alias("label")))
+    """keys (node, key) -> node, component (smallest node reachable over shared keys), by min-label rounds with checkpoints."""
+    labels = checkpointed(keys.groupBy("node").agg(F.first("node").alias("label")))
     while True:
-        by_key = keys.join(labels, "row_no").groupBy("key").agg(F.min("label").alias("low"))
-        near = keys.join(by_key, "key").groupBy("row_no").agg(F.min("low").alias("low"))
-        seen = labels.join(near, "row_no").select("row_no", F.least("label", "low").alias("l"), F.col("label").alias("old"))
-        up = labels.select(F.col("row_no").alias("l"), F.col("label").alias("up"))
-        after = checkpointed(seen.join(up, "l", "left").select("row_no", F.least("l", F.coalesce("up", "l")).alias("label"), "old"))
+        by_key = keys.join(labels, "node").groupBy("key").agg(F.min("label").alias("low"))
+        near = keys.join(by_key, "key").groupBy("node").agg(F.min("low").alias("low"))
+        seen = labels.join(near, "node").select("node", F.least("label", "low").alias("l"), F.col("label").alias("old"))
+        up = labels.select(F.col("node").alias("l"), F.col("label").alias("up"))
+        after = checkpointed(seen.join(up, "l", "left").select("node", F.least("l", F.coalesce("up", "l")).alias("label"), "old"))
         done = after.where("label <> old").isEmpty()
-        labels = after.select("row_no", "label")
+        labels = after.select("node", "label")
         if done:
             return labels.withColumnRenamed("label", "component")
 
 
 def replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy resolution of one component in row order.
+    """Greedy resolution of one component, given as its key rows (known, id, rank, key), in row order."""
+    holder: dict[str, tuple[bool, int]] = {}
+    single: set[tuple[tuple[bool, int], int]] = set()
+
+    def register(company: tuple[bool, int], rank: int, key: str) -> None:
+        if rank == 2 or (company, rank) not in single:
+            holder.setdefault(key, company)
+        if rank < 2:
+            single.add((company, rank))
+
+    out = []
+    ordered = rows.sort_values(["known", "id", "rank", "key"], ascending=[False, True, True, True])
+    nodes = zip(ordered["known"].tolist(), ordered["id"].tolist(), ordered["rank"].tolist(), ordered["key"].tolist(), strict=True)
+    for (known, ident), group in itertools.groupby(nodes, key=lambda r: r[:2]):
+        mine = [r[2:] for r in group]
+        rank, company = next(((r, holder[k]) for r, k in mine if k in holder), (3, (False, ident))) if not known else (3, (True, ident))
+        for r, k in mine:
+            register(company, r, k)
+        if not known:
+            out.append((ident, rank, *company))
+    return pd.DataFrame(out, columns=["row_no", "rank", "known", "id"])
+
+
+def _registry(claims: DataFrame, given: DataFrame) -> DataFrame:
+    """key -> at, company of its first holder; claims and given: company, at, rank, key.
+
+    A company holds the first domain and the first slug that a row brings it, and
+    every name.  `at` is null for what companies held before, which comes first.
+    """
+    both = claims.unionByName(given)
+    single = both.where("rank < 2").groupBy("company", "rank").agg(F.min(F.struct("at", "key")).alias("m")).select("company", "m.at", "m.key")
+    held = single.unionByName(both.where("rank = 2").select("company", "at", "key"))
+    return held.groupBy("key").agg(F.min(F.struct("at", "company")).alias("m")).select("key", "m.at", "m.company")
+
+
+def _assigned(keys: DataFrame, registry: DataFrame) -> DataFrame:
+    """The company of each row of keys (node, rank, key) under a registry: row_no, rank, company, keys."""
+    hit = keys.select(F.col("node.id").alias("row_no"), "rank", "key").join(registry, "key", "left")
+    before = F.col("company").isNotNull() & (F.col("at").isNull() | (F.col("at") < F.col("row_no")))
+    best = F.min(F.when(before, F.struct("rank", "company"))).alias("m")
+    rows = hit.groupBy("row_no").agg(best, F.collect_list(F.struct("rank", "key")).alias("keys"))
+    return rows.select("row_no", F.coalesce("m.rank", F.lit(3)).alias("rank"), F.coalesce("m.company", _node(False, "row_no")).alias("company"), "keys")
+
 
+def resolve_by_rounds(keys: DataFrame) -> DataFrame:
+    """Greedy resolution of key rows (node, rank, key) without a group in one task: row_no, rank, known, id.
+
+    What a row does depends only on keys registered before it, so all rows are
+    assigned under the last registry, and the first row that brings a company a
+    key registers it anew, until the registry stays.  Each round settles at
+    least the next row that was wrong.  The registry has one row a key, and
+    firsts are minima that combine before the shuffle.
+    """
+    given = keys.where("node.known").select(F.col("node").alias("company"), F.lit(None).cast("long").alias("at"), "rank", "key")
+    rows = keys.where("not node.known")
+    registry = checkpointed(_registry(given.limit(0), given))
+    while True:
+        claims = _assigned(rows, registry).select("row_no", "company", F.explode("keys").alias("x")).select("company", F.col("row_no").alias("at"), "x.rank", "x.key")
+        after = checkpointed(_registry(claims, given))
+        was = registry.select("key", F.col("at").alias("old_at"), F.col("company").alias("old"))
+        changed = after.join(was, "key", "full").where(~(F.col("at").eqNullSafe(F.col("old_at")) & F.col("company").eqNullSafe(F.col("old"))))
+        done, registry = changed.isEmpty(), after
+        if done:
+            return _assigned(rows, registry).select("row_no", "rank", "company.known", "company.id")
+
+
+def resolve(candidates: DataFrame, companies: DataFrame | None = None, aliases: DataFrame | None = None, max_replay_keys: int = MAX_REPLAY_KEYS) -> DataFrame:
+    """Greedy resolution in row order: row_no, company_id, company_row, matched_by.
+
+    candidates (row_no, unique; name, domain, profile_url), companies that exist
+    (company_id, name, domain, profile_url), their aliases (company_id, alias).
     A candidate joins the company that its domain, else its slug, else its name
     key names; else it founds one.  A company takes a domain or slug over from a
     candidate only while it has none; every candidate's name becomes a key.
+    company_id is set for companies that existed, company_row (the founder's
+    row_no) for new ones.  Without name and domain a candidate is `failed`.
+
+    The order matters only between rows that share a key, so it is replayed
+    inside the connected components of the row-key graph.  A component of more
+    than `max_replay_keys` key rows (a common name or domain) is resolved by
+    rounds of joins instead; both give the same rows.
     """
-    by_domain: dict[str, int] = {}
-    by_slug: dict[str, int] = {}
-    by_name: dict[str, int] = {}
-    domain_of: dict[int, str] = {}
-    slug_of: dict[int, str] = {}
-    out = []
-    for r in rows.sort_values("row_no").itertuples():
-        present = lambda v: v if isinstance(v, str) and v else None
-        d, s, n = present(r.domain), present(r.slug), present(r.name_key)
-        if d and d in by_domain:
-            company, how = by_domain[d], "domain"
-        elif s and s in by_slug:
-            company, how = by_slug[s], "slug"
-        elif n and n in by_name:
-            company, how = by_name[n], "name"
-        else:
-            company, how = int(r.row_no), "new"
-        if d and company not in domain_of:
-            domain_of[company] = d
-            by_domain.setdefault(d, company)
-        if s and company not in slug_of:
-            slug_of[company] = s
-            by_slug.setdefault(s, company)
-        if n:
-            by_name.setdefault(n, company)
-        out.append((int(r.row_no), company, how))
-    return pd.DataFrame(out, columns=["row_no", "company_row", "matched_by"])
-
-
-def resolve(candidates: DataFrame) -> DataFrame:
-    """candidates (row_no, name, domain, profile_url) -> row_no, company_row (its founder's row_no), matched_by.
-
-    The greedy order matters only between candidates that share a key, so it is
-    replayed inside the connected components of the candidate-key graph.
+    shaped = candidates.select("row_no", *_typed_keys("name", "domain", "profile_url"))
+    usable = F.col("k0").isNotNull() | F.col("k2").isNotNull()
+    keys = _key_rows(shaped.where(usable).select(_node(False, "row_no"), "k0", "k1", "k2"))
+    if companies is not None:
+        keys = keys.unionByName(_key_rows(companies.select(_node(True, "company_id"), *_typed_keys("name", "domain", "profile_url"))))
+    if aliases is not None:
+        keys = keys.unionByName(aliases.select(_node(True, "company_id"), F.lit(2).alias("rank"), _prefixed("n:", name_key("alias")).alias("key")).where("key is not null"))
+    keys = checkpointed(keys.distinct())
+    placed = checkpointed(keys.join(key_components(keys.select("node", "key")), "node"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"), (F.min("node") != F.max("node")).alias("shared"))
+    placed = checkpointed(placed.join(sizes, "component"))
+    alone = placed.where("not shared and not node.known").select(F.col("node.id").alias("row_no"), F.lit(3).alias("rank"), F.lit(False).alias("known"), F.col("node.id").alias("id")).distinct()
+    small = placed.where(F.col("shared") & (F.col("n") <= max_replay_keys)).select("component", "node.known", "node.id", "rank", "key")
+    found = alone.unionByName(small.groupBy("component").applyInPandas(replay, "row_no long, rank int, known boolean, id long"))
+    large = placed.where(F.col("shared") & (F.col("n") > max_replay_keys)).select("node", "rank", "key")
+    if not large.isEmpty():
+        found = found.unionByName(resolve_by_rounds(large))
+    how = F.element_at(F.create_map(*(F.lit(x) for pair in MATCHED_BY.items() for x in pair)), F.col("rank"))
+    none = F.lit(None).cast("long")
+    failed = shaped.where(~usable).select("row_no", none.alias("company_id"), none.alias("company_row"), F.lit("failed").alias("matched_by"))
+    return found.select("row_no", F.when(F.col("known"), F.col("id")).alias("company_id"), F.when(~F.col("known"), F.col("id")).alias("company_row"), how.alias("matched_by")).unionByName(failed)
+
+
+def _node(known: bool, ident: str) -> Column:
+    return F.struct(F.lit(known).alias("known"), F.col(ident).cast("long").alias("id")).alias("node")
+
+
+def _prefixed(prefix: str, key: Column) -> Column:
+    return F.concat(F.lit(prefix), F.nullif(key, F.lit("")))
+
+
+def _typed_keys(name: str, domain: str, profile_url: str) -> list[Column]:
+    keys = (_prefixed("d:", domain_key(domain)), _prefixed("s:", profile_slug(profile_url)), _prefixed("n:", name_key(name)))
+    return [k.alias(f"k{rank}") for rank, k in enumerate(keys)]
+
+
+def _key_rows(rows: DataFrame) -> DataFrame:
+    """(node, k0, k1, k2) -> node, rank, key for each key that is there."""
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rank"), F.col(f"k{r}").alias("key")) for r in range(3)))).alias("x")
+    return rows.select("node", each).select("node", "x.rank", "x.key").where("key is not null")
+
+
+def resolution_tables(candidates: DataFrame, resolved: DataFrame, companies: DataFrame, aliases: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """What a resolution adds: founded, gained, aliases, links, statuses.
+
+    founded: company_row with its founder's name, and the first domain and
+    profile URL that its rows bring; gained: the same two for companies
+    (company_id, domain, profile_url) that had none, null where nothing is new.
+    aliases: (company, key, alias_type: legal or dba) not yet in aliases
+    (company_id, alias, alias_type), spelled as in the first row; links: the
+    first profile URL of a company that is not in links (company_id).
     """
-    shaped = candidates.select("row_no", domain_key("domain").alias("domain"), profile_slug("profile_url").alias("slug"), F.nullif(name_key("name"), F.lit("")).alias("name_key"))
-    keys = shaped.select("row_no", F.explode(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("s:"), "slug"), F.concat(F.lit("n:"), "name_key"), F.concat(F.lit("r:"), F.col("row_no").cast("string")))).alias("key")).where(F.col("key").isNotNull())
-    parts = key_components(keys)
-    return shaped.join(parts, "row_no").groupBy("component").applyInPandas(replay, "row_no long, company_row long, matched_by string")
+    own = candidates.select("row_no", F.trim("name").alias("name"), domain_key("domain").alias("domain"), F.nullif(F.trim("profile_url"), F.lit("")).alias("profile_url"))
+    rows = resolved.where("matched_by <> 'failed'").join(own, "row_no")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("row_no", c)))[c].alias(c)
+    brought = rows.groupBy("company_id", "company_row").agg(first("name"), first("domain"), first("profile_url"))
+    had = companies.select("company_id", F.nullif(domain_key("domain"), F.lit("")).alias("_d"), F.nullif(F.trim("profile_url"), F.lit("")).alias("_p"))
+    gained = brought.where("company_id is not null").join(had, "company_id").select("company_id", F.when(F.col("_d").isNull(), F.col("domain")).alias("domain"), F.when(F.col("_p").isNull(), F.col("profile_url")).alias("profile_url"))
+    kind = F.when(legal_suffix("name").isNotNull(), "legal").otherwise("dba")
+    spelled = rows.withColumn("key", name_key("name")).where("key <> ''").groupBy("company_id", "company_row", "key", kind.alias("alias_type")).agg(first("name")).withColumnRenamed("name", "alias")
+    there = aliases.select("company_id", name_key("alias").alias("key"), "alias_type")
+    return {
+        "founded": brought.where("company_row is not null").drop("company_id"),
+        "gained": gained.where("domain is not null or profile_url is not null"),
+        "aliases": missing_keys(spelled, there, ["company_id", "key", "alias_type"], distinct=False),
+        "links": missing_keys(brought.where("profile_url is not null").select("company_id", "company_row", "profile_url"), links, ["company_id"], distinct=False),
+        "statuses": resolved.select("row_no", F.when(F.col("matched_by") == "failed", "failed").otherwise("resolved").alias("status"), "company_id", "company_row"),
+    }
 
 
 # Phrases before a parent's or a former name, the characters of a name, and what ends one.
@@ -147,9 +259,10 @@ def shard(rows: DataFrame, order: list[str], n: int, m: int) -> DataFrame:
     return rows.withColumn("_n", number).where(F.col("_n") % m == n - 1).drop("_n")
 
 
-def missing_keys(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Aliases or links to insert: those whose keys are not there yet, one for each."""
-    return wanted.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+def missing_keys(wanted: DataFrame, existing: DataFrame, keys: list[str], distinct: bool = True) -> DataFrame:
+    """Aliases or links to insert: those whose keys are not there yet, one for each (`distinct`); a null key is never there."""
+    left = wanted.join(existing.select(*keys).distinct(), keys, "left_anti")
+    return left.dropDuplicates(keys) if distinct else left
 
 
 def event_company(events: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -428,7 +428,18 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy and order-dependent, so without SQL; tests replay it in one sequence."""
-    return RS.resolve(_candidates(spark, sf_dir))
+    return RS.resolve(_candidates(spark, sf_dir)).drop("company_id")
+
+
+@query()
+def resolution_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases that a resolution against existing companies adds; without SQL like `resolve_entities`."""
+    rows = _candidates(spark, sf_dir)
+    existing = rows.where("row_no % 7 = 0").withColumnRenamed("row_no", "company_id")
+    aliases = existing.select("company_id", F.col("name").alias("alias"), F.lit("legal").alias("alias_type"))
+    resolved = RS.resolve(rows.where("row_no % 7 > 0"), existing, aliases)
+    links = existing.where("profile_url is not null").select("company_id")
+    return RS.resolution_tables(rows, resolved, existing, aliases, links)["aliases"]
 
 
 @query("""WITH o AS (SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 3 <> 0), n AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 100 ELSE s_nationkey END AS nation FROM supplier WHERE s_suppkey % 5 <> 0)

@@ -1,6 +1,6 @@
 import random
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.operators import evidence as X
@@ -9,13 +9,86 @@ from rosterlake.sources import tables as TB
 from rosterlake.streaming import archive as ST
 
 
-def test_resolution_equals_one_sequential_replay(spark):
-    rng = random.Random(3)
-    rows = [(i, f"Firm {rng.randint(0, 25)}", f"d{rng.randint(0, 30)}.com" if rng.random() < 0.5 else None, f"s{rng.randint(0, 20)}" if rng.random() < 0.4 else None) for i in range(120)]
-    df = spark.createDataFrame(rows, "row_no long, name string, domain string, profile_url string")
-    got = {r.row_no: r.company_row for r in RS.resolve(df).collect()}
-    whole = RS.replay(pd.DataFrame([(i, d, s, n.lower().replace(" ", "")) for i, n, d, s in rows], columns=["row_no", "domain", "slug", "name_key"]))
-    assert got == dict(zip(whole.row_no, whole.company_row, strict=True))
+class Company:
+    def __init__(self, ident, domain=None, slug=None):
+        self.ident, self.domain, self.slug = ident, domain, slug
+
+
+def one_by_one(rows, existing=(), aliases=()):
+    """Candidates one after the other against growing dictionaries: row -> (company, key that found it)."""
+    domains, slugs, names, out = {}, {}, {}, {}
+    squeeze = lambda n: (n or "").lower().replace(" ", "")
+    by_id = {}
+    for ident, name, domain, slug in existing:
+        c = by_id[ident] = Company(("id", ident), domain, slug)
+        for table, key in ((domains, domain), (slugs, slug), (names, squeeze(name))):
+            if key and key not in table:
+                table[key] = c
+    for ident, alias in aliases:
+        names.setdefault(squeeze(alias), by_id[ident])
+    for row, name, domain, slug in rows:
+        name = squeeze(name)
+        if not name and not domain:
+            out[row] = (None, "failed")
+            continue
+        for how, table, key in (("domain", domains, domain), ("slug", slugs, slug), ("name", names, name)):
+            if key and key in table:
+                c = table[key]
+                break
+        else:
+            how, c = "new", Company(("row", row))
+        if domain and c.domain is None:
+            c.domain = domain
+            domains.setdefault(domain, c)
+        if slug and c.slug is None:
+            c.slug = slug
+            slugs.setdefault(slug, c)
+        if name:
+            names.setdefault(name, c)
+        out[row] = (c.ident, how)
+    return out
+
+
+def resolved_rows(df):
+    named = lambda r: None if r.matched_by == "failed" else ("id", r.company_id) if r.company_id is not None else ("row", r.company_row)
+    return {r.row_no: (named(r), r.matched_by) for r in df.collect()}
+
+
+CANDIDATE = "row_no long, name string, domain string, profile_url string"
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_resolution_equals_one_sequential_replay(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda stem, n, p, end="": f"{stem}{rng.randint(0, n)}{end}" if rng.random() < p else None
+    rows = [(i, pick("Firm ", 40, 0.9), pick("d", 50, 0.5, ".com"), pick("s", 30, 0.4)) for i in range(160)]
+    # one name that a third of the rows carry, each with its own domain
+    rows += [(1000 + i, "Firm 1", f"own{i}.com", pick("s", 30, 0.2)) for i in range(80)]
+    existing = [(i, f"Firm {i + 30}", pick("d", 50, 0.5, ".com"), pick("s", 30, 0.5)) for i in range(12)]
+    aliases = [(i, f"Firm {rng.randint(0, 12)}") for i in range(6)]
+    first_alias = sorted(set(aliases))
+    df = spark.createDataFrame(rows, CANDIDATE)
+    for bound in (RS.MAX_REPLAY_KEYS, 20):
+        assert resolved_rows(RS.resolve(df, max_replay_keys=bound)) == one_by_one(rows)
+    have = spark.createDataFrame(existing, "company_id long, name string, domain string, profile_url string")
+    also = spark.createDataFrame(aliases, "company_id long, alias string")
+    for bound in (RS.MAX_REPLAY_KEYS, 20):
+        assert resolved_rows(RS.resolve(df, have, also, max_replay_keys=bound)) == one_by_one(rows, existing, first_alias)
+
+
+def test_resolution_tables(spark):
+    rows = [(1, "Acme Inc", "a.com", None), (2, "Acme", None, "acme"), (3, "acme", "b.com", "other"), (4, "Old Ltd", "old.com", "old"), (5, None, None, "x"), (6, " ", "z.org", None)]
+    df = spark.createDataFrame(rows, CANDIDATE)
+    have = spark.createDataFrame([(7, "Old", None, "oldslug")], "company_id long, name string, domain string, profile_url string")
+    alias = spark.createDataFrame([(7, "OLD", "legal")], "company_id long, alias string, alias_type string")
+    r = RS.resolve(df, have, alias)
+    got = RS.resolution_tables(df, r, have, alias, spark.createDataFrame([], "company_id long"))
+    assert {(x.company_row, x.name, x.domain, x.profile_url) for x in got["founded"].collect()} == {(1, "Acme Inc", "a.com", "acme"), (6, "", "z.org", None)}
+    assert [(x.company_id, x.domain, x.profile_url) for x in got["gained"].collect()] == [(7, "old.com", None)]
+    assert {(x.company_row, x.key, x.alias_type, x.alias) for x in got["aliases"].collect()} == {(1, "acme", "legal", "Acme Inc"), (1, "acme", "dba", "Acme")}
+    assert {(x.company_id, x.company_row, x.profile_url) for x in got["links"].collect()} == {(None, 1, "acme"), (7, None, "old")}
+    assert {x.row_no: x.status for x in got["statuses"].collect()} == {1: "resolved", 2: "resolved", 3: "resolved", 4: "resolved", 5: "failed", 6: "resolved"}
+    assert RS.resolve(df.limit(0)).count() == 0
 
 
 def test_host_to_company_takes_the_longest_suffix(spark):
