@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.config import EVENT_TYPES
+from rosterlake.functions.expressions import natural_id
 
+# The fields that an override may set.
+FIELDS = ("canonical_company", "current_anchor", "event_segment", "estimate_suppress_window", "company_relation", "person_identity_merge")
 PIN = "anchor_month date, value_min double, value_point double, value_max double, confidence double"
 SPAN = "start_month date, end_month date"
 EVENT = "event_month date, event_type string"
@@ -44,6 +47,31 @@ def decode(overrides: DataFrame, now: Column) -> dict[str, DataFrame]:
     }
 
 
+def create(requests: DataFrame, companies: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Requests for overrides -> overrides to append, an audit row for each, and the outcome of every request.
+
+    requests: request_no (unique), company_id, field_name, payload (JSON),
+    reason, entered_by, expires_at.  Outcomes: created, unknown_field,
+    company_not_found.  An override's id follows from its request, so a repeated
+    run gives the same rows.
+    """
+    known = companies.select("company_id").distinct().withColumn("_known", F.lit(True))
+    bad_field = ~F.coalesce(F.col("field_name").isin(*FIELDS), F.lit(False))
+    outcome = F.when(bad_field, "unknown_field").when(F.col("_known").isNull(), "company_not_found").otherwise("created")
+    judged = requests.join(known, "company_id", "left").withColumn("outcome", outcome)
+    made = judged.where("outcome = 'created'").withColumn("override_id", natural_id("company_id", "field_name", "request_no"))
+    said = F.struct("company_id", F.col("field_name").alias("field"), "reason", "expires_at", "payload")
+    audit = made.select(
+        F.lit("api").alias("actor_type"), F.col("entered_by").alias("actor_id"), F.lit("override_created").alias("action"), F.lit("manual_override").alias("target_type"),
+        F.col("override_id").alias("target_id"), F.to_json(said).alias("payload"), now.alias("at"),
+    )
+    return {
+        "overrides": made.select("override_id", "company_id", "field_name", "payload", "reason", "entered_by", "expires_at", now.alias("created_at")),
+        "audit": audit,
+        "outcomes": judged.select("request_no", "company_id", "outcome"),
+    }
+
+
 def with_pins(anchors: DataFrame, pins: DataFrame) -> DataFrame:
     """Anchors with the pins appended (manual anchors win by precedence; the others stay visible)."""
     return anchors.unionByName(pins, allowMissingColumns=True)

@@ -85,3 +85,46 @@ def purge_sources(observations: DataFrame, anchors: DataFrame, banned: tuple[str
     """(observations, anchors) without those of banned sources."""
     gone = observations.where(F.col("source_name").isin(*banned)).select("observation_id")
     return observations.where(~F.col("source_name").isin(*banned)), anchors.join(gone, "observation_id", "left_anti")
+
+
+def consolidate(observations: DataFrame, anchors: DataFrame, theirs: DataFrame, ours: DataFrame, aliases: DataFrame, stored: DataFrame, allowed: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Observations of another snapshot, with their anchors, that ours takes over under our company ids.
+
+    observations: observation_id (their order), source_name, content_hash;
+    anchors: anchor_id, observation_id, company_id (of an observation's anchors
+    the one with the largest anchor_id counts); theirs and ours: company_id,
+    name, domain; aliases: company_id, alias; stored: source_name, content_hash
+    of ours.  Companies match by name and domain, else by name (one of ours
+    without a domain first), else by alias, all trimmed and lower-cased.
+
+    judged: observation_id, company_id, outcome: skipped_source, skipped_dup (of
+    ours, or of an earlier merged one), no_anchor, skipped_unmapped, merged.
+    """
+    fold = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    own = ours.select(fold("name").alias("_n"), fold("domain").alias("_d"), "company_id").where("_n <> ''")
+    pair = own.groupBy("_n", "_d").agg(F.min("company_id").alias("_pair"))
+    alone = own.select("_n", F.when(F.col("_d") == "", 0).otherwise(1).alias("_rank"), "company_id")
+    called = alone.unionByName(aliases.select(fold("alias").alias("_n"), F.lit(2).alias("_rank"), "company_id").where("_n <> ''"))
+    alone = called.groupBy("_n").agg(F.min(F.struct("_rank", "company_id"))["company_id"].alias("_alone"))
+    named = theirs.select(F.col("company_id").alias("_their"), fold("name").alias("_n"), fold("domain").alias("_d"))
+    mapped = named.join(pair, ["_n", "_d"], "left").join(alone, "_n", "left").select("_their", F.coalesce("_pair", "_alone").alias("_our"))
+    one = anchors.groupBy("observation_id").agg(F.max(F.struct("anchor_id", "company_id")).alias("_a"))
+    there = stored.select("source_name", "content_hash").distinct().withColumn("_there", F.lit(True))
+    rows = observations.select("observation_id", "source_name", "content_hash").join(one, "observation_id", "left")
+    rows = rows.join(mapped, F.col("_a.company_id") == F.col("_their"), "left").join(there, ["source_name", "content_hash"], "left")
+    problem = (
+        F.when(~F.coalesce(F.col("source_name").isin(*allowed), F.lit(False)), "skipped_source").when(F.col("_there"), "skipped_dup")
+        .when(F.col("_a").isNull(), "no_anchor").when(F.col("_our").isNull(), "skipped_unmapped")
+    )
+    rows = rows.withColumn("_problem", problem)
+    first = rows.where("_problem is null").groupBy("source_name", "content_hash").agg(F.min("observation_id").alias("_first"))
+    rows = rows.join(first, ["source_name", "content_hash"], "left")
+    late = (F.col("observation_id") > F.col("_first")) & ~F.coalesce(F.col("_problem") == "skipped_source", F.lit(False))
+    outcome = F.when(late, "skipped_dup").otherwise(F.coalesce("_problem", F.lit("merged")))
+    judged = rows.withColumn("outcome", outcome).select("observation_id", F.when(F.col("outcome") == "merged", F.col("_our")).alias("company_id"), "outcome", F.col("_a.anchor_id").alias("anchor_id"))
+    taken = judged.where("outcome = 'merged'").select("observation_id", "anchor_id", "company_id")
+    return {
+        "observations": observations.join(taken.select("observation_id"), "observation_id", "left_semi"),
+        "anchors": anchors.drop("company_id").join(taken, ["observation_id", "anchor_id"]).select(anchors.columns),
+        "judged": judged.drop("anchor_id"),
+    }

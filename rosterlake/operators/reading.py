@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.operators.evaluation import latest_version
+from rosterlake.operators.growth import latest_growth
+from rosterlake.sources.tables import export
 
 
 def company_page(companies: DataFrame, tier: str | None, limit: int, offset: int = 0) -> DataFrame:
@@ -57,3 +59,21 @@ def anchor_yield(anchors: DataFrame, examples: int = 10) -> DataFrame:
 def anchor_matrix(anchors: DataFrame, sources: list[str]) -> DataFrame:
     """Companies by sources: how many anchors each source gives."""
     return anchors.groupBy("company_id").pivot("source_name", sources).agg(F.count(F.lit(1))).na.fill(0)
+
+
+#: Headings of the growth report's file.
+GROWTH_HEADINGS = {"name": "Company Name", "headcount": "Headcount", "growth_1y": "Headcount % (365d)", "growth_6m": "Headcount % (180d)"}
+
+
+def growth_report(companies: DataFrame, series: DataFrame) -> DataFrame:
+    """One row a company that has a series: company_id, name, headcount of its newest month, growth_1y and growth_6m up to it."""
+    now = series.groupBy("company_id").agg(F.max_by("value_point", "month").alias("headcount"))
+    grown = latest_growth(series).groupBy("company_id").pivot("horizon", ["1y", "6m"]).agg(F.max("growth_point"))
+    rows = companies.select("company_id", "name").join(now, "company_id").join(grown, "company_id", "left")
+    return rows.select("company_id", "name", "headcount", F.col("1y").alias("growth_1y"), F.col("6m").alias("growth_6m"))
+
+
+def write_growth_csv(report: DataFrame, path: str) -> None:
+    """The report as CSV files under `path` in the order of names, headed GROWTH_HEADINGS; blank where a growth is missing."""
+    headed = report.orderBy("name", "company_id").select(*(F.col(c).alias(h) for c, h in GROWTH_HEADINGS.items()))
+    export(headed, path, "csv")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions import text as T
+from rosterlake.functions.expressions import natural_id
 from rosterlake.operators import evaluation as E
 from rosterlake.operators import events as EV
 from rosterlake.operators import evidence as X
@@ -425,3 +426,48 @@ def exported_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda df, what, total: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"), total.alias("total"))
     rows = count(monthly, "monthly_series", F.sum("value_point")).unionByName(count(anchors, "anchors", F.sum("value_point"))).unionByName(count(growth, "growth_windows", F.lit(0.0)))
     return rows.withColumn("total", near("total"))
+
+
+@query(sql("""SELECT name, round(value_point, 4) AS headcount, max(CASE WHEN horizon = '1y' THEN round(growth_point, 4) END) AS growth_1y, max(CASE WHEN horizon = '6m' THEN round(growth_point, 4) END) AS growth_6m
+FROM company JOIN (SELECT company_id, value_point FROM stored QUALIFY month = max(month) OVER (PARTITION BY company_id)) USING (company_id) LEFT JOIN latest USING (company_id) GROUP BY ALL"""))
+def growth_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The growth report written as CSV and read back."""
+    path = TB.scratch(spark)
+    report = RD.growth_report(A.companies(spark, sf_dir), stored(spark, sf_dir))
+    RD.write_growth_csv(rounded(report, "headcount", "growth_1y", "growth_6m"), path)
+    file = spark.read.schema(", ".join(f"`{h}` {'string' if c == 'name' else 'double'}" for c, h in RD.GROWTH_HEADINGS.items())).option("header", True).csv(path)
+    return file.toDF(*RD.GROWTH_HEADINGS)
+
+
+@query("""SELECT o_orderkey AS request_no, o_custkey AS company_id, CASE WHEN o_orderkey % 4 = 3 THEN 'unknown_field' WHEN s_suppkey IS NULL THEN 'company_not_found' ELSE 'created' END AS outcome,
+  CASE WHEN outcome = 'created' THEN 'clerk ' || (o_orderkey % 9) END AS actor_id FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey""")
+def override_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests for overrides; customers that are no supplier have no company."""
+    k = F.col("o_orderkey")
+    field = F.element_at(F.array(*map(F.lit, ("current_anchor", "estimate_suppress_window", "event_segment", "colour"))), (k % 4 + 1).cast("int"))
+    clerk = F.concat(F.lit("clerk "), (k % 9).cast("string"))
+    asked = A.table(spark, sf_dir, "orders").select(k.alias("request_no"), F.col("o_custkey").alias("company_id"), field.alias("field_name"), F.lit("{}").alias("payload"), F.lit("checked").alias("reason"), clerk.alias("entered_by"), F.lit(None).cast("timestamp").alias("expires_at"))
+    made = OV.create(asked, A.companies(spark, sf_dir), now())
+    ids = made["overrides"].join(made["audit"], F.col("override_id") == F.col("target_id")).select("override_id", "actor_id")
+    named = asked.withColumn("override_id", natural_id("company_id", "field_name", "request_no")).select("request_no", "override_id")
+    return made["outcomes"].join(named.join(ids, "override_id"), "request_no", "left").select("request_no", "company_id", "outcome", "actor_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, (['company_web', 'sec', 'benchmark', 'wayback', 'other'])[o_orderkey % 5 + 1] AS src, o_custkey AS h, o_custkey % 40 + 1 AS their, o_orderkey % 7 > 0 AS anchored FROM orders),
+m AS (SELECT o.*, s_suppkey AS ours, src IN ('company_web', 'sec', 'wayback') AS allowed, src = 'sec' AND h % 11 = 0 AS there FROM o LEFT JOIN supplier ON s_suppkey = their AND their % 5 > 0),
+j AS (SELECT *, min(CASE WHEN allowed AND NOT there AND anchored AND ours IS NOT NULL THEN id END) OVER (PARTITION BY src, h) AS first FROM m)
+SELECT id AS observation_id, CASE WHEN NOT allowed THEN 'skipped_source' WHEN there OR coalesce(first < id, false) THEN 'skipped_dup' WHEN NOT anchored THEN 'no_anchor' WHEN ours IS NULL THEN 'skipped_unmapped' ELSE 'merged' END AS outcome,
+  CASE WHEN outcome = 'merged' THEN ours END AS company_id FROM j""")
+def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as observations of another snapshot whose companies have our names in capitals, but every fifth."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    source = F.element_at(F.array(*map(F.lit, ("company_web", "sec", "benchmark", "wayback", "other"))), (k % 5 + 1).cast("int"))
+    rows = A.table(spark, sf_dir, "orders").select(k.alias("observation_id"), source.alias("source_name"), F.col("o_custkey").cast("string").alias("content_hash"), (F.col("o_custkey") % 40 + 1).alias("company_id"))
+    anchors = rows.where("observation_id % 7 > 0").select(F.col("observation_id").alias("anchor_id"), "observation_id", "company_id")
+    name = F.when(c % 5 == 0, F.lit("Nobody")).otherwise(F.concat(F.lit(" SUPPLIER#"), F.lpad(c.cast("string"), 9, "0")))
+    theirs = A.table(spark, sf_dir, "customer").select(c.alias("company_id"), name.alias("name"), F.when(c % 3 == 0, "x.com").alias("domain"))
+    k = F.col("s_suppkey")
+    ours = A.table(spark, sf_dir, "supplier").select(k.alias("company_id"), F.col("s_name").alias("name"), F.when(k % 2 == 0, "x.com").alias("domain"))
+    stored_rows = rows.where("source_name = 'sec' AND cast(content_hash AS bigint) % 11 = 0").select("source_name", "content_hash")
+    aliases = ours.select("company_id", F.lit(None).cast("string").alias("alias"))
+    return PR.consolidate(rows.drop("company_id"), anchors, theirs, ours, aliases, stored_rows, ("company_web", "sec", "wayback"))["judged"]

@@ -116,10 +116,12 @@ def archive_merge(fetched: DataFrame, stored: DataFrame | None = None) -> DataFr
     fetched: url, body, status, fetched_at.
     """
     new = fetched.withColumn("content_hash", F.sha2(F.coalesce("body", F.lit("")), 256)).groupBy("url", "content_hash").agg(F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"), F.count("*").alias("seen_count"), F.min_by("status", "fetched_at").alias("status"), F.first("body").alias("body"))
-    if stored is None:
-        return new
-    both = stored.unionByName(new)
-    return both.groupBy("url", "content_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"), F.min_by("status", "first_seen").alias("status"), F.first("body").alias("body"))
+    return new if stored is None else archive_union(stored.unionByName(new))
+
+
+def archive_union(rows: DataFrame) -> DataFrame:
+    """Archive rows of several merges as one archive, whatever their order."""
+    return rows.groupBy("url", "content_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"), F.min_by("status", "first_seen").alias("status"), F.first("body").alias("body"))
 
 
 def new_signals(signals: DataFrame, stored: DataFrame) -> DataFrame:

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from rosterlake.sources.tables import archive_merge
-
-
-def deduplicated_stream(fetches: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First fetch of each (url, content) within the watermark: state is bounded by the delay."""
-    hashed = fetches.withColumn("content_hash", F.sha2(F.coalesce("body", F.lit("")), 256))
-    return hashed.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["url", "content_hash"])
+from rosterlake.sources.tables import archive_merge, archive_union
 
 
 def run_archive(fetches: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch into snapshot `n` of the archive in `folder`; a batch that is tried again writes the same snapshot."""
+    """Write each micro-batch, merged within itself, to `folder`/batch=n; a batch that is tried again overwrites its own folder.
+
+    A batch costs what it holds, whatever the archive holds; `archive` merges on reading.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{folder}/snapshot={number - 1}") if number else None
-        archive_merge(batch, before).write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
+        archive_merge(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return fetches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive of all batches in `folder`: a row a (url, content)."""
+    return archive_union(spark.read.parquet(folder).drop("batch"))
+
+
+def compact(spark: SparkSession, folder: str, into: str) -> None:
+    """The archive of `folder` as one batch of the new folder `into`, for a stream that goes on there with a new checkpoint."""
+    archive(spark, folder).write.mode("errorifexists").parquet(f"{into}/batch=-1")

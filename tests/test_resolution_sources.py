@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.operators import evidence as X
+from rosterlake.operators import promotion as PR
 from rosterlake.operators import resolution as RS
 from rosterlake.sources import tables as TB
 from rosterlake.streaming import archive as ST
@@ -156,10 +157,28 @@ def test_archive_stream(spark, tmp_path):
     rows = [("u", "a", 200, "2020-01-01 00:00:00"), ("u", "a", 500, "2020-01-02 00:00:00"), ("u", "b", 200, "2020-01-03 00:00:00")]
     spark.createDataFrame(rows, "url string, body string, status int, fetched_at string").withColumn("fetched_at", F.to_timestamp("fetched_at")).coalesce(1).write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    q = ST.run_archive(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
-    q.awaitTermination()
-    got = {r.body: (r.seen_count, r.status) for r in spark.read.parquet(f"{tmp_path}/out/snapshot=0").collect()}
-    assert got == {"a": (2, 200), "b": (1, 200)}
+    for part in (1, 2):
+        ST.run_archive(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        got = {r.body: (r.seen_count, r.status) for r in ST.archive(spark, f"{tmp_path}/out").collect()}
+        assert got == {"a": (1 + part, 200), "b": (part, 200)}
+        if part == 1:
+            late = [("u", "a", 404, "2020-02-01 00:00:00"), ("u", "b", 404, "2020-02-01 00:00:00")]
+            spark.createDataFrame(late, "url string, body string, status int, fetched_at string").withColumn("fetched_at", F.to_timestamp("fetched_at")).write.mode("append").parquet(src)
+    ST.compact(spark, f"{tmp_path}/out", f"{tmp_path}/small")
+    assert {r.body: r.seen_count for r in ST.archive(spark, f"{tmp_path}/small").collect()} == {"a": 3, "b": 2}
+
+
+def test_consolidate_maps_by_pair_then_name_then_alias(spark):
+    obs = spark.createDataFrame([(i, "sec", f"h{i}") for i in range(1, 6)] + [(6, "sec", "h1"), (7, "leak", "h7")], "observation_id long, source_name string, content_hash string")
+    anchors = spark.createDataFrame([(10 + i, i, i) for i in (1, 2, 3, 4, 6, 7)] + [(9, 1, 4)], "anchor_id long, observation_id long, company_id long")
+    theirs = spark.createDataFrame([(1, " ACME", "a.com"), (2, "acme", "zzz.com"), (3, "other", None), (4, "none", None), (6, "acme", "a.com"), (7, "acme", None)], "company_id long, name string, domain string")
+    ours = spark.createDataFrame([(100, "Acme", "b.com"), (101, "acme", "A.com "), (102, "Acme", None)], "company_id long, name string, domain string")
+    alias = spark.createDataFrame([(101, "Other"), (100, "acme")], "company_id long, alias string")
+    got = PR.consolidate(obs, anchors, theirs, ours, alias, spark.createDataFrame([], "source_name string, content_hash string"), ("sec",))
+    assert {r.observation_id: (r.company_id, r.outcome) for r in got["judged"].collect()} == {
+        1: (101, "merged"), 2: (102, "merged"), 3: (101, "merged"), 4: (None, "skipped_unmapped"), 5: (None, "no_anchor"), 6: (None, "skipped_dup"), 7: (None, "skipped_source"),
+    }
+    assert {(r.anchor_id, r.company_id) for r in got["anchors"].collect()} == {(11, 101), (12, 102), (13, 101)} and got["observations"].count() == 3
 
 
 def test_small_lookups(spark):
