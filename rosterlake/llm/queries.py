@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, secrets, sql, substring_dedup, token_store, url_filter, warc
+from . import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, secrets, sentence_pieces, sql, substring_dedup, token_store, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = token_store.TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(token_store.TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    coded = sentence_pieces.round_trip(table(spark, sf_dir, "documents"), model_path or tokenizer_file(sentence_pieces.MODEL))
+    return sentence_pieces.digests(coded)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
