@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, secrets, sentence_pieces, sql, substring_dedup, token_store, url_filter, warc
+from . import decontaminate, mixing, near_dedup, phrases, quality_classifier, quality_rules, secrets, sentence_pieces, sql, substring_dedup, token_store, url_filter, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,14 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None
     return sentence_pieces.digests(coded)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_whitening": op12_whitening,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": sql.OP5,
     "op6_source_mixing": sql.OP6,
     "op9_decontamination": sql.OP9,
+    "op13_phrases": sql.OP13,
 }

@@ -115,3 +115,37 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
 FROM (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """
+
+OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, array_to_string(w[k:k + 1], ' ') FROM (SELECT lang, w, unnest(range(1, len(w))) AS k FROM w)
+  UNION ALL SELECT lang, 3, array_to_string(w[k:k + 2], ' ') FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS k FROM w)
+), f AS (
+  SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND n >= 10
+), k AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.n AS l, y.n AS r, CAST(1000000::HUGEINT * k.a * k.a // (x.n::HUGEINT * y.n) AS BIGINT) AS score
+  FROM k JOIN f AS x ON x.lang = k.lang AND x.phrase = k.head JOIN f AS y ON y.lang = k.lang AND y.phrase = k.tail
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM s
+), h AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE m = 3) GROUP BY ALL
+), o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE place = 1 AND (longer IS NULL OR 100 * longer < 50 * a)
+)
+SELECT o.lang, rank, phrase, a, l, r, t.n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000
+"""

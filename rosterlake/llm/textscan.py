@@ -70,15 +70,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def scan(column: pa.Array, lower: bool = False) -> Scan:
-    """Find the words of every document of the column; `lower` lower-cases A-Z first."""
+def scan(column: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Scan:
+    """Find the words of every document of the column; `lower` lower-cases A-Z first; `space` flags the ASCII bytes that part words."""
     data, off = text_bytes(column)
     if lower:
         data = LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return Scan(data, off, none, none, np.zeros(len(off), np.int64))
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
