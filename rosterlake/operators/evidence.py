@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions.expressions import month_diff
-from rosterlake.functions.text import content_gate, exact_count, html_text, size_badge, size_mentions, status_gate
+from rosterlake.functions.structured import stated_employees
+from rosterlake.functions.text import content_gate, exact_count, html_text, let, size_badge, size_mentions, status_gate
 from rosterlake.operators.evaluation import latest_version
 
 
@@ -48,45 +45,9 @@ def evidence_tree(records: DataFrame, reconciled: DataFrame, overrides: DataFram
     return out.withColumns(empty)
 
 
-def _counts(node: object) -> Iterator[tuple[float, float]]:
-    """(low, high) of every numberOfEmployees below a JSON value."""
-    if isinstance(node, list):
-        for x in node:
-            yield from _counts(x)
-    elif isinstance(node, dict):
-        for k, v in node.items():
-            if k == "numberOfEmployees":
-                value = v if isinstance(v, dict) else {"value": v}
-                low, high = (value.get(a, value.get("value")) for a in ("minValue", "maxValue"))
-                try:
-                    yield float(str(low).replace(",", "")), float(str(high).replace(",", ""))
-                except ValueError:
-                    pass
-            else:
-                yield from _counts(v)
-
-
-def json_ld(pages: DataFrame, id_type: str = "long") -> DataFrame:
-    """pages (page_id, html) -> page_id, value_min, value_point, value_max, kind: the size that a page's JSON-LD states, exact preferred."""
-    blocks = F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for page_id, texts in zip(b["page_id"], b["blocks"], strict=True):
-                found = []
-                for text in texts:
-                    try:
-                        found += list(_counts(json.loads(text)))
-                    except ValueError:
-                        continue
-                found = sorted((x for x in found if 0 <= x[0] <= x[1]), key=lambda x: x[1] - x[0])
-                if found:
-                    low, high = found[0]
-                    rows.append((page_id, low, (low + high) / 2, high, "exact" if low == high else "range"))
-            yield pd.DataFrame(rows, columns=["page_id", "value_min", "value_point", "value_max", "kind"])
-
-    return pages.select("page_id", blocks.alias("blocks")).where(F.size("blocks") > 0).mapInPandas(read, f"page_id {id_type}, value_min double, value_point double, value_max double, kind string")
+def json_ld(pages: DataFrame) -> DataFrame:
+    """pages (page_id, html) -> page_id, value_min, value_point, value_max, kind: the size that a page's JSON-LD states."""
+    return pages.select("page_id", stated_employees("html").alias("s")).where("s is not null").select("page_id", "s.*")
 
 
 # What a statement of a source and kind is worth, and the paths of a company's pages in the order they count.
@@ -120,11 +81,9 @@ def profile_signals(pages: DataFrame) -> dict[str, DataFrame]:
     its text.  Of several pages of a part the first by url counts.
     """
     first = pages.groupBy("company_id", "part").agg(F.min(F.struct("url", "status", "html")).alias("p")).select("company_id", "part", "p.*")
-    key = F.concat_ws("/", "company_id", "part")
-    read = first.withColumn("page_id", key).withColumn("body", F.coalesce("html", F.lit("")))
-    ld = json_ld(read.select("page_id", F.col("body").alias("html")), "string").select("page_id", F.struct("value_min", "value_point", "value_max", "kind").alias("ld"))
-    text = html_text("body")
-    described = read.join(ld, "page_id", "left").withColumn("badge", size_badge(text)).withColumn("count", exact_count(text))
+    body = F.coalesce("html", F.lit(""))
+    said = let(html_text(body), lambda t: F.struct(size_badge(t).alias("badge"), exact_count(t).alias("count")))
+    described = first.select("*", body.alias("body"), stated_employees("html").alias("ld"), said.alias("said")).select("*", "said.*")
     by_status, by_content = status_gate("status"), content_gate("url", "body")
     seen = described.withColumn("refused", by_status).withColumn("gate", by_content).withColumn("states", F.col("refused").isNull() & (F.col("ld").isNotNull() | F.col("badge").isNotNull()))
     of = lambda part: F.max(F.when(F.col("part") == part, F.struct("states", "refused", "gate", "ld", "badge", "count"))).alias(part)
@@ -157,7 +116,7 @@ def site_signals(pages: DataFrame, max_paths: int = 8) -> dict[str, DataFrame]:
     """
     rank = F.array_position(F.array(*map(F.lit, PATH_ORDER[:max_paths])), F.col("path")).cast("int")
     tried = pages.withColumn("path_rank", rank).where("path_rank > 0").withColumn("page_id", F.concat_ws("/", "company_id", "path_rank"))
-    found = page_signals(tried.where("status < 400").select("page_id", "html"), "string", badges=False)
+    found = page_signals(tried.where("status < 400").select("page_id", "html"), badges=False)
     placed = found.join(tried.select("page_id", "company_id", "path", "path_rank").distinct(), "page_id")
     best = placed.groupBy("company_id").agg(F.min("path_rank").alias("path_rank"))
     values = ["value_min", "value_point", "value_max"]
@@ -167,21 +126,34 @@ def site_signals(pages: DataFrame, max_paths: int = 8) -> dict[str, DataFrame]:
     return {"signals": with_confidence(rows).drop("source"), "gates": gates}
 
 
-def page_signals(pages: DataFrame, id_type: str = "long", badges: bool = True) -> DataFrame:
+def page_signals(pages: DataFrame, badges: bool = True) -> DataFrame:
     """Size statements of archived pages, best method only: page_id, method, value_min, value_point, value_max, kind, confidence.
 
-    JSON-LD comes before a size badge, which comes before statements in the text.
+    JSON-LD comes before a size badge, which comes before statements in the
+    text.  One pass, without a shuffle: each reader runs where those before it
+    found nothing.
     """
-    values = ["value_min", "value_point", "value_max", "kind"]
-    ld = json_ld(pages, id_type).withColumn("method", F.lit("json_ld")).withColumn("method_rank", F.lit(0))
-    text = pages.select("page_id", html_text("html").alias("t"))
-    badge = text.select("page_id", size_badge("t").alias("b")).where("b is not null").select("page_id", F.col("b.low").cast("double").alias("value_min"), ((F.col("b.low") + F.col("b.high")) / 2.0).alias("value_point"), F.col("b.high").cast("double").alias("value_max"), F.lit("bucket").alias("kind"), F.lit("badge").alias("method"), F.lit(1).alias("method_rank"))
-    said = text.select("page_id", F.explode(size_mentions("t")).alias("m")).select("page_id", *(f"m.{c}" for c in values), F.lit("text").alias("method"), F.lit(2).alias("method_rank"))
-    every = ld.select("page_id", *values, "method", "method_rank").unionByName(said)
-    every = every.unionByName(badge) if badges else every
-    best = every.groupBy("page_id").agg(F.min("method_rank").alias("method_rank"))
-    confidence = F.when(F.col("method") == "json_ld", POLICY["company_page", "json_ld"]).when(F.col("kind") == "exact", POLICY["company_page", "exact"]).otherwise(POLICY["company_page", "range"])
-    return every.join(best, ["page_id", "method_rank"]).withColumn("confidence", confidence).drop("method_rank")
+
+    def row(method: str, low: Column, point: Column, high: Column, kind: Column) -> Column:
+        exact = F.when(kind == "exact", POLICY["company_page", "exact"]).otherwise(POLICY["company_page", "range"])
+        worth = F.lit(POLICY["company_page", "json_ld"]) if method == "json_ld" else exact
+        return F.struct(
+            F.lit(method).alias("method"), low.alias("value_min"), point.alias("value_point"), high.alias("value_max"), kind.alias("kind"), worth.cast("double").alias("confidence")
+        )
+
+    def of_badge(b: Column) -> Column:
+        low, high = b.low.cast("double"), b.high.cast("double")
+        return F.array(row("badge", low, (low + high) / 2, high, F.lit("bucket")))
+
+    def of_text(t: Column) -> Column:
+        mentions = F.transform(size_mentions(t), lambda m: row("text", m.value_min, m.value_point, m.value_max, m.kind))
+        return let(size_badge(t), lambda b: F.when(b.isNotNull(), of_badge(b)).otherwise(mentions)) if badges else mentions
+
+    def best(ld: Column) -> Column:
+        stated = F.array(row("json_ld", ld.value_min, ld.value_point, ld.value_max, ld.kind))
+        return F.when(ld.isNotNull(), stated).otherwise(let(html_text(F.coalesce("html", F.lit(""))), of_text))
+
+    return pages.select("page_id", F.explode(let(stated_employees("html"), best)).alias("s")).select("page_id", "s.*")
 
 
 def snapshot_choice(snapshots: DataFrame, as_of: Column, horizons: tuple[int, ...] = (6, 12, 24), drift: int = 12) -> DataFrame:

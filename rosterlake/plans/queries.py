@@ -391,7 +391,7 @@ def _archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", extra).alias("html"))
 
 
-@query("""SELECT page_id, 'json_ld' AS method, (page_id % 900 + 10)::DOUBLE AS value_min, (page_id % 900 + 35)::DOUBLE AS value_point, (page_id % 900 + 60)::DOUBLE AS value_max, 'range' AS kind, 0.7::DOUBLE AS confidence FROM pages WHERE page_id % 5 = 0
+@query("""SELECT page_id, 'json_ld' AS method, (page_id % 900 + 10)::DOUBLE AS value_min, (page_id % 900 + 35)::DOUBLE AS value_point, (page_id % 900 + 60)::DOUBLE AS value_max, 'bucket' AS kind, 0.7::DOUBLE AS confidence FROM pages WHERE page_id % 5 = 0
 UNION ALL SELECT page_id, 'text', (page_id % 900 + 10)::DOUBLE, (page_id % 900 + 10) * 1.1::DOUBLE, (page_id % 900 + 10) * 1.25::DOUBLE, 'range', 0.55::DOUBLE FROM pages WHERE page_id % 5 <> 0 AND page_id % 3 = 0""")
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.page_signals(_archive_pages(spark, sf_dir)).select("page_id", "method", "value_min", "value_point", "value_max", "kind", "confidence")

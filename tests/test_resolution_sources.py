@@ -135,7 +135,7 @@ def test_upsert_is_idempotent_and_export_formats(spark, tmp_path):
 
 
 def test_page_signals_prefer_json_ld(spark):
-    ld = '<script type="application/ld+json">[{"x": {"numberOfEmployees": {"minValue": "1,000", "maxValue": 2000}}}, {"numberOfEmployees": 7}]</script> over 30 employees'
+    ld = '<script type="application/ld+json">[{"x": {"@type": "Organization", "numberOfEmployees": {"minValue": "1000", "maxValue": 2000}}}, {"@type": "Corporation", "numberOfEmployees": 7}]</script> over 30 employees'
     pages = spark.createDataFrame([(1, ld), (2, "<p>Company size 51-200 employees, over 90 staff</p>"), (3, "<b>nothing</b>"), (4, None), (5, '<script type="application/ld+json">{broken</script>')], "page_id long, html string")
     got = {r.page_id: (r.method, r.value_point) for r in X.page_signals(pages).collect()}
     assert got == {1: ("json_ld", 7.0), 2: ("badge", 125.5)}
