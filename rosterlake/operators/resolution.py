@@ -55,90 +55,101 @@ def host_to_company(pages: DataFrame, companies: DataFrame) -> DataFrame:
 
 #: Rank of the key that names a candidate's company, and of a candidate that founds one.
 MATCHED_BY = {0: "domain", 1: "slug", 2: "name", 3: "new"}
-#: Components of at most this many key rows are replayed in one task; larger ones go by rounds of joins.
+#: Key rows that one task replays; more are cut into blocks by row number.
 MAX_REPLAY_KEYS = 200_000
 
+_CLAIMS = "block int, known boolean, id long, at long, rank int, key string"
 
-def key_components(keys: DataFrame) -> DataFrame:
-    """keys (node, key) -> node, component (smallest node reachable over shared keys), by min-label rounds with checkpoints."""
-    labels = checkpointed(keys.groupBy("node").agg(F.first("node").alias("label")))
-    while True:
-        by_key = keys.join(labels, "node").groupBy("key").agg(F.min("label").alias("low"))
-        near = keys.join(by_key, "key").groupBy("node").agg(F.min("low").alias("low"))
-        seen = labels.join(near, "node").select("node", F.least("label", "low").alias("l"), F.col("label").alias("old"))
-        up = labels.select(F.col("node").alias("l"), F.col("label").alias("up"))
-        after = checkpointed(seen.join(up, "l", "left").select("node", F.least("l", F.coalesce("up", "l")).alias("label"), "old"))
-        done = after.where("label <> old").isEmpty()
-        labels = after.select("node", "label")
-        if done:
-            return labels.withColumnRenamed("label", "component")
-
-
-def replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy resolution of one component, given as its key rows (known, id, rank, key), in row order."""
-    holder: dict[str, tuple[bool, int]] = {}
-    single: set[tuple[tuple[bool, int], int]] = set()
-
-    def register(company: tuple[bool, int], rank: int, key: str) -> None:
-        if rank == 2 or (company, rank) not in single:
-            holder.setdefault(key, company)
-        if rank < 2:
-            single.add((company, rank))
-
-    out = []
-    ordered = rows.sort_values(["known", "id", "rank", "key"], ascending=[False, True, True, True])
-    nodes = zip(ordered["known"].tolist(), ordered["id"].tolist(), ordered["rank"].tolist(), ordered["key"].tolist(), strict=True)
-    for (known, ident), group in itertools.groupby(nodes, key=lambda r: r[:2]):
-        mine = [r[2:] for r in group]
-        rank, company = next(((r, holder[k]) for r, k in mine if k in holder), (3, (False, ident))) if not known else (3, (True, ident))
-        for r, k in mine:
-            register(company, r, k)
-        if not known:
-            out.append((ident, rank, *company))
-    return pd.DataFrame(out, columns=["row_no", "rank", "known", "id"])
-
-
-def _registry(claims: DataFrame, given: DataFrame) -> DataFrame:
-    """key -> at, company of its first holder; claims and given: company, at, rank, key.
-
-    A company holds the first domain and the first slug that a row brings it, and
-    every name.  `at` is null for what companies held before, which comes first.
-    """
-    both = claims.unionByName(given)
-    single = both.where("rank < 2").groupBy("company", "rank").agg(F.min(F.struct("at", "key")).alias("m")).select("company", "m.at", "m.key")
-    held = single.unionByName(both.where("rank = 2").select("company", "at", "key"))
-    return held.groupBy("key").agg(F.min(F.struct("at", "company")).alias("m")).select("key", "m.at", "m.company")
-
-
-def _assigned(keys: DataFrame, registry: DataFrame) -> DataFrame:
-    """The company of each row of keys (node, rank, key) under a registry: row_no, rank, company, keys."""
-    hit = keys.select(F.col("node.id").alias("row_no"), "rank", "key").join(registry, "key", "left")
-    before = F.col("company").isNotNull() & (F.col("at").isNull() | (F.col("at") < F.col("row_no")))
-    best = F.min(F.when(before, F.struct("rank", "company"))).alias("m")
-    rows = hit.groupBy("row_no").agg(best, F.collect_list(F.struct("rank", "key")).alias("keys"))
-    return rows.select("row_no", F.coalesce("m.rank", F.lit(3)).alias("rank"), F.coalesce("m.company", _node(False, "row_no")).alias("company"), "keys")
 
+def _replayed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Greedy resolution of a block of key rows in row order, given who holds their keys before the block.
 
-def resolve_by_rounds(keys: DataFrame) -> DataFrame:
-    """Greedy resolution of key rows (node, rank, key) without a group in one task: row_no, rank, known, id.
-
-    What a row does depends only on keys registered before it, so all rows are
-    assigned under the last registry, and the first row that brings a company a
-    key registers it anew, until the registry stays.  Each round settles at
-    least the next row that was wrong.  The registry has one row a key, and
-    firsts are minima that combine before the shuffle.
+    rows: block, id, rank, key; holder_known, holder_id (null where the key is
+    free) and which of domain and slug that holder has.  Returns the rows'
+    outcomes (`at` null) and the block's claims: a key that a company came to
+    hold, or, without a key, a domain or slug that it took for its own.
+    """
+    Company = tuple[bool, int]
+    holder: dict[str, Company] = {}
+    single: set[tuple[Company, int]] = set()
+    taken = rows[rows["holder_id"].notna()]
+    for key, known, ident, domain, slug in zip(taken["key"], taken["holder_known"], taken["holder_id"].astype("int64"), taken["holder_domain"], taken["holder_slug"], strict=True):
+        company = (bool(known), int(ident))
+        holder[key] = company
+        single.update((company, rank) for rank, has in ((0, domain), (1, slug)) if has)
+    out: list[tuple] = []
+    block = int(rows["block"].iloc[0])
+    ordered = rows.sort_values(["id", "rank", "key"])
+    nodes = zip(ordered["id"].tolist(), ordered["rank"].tolist(), ordered["key"].tolist(), strict=True)
+    for ident, group in itertools.groupby(nodes, key=lambda r: r[0]):
+        mine = [r[1:] for r in group]
+        how, company = next(((r, holder[k]) for r, k in mine if k in holder), (3, (False, ident)))
+        for rank, key in mine:
+            if rank == 2 or (company, rank) not in single:
+                if key not in holder:
+                    holder[key] = company
+                    out.append((block, *company, ident, rank, key))
+                if rank < 2:
+                    single.add((company, rank))
+                    out.append((block, *company, ident, rank, None))
+        out.append((block, *company, None, how, str(ident)))
+    return pd.DataFrame(out, columns=["block", "known", "id", "at", "rank", "key"]).astype({"at": "Int64"})
+
+
+def _first_claims(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key -> block, holder), (holder -> block from which it has a domain, a slug): the earliest claims.
+
+    Each company takes a domain or slug once in a block, so minima of few rows.
+    """
+    company = F.struct("known", "id").alias("holder")
+    of = claims.where("at is not null").select("block", "at", "rank", "key", company)
+    keys = of.where("key is not null").groupBy("key").agg(F.min(F.struct("block", "at", "holder")).alias("m")).select("key", F.col("m.block").alias("held_from"), "m.holder")
+    first = lambda rank: F.min(F.when(F.col("rank") == rank, F.col("block")))
+    own = of.where("key is null").groupBy("holder").agg(first(0).alias("domain_from"), first(1).alias("slug_from"))
+    return keys, own
+
+
+def resolve_by_blocks(keys: DataFrame, block_keys: int = MAX_REPLAY_KEYS) -> DataFrame:
+    """Greedy resolution of key rows (node, rank, key) in row order: row_no, rank, known, id.
+
+    Rows are cut into consecutive blocks of about `block_keys` key rows, and all
+    blocks are replayed at once, each under the claims that earlier blocks made
+    in the round before.  The first block is right at once, and each round
+    makes right at least the next one, so there are at most as many rounds as
+    blocks, however long a chain of rows that depend on each other is; rounds
+    end when no claim changes.  A round is two joins on keys; what a block
+    learns of a key is one row, so a key that many rows share costs no more.
     """
-    given = keys.where("node.known").select(F.col("node").alias("company"), F.lit(None).cast("long").alias("at"), "rank", "key")
-    rows = keys.where("not node.known")
-    registry = checkpointed(_registry(given.limit(0), given))
+    given = keys.where("node.known")
+    # companies that were there come first, in the order of their ids
+    before = given.select(F.lit(-1).alias("block"), "node.known", "node.id", F.col("node.id").alias("at"), "rank", "key")
+    before = before.unionByName(before.where("rank < 2").withColumn("key", F.lit(None).cast("string")))
+    rows = keys.where("not node.known").select(F.col("node.id").alias("id"), "rank", "key")
+    total = rows.count()
+    n = max(1, -(-total // block_keys))
+    cuts = rows.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
+    number = F.size(F.filter(F.array(*(F.lit(int(c)) for c in sorted(set(cuts)))), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+    blocks = checkpointed(rows.withColumn("block", number.cast("int")))
+    old = None
+    claims = before.limit(0)
     while True:
-        claims = _assigned(rows, registry).select("row_no", "company", F.explode("keys").alias("x")).select("company", F.col("row_no").alias("at"), "x.rank", "x.key")
-        after = checkpointed(_registry(claims, given))
-        was = registry.select("key", F.col("at").alias("old_at"), F.col("company").alias("old"))
-        changed = after.join(was, "key", "full").where(~(F.col("at").eqNullSafe(F.col("old_at")) & F.col("company").eqNullSafe(F.col("old"))))
-        done, registry = changed.isEmpty(), after
-        if done:
-            return _assigned(rows, registry).select("row_no", "rank", "company.known", "company.id")
+        held, own = _first_claims(before.unionByName(claims))
+        if old is not None:
+            was_held, was_own = old
+            same_key = held.join(was_held.withColumnsRenamed({"held_from": "b", "holder": "h"}), "key", "full").where("not (held_from <=> b and holder <=> h)")
+            same_own = own.join(was_own.withColumnsRenamed({"domain_from": "d", "slug_from": "s"}), "holder", "full").where("not (domain_from <=> d and slug_from <=> s)")
+            if same_key.isEmpty() and same_own.isEmpty():
+                break
+        old = (held, own)
+        wanted = blocks.join(held, "key", "left").withColumn("holder", F.when(F.col("held_from") < F.col("block"), F.col("holder")))
+        told = wanted.join(own, "holder", "left").select(
+            "block", "id", "rank", "key", F.col("holder.known").alias("holder_known"), F.col("holder.id").alias("holder_id"),
+            F.coalesce(F.col("domain_from") < F.col("block"), F.lit(False)).alias("holder_domain"), F.coalesce(F.col("slug_from") < F.col("block"), F.lit(False)).alias("holder_slug"),
+        )
+        claims = checkpointed(told.groupBy("block").applyInPandas(_replayed, _CLAIMS))
+        if not cuts:
+            break
+    return claims.where("at is null").select(F.col("key").cast("long").alias("row_no"), "rank", "known", "id")
 
 
 def resolve(candidates: DataFrame, companies: DataFrame | None = None, aliases: DataFrame | None = None, max_replay_keys: int = MAX_REPLAY_KEYS) -> DataFrame:
@@ -152,10 +163,9 @@ def resolve(candidates: DataFrame, companies: DataFrame | None = None, aliases:
     company_id is set for companies that existed, company_row (the founder's
     row_no) for new ones.  Without name and domain a candidate is `failed`.
 
-    The order matters only between rows that share a key, so it is replayed
-    inside the connected components of the row-key graph.  A component of more
-    than `max_replay_keys` key rows (a common name or domain) is resolved by
-    rounds of joins instead; both give the same rows.
+    The order matters only between rows that share a key: the others found a
+    company each, and the rest is replayed in blocks of `max_replay_keys` key
+    rows at most (see `resolve_by_blocks`), with the same rows for any bound.
     """
     shaped = candidates.select("row_no", *_typed_keys("name", "domain", "profile_url"))
     usable = F.col("k0").isNotNull() | F.col("k2").isNotNull()
@@ -165,15 +175,11 @@ def resolve(candidates: DataFrame, companies: DataFrame | None = None, aliases:
     if aliases is not None:
         keys = keys.unionByName(aliases.select(_node(True, "company_id"), F.lit(2).alias("rank"), _prefixed("n:", name_key("alias")).alias("key")).where("key is not null"))
     keys = checkpointed(keys.distinct())
-    placed = checkpointed(keys.join(key_components(keys.select("node", "key")), "node"))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n"), (F.min("node") != F.max("node")).alias("shared"))
-    placed = checkpointed(placed.join(sizes, "component"))
-    alone = placed.where("not shared and not node.known").select(F.col("node.id").alias("row_no"), F.lit(3).alias("rank"), F.lit(False).alias("known"), F.col("node.id").alias("id")).distinct()
-    small = placed.where(F.col("shared") & (F.col("n") <= max_replay_keys)).select("component", "node.known", "node.id", "rank", "key")
-    found = alone.unionByName(small.groupBy("component").applyInPandas(replay, "row_no long, rank int, known boolean, id long"))
-    large = placed.where(F.col("shared") & (F.col("n") > max_replay_keys)).select("node", "rank", "key")
-    if not large.isEmpty():
-        found = found.unionByName(resolve_by_rounds(large))
+    often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    linked = keys.join(often, "key", "left_semi").select("node").distinct()
+    apart = keys.where("not node.known").select("node").distinct().join(linked, "node", "left_anti")
+    alone = apart.select(F.col("node.id").alias("row_no"), F.lit(3).alias("rank"), F.lit(False).alias("known"), F.col("node.id").alias("id"))
+    found = alone.unionByName(resolve_by_blocks(keys.join(linked, "node", "left_semi"), max_replay_keys))
     how = F.element_at(F.create_map(*(F.lit(x) for pair in MATCHED_BY.items() for x in pair)), F.col("rank"))
     none = F.lit(None).cast("long")
     failed = shaped.where(~usable).select("row_no", none.alias("company_id"), none.alias("company_row"), F.lit("failed").alias("matched_by"))

@@ -77,6 +77,21 @@ def test_resolution_equals_one_sequential_replay(spark, seed):
         assert resolved_rows(RS.resolve(df, have, also, max_replay_keys=bound)) == one_by_one(rows, existing, first_alias)
 
 
+def test_chains_take_as_many_rounds_as_blocks(spark, monkeypatch):
+    """Each row's outcome depends on the one before; blocks, not rows, bound the rounds."""
+    n, rows = 1500, []
+    for k in range(n):
+        rows.append((k, f"n{k if k % 2 else k - 1}", f"d{k - 1 if k % 2 else k}.com", None))
+    rounds = []
+    plain = RS._first_claims
+    monkeypatch.setattr(RS, "_first_claims", lambda claims: rounds.append(1) or plain(claims))
+    df = spark.createDataFrame(rows, CANDIDATE)
+    assert resolved_rows(RS.resolve(df, max_replay_keys=750)) == one_by_one(rows)
+    assert 2 <= len(rounds) <= 6
+    rounds.clear()
+    assert resolved_rows(RS.resolve(df)) == one_by_one(rows) and len(rounds) == 1
+
+
 def test_resolution_tables(spark):
     rows = [(1, "Acme Inc", "a.com", None), (2, "Acme", None, "acme"), (3, "acme", "b.com", "other"), (4, "Old Ltd", "old.com", "old"), (5, None, None, "x"), (6, " ", "z.org", None)]
     df = spark.createDataFrame(rows, CANDIDATE)
