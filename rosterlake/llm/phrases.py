@@ -43,7 +43,7 @@ LOWERED = 0.8
 BITS = 1 << 26
 _CHUNK = 1 << 15
 _LEVELS = 8  # the lowest three bits of a hash tell the number of words
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 _PIECE = np.zeros(256, bool)
 _PIECE[list(PIECE_BREAKS)] = True
@@ -60,7 +60,7 @@ def _phrases(batch: pa.RecordBatch, max_words: int):
     lang_hash = segment_hash(np.frombuffer(b"".join(lang_data), np.uint8), border[:-1], border[1:], seed=51)
     one = splitmix(segment_hash(s.data, s.start, s.end, seed=52) ^ lang_hash[doc])
     # words i and i + 1 follow each other in a piece
-    piece = np.cumsum(_PIECE[s.data])[s.start] if n else np.zeros(0, np.int64)
+    piece = np.cumsum(_PIECE[s.data], dtype=np.int32)[s.start] if n else np.zeros(0, np.int64)
     follows = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
     mixed, whole, out = one, np.ones(n, bool), []
     factor = constants(1, 53)[0]
