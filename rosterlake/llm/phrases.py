@@ -39,6 +39,8 @@ NO_LANG = "und"
 #: One document in so many is in the sample; its threshold is this share of the expected count, 2 at least.
 SAMPLE_SHARE = 8
 LOWERED = 0.8
+#: Parts of a lang that are ranked apart before its first phrases are.
+RANK_PARTS = 16
 #: Bits of the bitmap of proposals (8 MB).
 BITS = 1 << 26
 _CHUNK = 1 << 15
@@ -213,7 +215,10 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     held = cand.where("words >= 3").select("lang", F.explode(shorter).alias("phrase"), F.col("a").alias("longer"))
     held = held.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     free = scored.join(held, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    first = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the first of each of a fixed number of parts, then of these: a lang never meets in one task
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    parts = ranked(free.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))), "lang", "part")
+    first = ranked(parts.drop("rank", "part"), "lang")
     n = counts.where("words = 0").select("lang", "n")
     return first.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("long").alias("score"))
