@@ -19,11 +19,12 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy("company_id").agg(F.max_by("version_id", F.struct("created_at", "version_id")).alias("version_id"), F.max("created_at").alias("created_at"))
 
 
-def disagreements(benchmarks: DataFrame, series: DataFrame, config: EvaluationConfig = EvaluationConfig(), as_of_is_shifted: bool = False) -> DataFrame:
+def disagreements(benchmarks: DataFrame, series: DataFrame, config: EvaluationConfig = EvaluationConfig(), as_of_is_shifted: bool = True) -> DataFrame:
     """Reference rows that differ from the estimate of their month by more than the gap, or whose interval misses it.
 
-    Headcount metrics look back from as_of_month by their offset, unless the
-    loader has shifted it already.
+    as_of_month is the month that a row is about, as `sources.benchmarks` loads
+    it; with as_of_is_shifted=False it is the sheet's month, from which
+    headcount metrics look back by their offset.
     """
     offset = F.lit(0) if as_of_is_shifted else lookup(METRIC_OFFSET, "metric", 0)
     rows = benchmarks.where(F.col("metric").isin(*METRIC_OFFSET) & F.col("value_point").isNotNull() & F.col("company_id").isNotNull() & F.col("as_of_month").isNotNull())
@@ -162,7 +163,7 @@ def snapshot(board: DataFrame, evaluation_id: Column, evaluated_at: Column) -> D
     return board.select(evaluation_id.alias("evaluation_id"), evaluated_at.alias("evaluated_at"), F.to_json(F.struct(*board.columns)).alias("scoreboard"))
 
 
-def comparison(benchmarks: DataFrame, series: DataFrame, config: EvaluationConfig = EvaluationConfig(), as_of_is_shifted: bool = False) -> DataFrame:
+def comparison(benchmarks: DataFrame, series: DataFrame, config: EvaluationConfig = EvaluationConfig(), as_of_is_shifted: bool = True) -> DataFrame:
     """company_id, compared, disagreements, match_rate: reference rows with an estimate month, and those beyond the gap."""
     offset = F.lit(0) if as_of_is_shifted else lookup(METRIC_OFFSET, "metric", 0)
     rows = benchmarks.where(F.col("metric").isin(*METRIC_OFFSET) & F.col("value_point").isNotNull()).select("company_id", "benchmark_id", F.add_months(month_floor("as_of_month"), offset).alias("month"))
@@ -172,6 +173,21 @@ def comparison(benchmarks: DataFrame, series: DataFrame, config: EvaluationConfi
     return out.withColumn("match_rate", 1 - F.col("disagreements") / F.col("compared"))
 
 
+def comparison_matches(benchmarks: DataFrame, series: DataFrame, companies: DataFrame, config: EvaluationConfig = EvaluationConfig(), as_of_is_shifted: bool = True) -> DataFrame:
+    """company_id, name and matches: every reference row that meets an estimate month, by month and row, with the relative delta and whether it is a disagreement."""
+    offset = F.lit(0) if as_of_is_shifted else lookup(METRIC_OFFSET, "metric", 0)
+    rows = benchmarks.where(F.col("metric").isin(*METRIC_OFFSET) & F.col("value_point").isNotNull())
+    rows = rows.select("company_id", "benchmark_id", "provider", F.add_months(month_floor("as_of_month"), offset).alias("month"), F.col("value_point").alias("benchmark_point"))
+    est = series.select("company_id", "month", F.col("value_point").alias("estimate_point"), F.col("value_min").alias("estimate_min"), F.col("value_max").alias("estimate_max"))
+    bad = disagreements(benchmarks, series, config, as_of_is_shifted).select("benchmark_id", F.lit(True).alias("_bad")).distinct()
+    delta = (F.col("estimate_point") - F.col("benchmark_point")) / F.greatest(F.lit(1.0), F.col("benchmark_point"))
+    met = rows.join(est, ["company_id", "month"]).join(bad, "benchmark_id", "left")
+    met = met.withColumn("disagreement", F.coalesce("_bad", F.lit(False))).withColumn("relative_delta", delta)
+    cells = ["month", "benchmark_id", "provider", "estimate_point", "estimate_min", "estimate_max", "benchmark_point", "disagreement", "relative_delta"]
+    grouped = met.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("matches"))
+    return grouped.join(companies.select("company_id", "name"), "company_id", "left").select("company_id", "name", "matches")
+
+
 def comparison_totals(benchmarks: DataFrame, compared: DataFrame) -> DataFrame:
     """One row over a `comparison`: companies with reference rows, those compared, reference rows of any metric, compared, disagreements, match_rate (0 without any)."""
     refs = benchmarks.where(F.col("company_id").isNotNull()).agg(F.count_distinct("company_id").alias("companies_with_benchmarks"), F.count("*").alias("benchmarks_total"))

@@ -9,6 +9,7 @@ from rosterlake.functions.expressions import month_diff
 from rosterlake.functions.structured import stated_employees
 from rosterlake.functions.text import content_gate, exact_count, html_text, let, size_badge, size_mentions, status_gate
 from rosterlake.operators.evaluation import latest_version
+from rosterlake.operators.series import in_ranges
 
 
 def evidence(wanted: DataFrame, stored: DataFrame, segments: DataFrame, placed: DataFrame, events: DataFrame, growth: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def evidence(wanted: DataFrame, stored: DataFrame, segments: DataFrame, placed:
     base = base.join(seg, ["company_id", "segment_no"])
     pick = ["anchor_id", "anchor_month", "anchor_type", "value_point", "confidence"]
     anchors = placed.groupBy("company_id", "segment_no").agg(F.array_sort(F.collect_list(F.struct(*pick))).alias("anchors"))
-    inside = events.join(seg, "company_id").where((F.col("event_month") >= F.col("segment_start")) & (F.col("event_month") <= F.col("segment_end")))
+    inside = in_ranges(events.select("company_id", "event_month", "event_type"), "event_month", seg, "segment_start", "segment_end")
     happened = inside.groupBy("company_id", "segment_no").agg(F.array_sort(F.collect_list(F.struct("event_month", "event_type"))).alias("events"))
     grown = growth.groupBy("company_id", "month").agg(F.array_sort(F.collect_list(F.struct("horizon", "growth_point"))).alias("growth"))
     full = base.join(anchors, ["company_id", "segment_no"], "left").join(happened, ["company_id", "segment_no"], "left").join(grown, ["company_id", "month"], "left")
@@ -157,12 +158,25 @@ def page_signals(pages: DataFrame, badges: bool = True) -> DataFrame:
 
 
 def snapshot_choice(snapshots: DataFrame, as_of: Column, horizons: tuple[int, ...] = (6, 12, 24), drift: int = 12) -> DataFrame:
-    """Archived snapshots (origin, snapshot_month) nearest to each horizon, not further than `drift` months, each used once."""
-    at = F.explode(F.array(*map(F.lit, horizons)))
-    spread = snapshots.withColumn("horizon", at).withColumn("target", F.add_months(as_of, -F.col("horizon"))).withColumn("off", F.abs(month_diff("snapshot_month", "target")))
-    near = spread.groupBy("origin", "horizon", "target").agg(F.min(F.struct("off", "snapshot_month")).alias("m")).where(F.col("m.off") <= drift)
-    used = near.groupBy("origin", F.col("m.snapshot_month").alias("snapshot_month")).agg(F.min(F.struct("horizon", "target")).alias("h"))
-    return used.select("origin", "snapshot_month", "h.horizon", F.col("h.target").alias("stamped_month"))
+    """Archived snapshots (origin, snapshot_month) nearest to each horizon, not further than `drift` months, each used once.
+
+    Of two that are equally near the earlier counts; a snapshot that serves
+    several horizons is stamped with the first of `horizons`.  as_of must be one
+    value an origin.  Each horizon needs the last snapshot up to it and the
+    first from it on: conditional extremes of one aggregate, which combine
+    before the shuffle however many snapshots an origin has.
+    """
+    at = "snapshot_month"
+    near = []
+    for i, h in enumerate(horizons):
+        target = F.add_months(as_of, -h)
+        near += [F.max(F.when(F.col(at) <= target, F.col(at))).alias(f"back{i}"), F.min(F.when(F.col(at) >= target, F.col(at))).alias(f"ahead{i}"), F.max(target).alias(f"target{i}")]
+    ends = snapshots.where(F.col(at).isNotNull()).groupBy("origin").agg(*near)
+    choice = lambda i, h, c: F.struct(F.abs(month_diff(f"{c}{i}", f"target{i}")).alias("off"), F.col(f"{c}{i}").alias(at), F.lit(i).alias("rank"), F.lit(h).alias("horizon"), F.col(f"target{i}").alias("stamped_month"))
+    best = [F.array_min(F.filter(F.array(choice(i, h, "back"), choice(i, h, "ahead")), lambda c: c.off <= drift)) for i, h in enumerate(horizons)]
+    rows = ends.select("origin", F.explode(F.filter(F.array(*best), lambda c: c.isNotNull())).alias("c")).select("origin", "c.*")
+    used = rows.groupBy("origin", at).agg(F.min(F.struct("rank", "horizon", "stamped_month")).alias("h"))
+    return used.select("origin", at, "h.horizon", "h.stamped_month")
 
 
 # The concepts of filings that count employees.

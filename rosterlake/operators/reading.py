@@ -34,6 +34,45 @@ def newest(rows: DataFrame, at: str, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(at), *(c for c in rows.columns if c != at)).limit(limit)
 
 
+def runs(rows: DataFrame, kind: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest runs, of one kind if asked: run_id, kind, status, started_at, ...; the limit is the feature."""
+    return newest(rows if kind is None else rows.where(F.col("kind") == kind), "started_at", limit)
+
+
+def run_detail(rows: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Each run with its companies' stages: counts by (stage, status), and the failed companies with their errors, both as arrays."""
+    counts = stage_counts(statuses).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("stage", "status", "companies"))).alias("stages"))
+    failed = statuses.where("status = 'failed'").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("company_id", "stage", "error"))).alias("failures"))
+    return rows.join(counts, "run_id", "left").join(failed, "run_id", "left")
+
+
+def audit_log(rows: DataFrame, target_type: str | None = None, target_id: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest audit rows, of one type and one target if asked; the limit is the feature."""
+    if target_type is not None:
+        rows = rows.where(F.col("target_type") == target_type)
+    return newest(rows if target_id is None else rows.where(F.col("target_id") == target_id), "created_at", limit)
+
+
+def evaluation_history(evaluations: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest evaluations without their scoreboards; the limit is the feature."""
+    return newest(evaluations.drop("scoreboard"), "evaluated_at", limit)
+
+
+def evaluation_detail(evaluations: DataFrame, evaluation_id: str | None = None) -> DataFrame:
+    """One evaluation with its scoreboard, by id or the newest; no row for an unknown id."""
+    return newest(evaluations if evaluation_id is None else evaluations.where(F.col("evaluation_id") == evaluation_id), "evaluated_at", 1)
+
+
+def flat_series(records: DataFrame) -> DataFrame:
+    """Series held as arrays of months (company_id, months) -> a row a month."""
+    return records.select("company_id", F.inline("months"))
+
+
+def flat_comparison(compared: DataFrame) -> DataFrame:
+    """Companies' comparisons (company_id, name, matches) -> a row a match; the id stands in for a missing name."""
+    return compared.select("company_id", F.coalesce("name", F.col("company_id").cast("string")).alias("canonical_name"), F.inline("matches"))
+
+
 def stage_counts(statuses: DataFrame) -> DataFrame:
     """run_id, stage, status, companies."""
     return statuses.groupBy("run_id", "stage", "status").agg(F.count_distinct("company_id").alias("companies"))

@@ -233,28 +233,36 @@ def resolution_tables(candidates: DataFrame, resolved: DataFrame, companies: Dat
     }
 
 
-# Phrases before a parent's or a former name, the characters of a name, and what ends one.
-PARENT_PHRASES = r"acquired\s+by|subsidiary\s+of|part\s+of|owned\s+by"
-RENAME_PHRASES = r"(?:rebranded|renamed|now)\s+(?:to|as)"
+# Phrases before an acquirer's or a new name, the characters of a name, what ends one, and what is cut off its ends.
+ACQUIRED_PHRASES = r"acquired\s+by"
+RENAMED_PHRASES = r"(?:rebranded|renamed|now)\s+(?:to|as)"
 RELATED_NAME = r"\s+([A-Za-z0-9][A-Za-z0-9 &\-.,'/()]+?)(?:\s+(?:in|on|during)\b|[.,;]|$)"
+NAME_ENDS = r"""^[ .,;"'()]+|[ .,;"'()]+$"""
 
 
-def relations(notes: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
-    """Companies named in notes (company_id, note): edges (parent_id, child_id, kind) and unresolved names.
+def relations(events: DataFrame, companies: DataFrame, aliases: DataFrame | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Companies named in event hints (company_id, hint_type, note): edges (parent_id, child_id, kind) and unresolved names (company_id, kind, parent_name).
 
-    A name ends at " in", " on", " during", at punctuation, or with the note;
-    kind is the phrase before it, or `renamed`.
+    The type of the event picks the phrase: an acquisition names its acquirer
+    (kind `acquired`), a rebrand the other name (`renamed`); other types name
+    nobody.  A name ends at " in", " on", " during", at punctuation, or with the
+    note, and is found among names (smallest id first), then aliases
+    (company_id, alias).  No edge leads to itself or is in existing
+    (parent_id, child_id, kind) already.
     """
-    parent, rename = (rf"(?i)({phrases}){RELATED_NAME}" for phrases in (PARENT_PHRASES, RENAME_PHRASES))
-    by_parent = F.regexp_extract("note", parent, 2) != ""
-    kind = F.when(by_parent, F.regexp_replace(F.lower(F.regexp_extract("note", parent, 1)), r"\s+", " ")).otherwise("renamed")
-    name = F.when(by_parent, F.regexp_extract("note", parent, 2)).otherwise(F.regexp_extract("note", rename, 2))
-    found = notes.select("company_id", kind.alias("kind"), F.trim(name).alias("parent_name")).where("parent_name <> ''")
-    names = companies.groupBy(name_key("name").alias("key")).agg(F.min("company_id").alias("parent_id"))
+    at_end = lambda phrases: F.regexp_replace(F.regexp_extract("note", rf"(?i){phrases}{RELATED_NAME}", 1), NAME_ENDS, "")
+    kind = F.when(F.col("hint_type") == "acquisition", "acquired").when(F.col("hint_type") == "rebrand", "renamed")
+    name = F.when(F.col("hint_type") == "acquisition", at_end(ACQUIRED_PHRASES)).when(F.col("hint_type") == "rebrand", at_end(RENAMED_PHRASES))
+    found = events.select("company_id", kind.alias("kind"), name.alias("parent_name")).where("company_id is not null and parent_name <> ''")
+    called = companies.select(name_key("name").alias("key"), F.lit(0).alias("r"), "company_id")
+    if aliases is not None:
+        called = called.unionByName(aliases.select(name_key("alias").alias("key"), F.lit(1).alias("r"), "company_id"))
+    names = called.where("key <> ''").groupBy("key").agg(F.min(F.struct("r", "company_id"))["company_id"].alias("parent_id"))
     hit = found.withColumn("key", name_key("parent_name")).join(names, "key", "left")
-    edges = hit.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("company_id")))
-    unresolved = hit.where("parent_id is null").select("company_id", "parent_name")
-    return {"edges": edges.select("parent_id", F.col("company_id").alias("child_id"), "kind").distinct(), "unresolved": unresolved}
+    edges = hit.where("parent_id <> company_id").select("parent_id", F.col("company_id").alias("child_id"), "kind").distinct()
+    if existing is not None:
+        edges = edges.join(existing.select("parent_id", "child_id", "kind"), ["parent_id", "child_id", "kind"], "left_anti")
+    return {"edges": edges, "unresolved": hit.where("parent_id is null").select("company_id", "kind", "parent_name")}
 
 
 def shard(rows: DataFrame, order: list[str], n: int, m: int) -> DataFrame:

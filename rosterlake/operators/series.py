@@ -72,17 +72,34 @@ def segments(events: DataFrame, companies: DataFrame, window: Window) -> DataFra
     return starts.select("company_id", F.row_number().over(w).alias("segment_no"), "segment_start", end.alias("segment_end"), "opening_types")
 
 
+#: Months of a block by which ranges and months meet.
+BLOCK_MONTHS = 12
+
+
+def in_ranges(rows: DataFrame, month: str, ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with every range of their company that holds their month; ranges: company_id, start, end and more columns.
+
+    Both sides meet by company and block of months, so a company with very many
+    rows or ranges is spread over its blocks; a range has a copy for each block
+    that it touches, and the exact months decide.
+    """
+    block = lambda m: F.floor(ordinal(m) / BLOCK_MONTHS).cast("int")
+    blocks = F.when(F.col(start) <= F.col(end), F.sequence(block(start), block(end)))
+    spread = ranges.withColumn("_block", F.explode(blocks))
+    return rows.withColumn("_block", block(month)).join(spread, ["company_id", "_block"]).where(F.col(month).between(F.col(start), F.col(end))).drop("_block")
+
+
 def segment_of(segs: DataFrame, months: DataFrame) -> DataFrame:
     """Bounds of the segment that holds each (company_id, month)."""
-    hit = months.join(segs, "company_id").where(F.col("month").between(F.col("segment_start"), F.col("segment_end")))
-    return hit.select("company_id", "month", "segment_no", "segment_start", "segment_end")
+    bounds = segs.select("company_id", "segment_no", "segment_start", "segment_end")
+    return in_ranges(months, "month", bounds, "segment_start", "segment_end").select("company_id", "month", "segment_no", "segment_start", "segment_end")
 
 
 def anchors_in_segments(anchors: DataFrame, segs: DataFrame) -> DataFrame:
-    """Anchors with the segment that holds their month (few segments a company: hash join, then filter)."""
+    """Anchors with the segment that holds their month."""
     floored = anchors.withColumn("anchor_month", month_floor("anchor_month"))
-    on = (F.col("a.company_id") == F.col("g.company_id")) & F.col("a.anchor_month").between(F.col("g.segment_start"), F.col("g.segment_end"))
-    return floored.alias("a").join(segs.alias("g"), on).select("a.*", "g.segment_no", "g.segment_start", "g.segment_end")
+    bounds = segs.select("company_id", "segment_no", "segment_start", "segment_end")
+    return in_ranges(floored, "anchor_month", bounds, "segment_start", "segment_end").select(*floored.columns, "segment_no", "segment_start", "segment_end")
 
 
 def _folded(value: Column) -> Column:
@@ -217,7 +234,7 @@ def monthly_series(segs: DataFrame, counts: DataFrame, placed: DataFrame, reconc
 
 def suppress(series: DataFrame, windows: DataFrame) -> DataFrame:
     """Force months inside an analyst's window (company_id, start_month, end_month, reason, load_order) to review; the first window names the reason."""
-    hit = series.select("company_id", "month").join(windows.select("company_id", "start_month", "end_month", "reason", "load_order"), "company_id").where(F.col("month").between(F.col("start_month"), F.col("end_month")))
+    hit = in_ranges(series.select("company_id", "month"), "month", windows.select("company_id", "start_month", "end_month", "reason", "load_order"), "start_month", "end_month")
     first = hit.groupBy("company_id", "month").agg(F.min_by("reason", "load_order").alias("_reason"))
     out = series.join(first, ["company_id", "month"], "left")
     on = F.col("_reason").isNotNull()

@@ -69,12 +69,12 @@ def refresh(e: Estimate, series: BucketStore, prints: BucketStore, buckets: int
     return {"stored": series.read(), "changed": changed}
 
 
-def refreshed(e: Estimate, path: str, attempts: int = 3) -> DataFrame:
+def refreshed(e: Estimate, path: str, buckets: int = BUCKETS, attempts: int = 3) -> DataFrame:
     """The stored series at a path after `refresh`; again if another writer came first."""
     spark = e.companies.sparkSession
     for left in range(attempts - 1, -1, -1):
         try:
-            return refresh(e, BucketStore(spark, f"{path}/series"), BucketStore(spark, f"{path}/fingerprints"))["stored"]
+            return refresh(e, BucketStore(spark, f"{path}/series"), BucketStore(spark, f"{path}/fingerprints"), buckets)["stored"]
         except Conflict:
             if not left:
                 raise

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,7 @@ from rosterlake.operators import review as R
 from rosterlake.operators import series as S
 from rosterlake.plans import adapters as A
 from rosterlake.plans.estimate import Estimate, estimate, outcome
+from rosterlake.plans.incremental import refresh, refreshed
 from rosterlake.plans.oracle import sql
 from rosterlake.sources import tables as TB
 
@@ -56,8 +58,9 @@ def full(spark: SparkSession, sf_dir: str) -> Estimate:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored series as a snapshot table, as questions about it read it several times."""
-    return TB.checkpointed(full(spark, sf_dir).stored)
+    """The stored series of these tables in the shared folder, brought up to date: companies whose inputs did not change are not estimated again."""
+    place = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return refreshed(full(spark, sf_dir), f"{TB.shared_folder(spark)}/estimates-{place}", buckets=16)
 
 
 def near(c: str) -> Column:
@@ -247,7 +250,7 @@ def as_of():
 @query(sql(f"""SELECT b.company_id, benchmark_id, provider, metric, s.month, b.value_point AS benchmark_point, round(s.value_point, 4) AS estimate_point, round(abs(b.value_point - s.value_point) / greatest(1, b.value_point), 4) AS relative_gap, NOT (s.value_max < b.value_min OR b.value_max < s.value_min) AS interval_overlap
   FROM benchmark_rows b JOIN stored s ON s.company_id = b.company_id AND s.month = (b.as_of_month - to_months({_OFFSETS}))::DATE WHERE metric LIKE 'headcount%' AND (abs(b.value_point - s.value_point) / greatest(1, b.value_point) > 0.25 OR s.value_max < b.value_min OR b.value_max < s.value_min)""", dates=("month",)))
 def benchmark_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.disagreements(A.benchmark(spark, sf_dir), stored(spark, sf_dir))
+    rows = E.disagreements(A.benchmark(spark, sf_dir), stored(spark, sf_dir), as_of_is_shifted=False)
     return rounded(rows, "estimate_point", "relative_gap")
 
 
@@ -307,7 +310,7 @@ cmp AS (
 
 @query(sql("SELECT company_id, compared, disagreements, round(1 - disagreements / compared, 4) AS match_rate FROM cmp", 7, _COMPARED))
 def benchmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.comparison(A.benchmark(spark, sf_dir), stored(spark, sf_dir)), "match_rate")
+    return rounded(E.comparison(A.benchmark(spark, sf_dir), stored(spark, sf_dir), as_of_is_shifted=False), "match_rate")
 
 
 _SIDE = f"""
@@ -496,7 +499,8 @@ def anchor_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT company_id, priority, severity, reason FROM (SELECT company_id, reason, round(severity, 4) AS severity, least(99, greatest(0, CASE reason WHEN 'low_confidence' THEN 50 WHEN 'anomaly' THEN 55 ELSE 30 END + round_even(least(1, greatest(0, severity)) * 15, 0) + CASE WHEN confidence IS NULL THEN 0 ELSE round_even(least(1, greatest(0, 1 - confidence)) * 15, 0) END))::INT AS priority FROM items) ORDER BY priority DESC, company_id, reason LIMIT 20", 6, _QUEUE))
 def queue_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = full(spark, sf_dir)
-    return rounded(R.candidates(TB.checkpointed(e.scored), e.segments).orderBy(F.desc("priority"), "company_id", "reason").limit(20).select("company_id", "priority", "severity", "reason"), "severity")
+    items = R.candidates(TB.checkpointed(e.scored), e.segments).withColumn("updated_at", now()).withColumn("version_id", F.lit(None).cast("string"))
+    return rounded(R.queue_page(items, 20).select("company_id", "priority", "severity", "reason"), "severity")
 
 
 @query(sql("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN provider = 'tertiary' THEN 'skipped_provider' WHEN value_min > value_point OR value_max < value_point THEN 'skipped_no_value' WHEN company_id % 10 = 0 THEN 'already_promoted' ELSE 'promoted' END AS outcome FROM (SELECT * REPLACE (CASE WHEN row_index % 7 = 0 THEN value_min + 100 ELSE value_min END AS value_min) FROM benchmark_rows) WHERE metric LIKE 'headcount%') GROUP BY ALL", 1))

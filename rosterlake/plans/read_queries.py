@@ -61,7 +61,7 @@ def scoreboard_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
   coalesce(sum(compared), 0)::BIGINT AS benchmarks_matched, coalesce(sum(disagreements), 0)::BIGINT AS disagreements_total, CASE WHEN sum(compared) > 0 THEN round(1 - sum(disagreements) / sum(compared), 4) ELSE 0 END AS match_rate FROM cmp""", 7, _COMPARED))
 def comparison_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = A.benchmark(spark, sf_dir)
-    return rounded(E.comparison_totals(refs, E.comparison(refs, stored(spark, sf_dir))), "match_rate")
+    return rounded(E.comparison_totals(refs, E.comparison(refs, stored(spark, sf_dir), as_of_is_shifted=False)), "match_rate")
 
 
 @query(sql("""SELECT company_id, kind, item, round(expected, 4) AS expected, round(actual, 4) AS actual, expected_band, actual_band FROM (

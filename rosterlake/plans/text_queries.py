@@ -81,14 +81,31 @@ def search_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", F.array_join(P.result_slugs(body), ",").alias("slugs"))
 
 
-@query("""SELECT s_suppkey + 1 AS parent_id, s_suppkey AS child_id, CASE s_suppkey % 5 WHEN 0 THEN 'acquired by' WHEN 1 THEN 'acquired by' WHEN 2 THEN 'renamed' ELSE 'part of' END AS kind
-FROM supplier WHERE s_suppkey % 5 < 4 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)""")
+@query("""SELECT s_suppkey + 1 AS parent_id, s_suppkey AS child_id, CASE WHEN s_suppkey % 6 = 2 THEN 'renamed' ELSE 'acquired' END AS kind
+FROM supplier WHERE s_suppkey % 6 < 3 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)""")
 def note_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of each company's events: acquirers, a new name, an acquirer nobody knows, and phrases that name no owner."""
     k = F.col("s_suppkey")
-    note = phrase(k, "Was acquired by Firm {n} in 2020.", "Acquired by Firm {n}. Then moved", "since renamed to Firm {n} during 2019", "it is part of Firm {n}, Inc.", "acquired by Nobody {n}; ended", n=k + 1)
+    note = phrase(
+        k, "Was acquired by Firm {n} in 2020.", "Acquired by Firm {n}. Then moved", "since renamed to Firm {n} during 2019", "acquired by Nobody {n}; ended",
+        "now part of the merger of Firm {n}", "building owned by Firm {n}, renamed to Firm {n}", n=k + 1,
+    )
     s = A.table(spark, sf_dir, "supplier")
     companies = s.select(k.alias("company_id"), F.concat(F.lit("Firm "), k.cast("string"), F.lit(" LLC")).alias("name"))
-    return RS.relations(s.select(k.alias("company_id"), note.alias("note")), companies)["edges"]
+    hint = F.when(k % 6 == 2, "rebrand").otherwise("acquisition")
+    return RS.relations(s.select(k.alias("company_id"), hint.alias("hint_type"), note.alias("note")), companies)["edges"]
+
+
+@query("""WITH c AS (SELECT c_custkey AS row_id, c_custkey % 4 AS k, 'acme-' || c_custkey AS h, 'acme' || c_custkey AS j FROM customer)
+SELECT row_id, CASE k WHEN 0 THEN 'my-site:domain_label,' || h || '-inc:name_slug,' || j || 'inc:name_concat' WHEN 1 THEN h || ':domain_label,' || j || ':name_concat' WHEN 2 THEN j || ':domain_label'
+  ELSE h || '-co-kg:name_slug,' || j || 'cokg:name_concat' END AS slugs FROM c""")
+def profile_slug_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs to try for names and domains in four shapes."""
+    k = F.col("c_custkey")
+    name = phrase(k, "Acme {n}, Inc.", " ACME_{n} ", "acme{n}", "Acme {n} & Co. KG", n=k)
+    domain = F.when(k % 4 == 0, "https://www.my_site.example.com/x").when(k % 4 == 1, F.concat(F.lit("acme-"), k.cast("string"), F.lit(".org"))).when(k % 4 == 2, F.concat(F.lit("ACME"), k.cast("string"), F.lit(".io")))
+    rows = A.table(spark, sf_dir, "customer").select(k.alias("row_id"), T.slug_candidates(domain, name).alias("c"))
+    return rows.select("row_id", F.array_join(F.transform("c", lambda x: F.concat_ws(":", x.slug, x.method)), ",").alias("slugs"))
 
 
 _LD = '<script type="application/ld+json">{"@type": "Organization", "numberOfEmployees": {low_high}}</script>'

@@ -16,14 +16,19 @@ EMPLOYMENT_CSV = "person_source_key string, source_name string, company_id strin
 FORMATS = ("csv", "json", "parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; only a local master may do without such a setting."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (`spark.checkpoint.dir`); only a local master may do without such a setting."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='rosterlake-')}")
-    return f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

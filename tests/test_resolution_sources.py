@@ -122,7 +122,7 @@ def test_or_lookup_prefers_domain(spark):
 
 def test_relations(spark):
     comp = spark.createDataFrame([(1, "Acme Inc"), (2, "Child Co")], "company_id long, name string")
-    notes = spark.createDataFrame([(2, "subsidiary of Acme"), (1, "part of Acme"), (2, "owned by Nobody Ltd")], "company_id long, note string")
+    notes = spark.createDataFrame([(2, "acquisition", "acquired by Acme"), (1, "acquisition", "acquired by Acme"), (2, "acquisition", "acquired by Nobody Ltd")], "company_id long, hint_type string, note string")
     r = RS.relations(notes, comp)
     assert [(x.parent_id, x.child_id) for x in r["edges"].collect()] == [(1, 2)] and r["unresolved"].count() == 1
 

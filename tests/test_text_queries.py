@@ -69,12 +69,20 @@ def test_slugs_of_taxonomy_pages_are_left_out(spark):
     assert one(spark, body, P.result_slugs) == ["acme"] and one(spark, body + " verify you are a human", P.result_slugs) == []
 
 
-def test_relations_end_where_the_name_does(spark):
+def test_relations_follow_the_type_of_the_event(spark):
     companies = spark.createDataFrame([(1, "Foo Inc"), (2, "Bar"), (3, "Baz")], "company_id long, name string")
-    notes = [(2, "acquired by Foo in 2020"), (3, "Acquired by Foo. Then moved"), (1, "rebranded as Baz"), (2, "acquired by Bar"), (3, "acquired by Qux on 1 May"), (3, None)]
-    got = RS.relations(spark.createDataFrame(notes, "company_id long, note string"), companies)
-    assert sorted(map(tuple, got["edges"].collect())) == [(1, 2, "acquired by"), (1, 3, "acquired by"), (3, 1, "renamed")]
-    assert [r.parent_name for r in got["unresolved"].collect()] == ["Qux"]
+    aliases = spark.createDataFrame([(3, "Zed Ltd"), (2, "Foo")], "company_id long, alias string")
+    a, r = "acquisition", "rebrand"
+    notes = [
+        (2, a, "acquired by Foo in 2020"), (3, a, "Acquired by Foo. Then moved"), (1, r, "rebranded as Baz"), (2, a, "acquired by Bar"), (3, a, "acquired by Qux on 1 May"), (3, a, None),
+        (1, a, "now part of Bar"), (1, a, "owned by Bar"), (1, a, "subsidiary of Bar"), (2, r, "acquired by Baz"), (2, a, "renamed to Baz"), (2, "merger", "acquired by Baz"), (2, r, 'Now as "Zed"'), (2, r, "now as Zed"), (2, None, "acquired by Baz"),
+    ]
+    events = spark.createDataFrame(notes, "company_id long, hint_type string, note string")
+    got = RS.relations(events, companies, aliases)
+    assert sorted(map(tuple, got["edges"].collect())) == [(1, 2, "acquired"), (1, 3, "acquired"), (3, 1, "renamed"), (3, 2, "renamed")]
+    assert sorted((x.kind, x.parent_name) for x in got["unresolved"].collect()) == [("acquired", "Qux")]
+    again = RS.relations(events, companies, aliases, spark.createDataFrame([(1, 2, "acquired")], "parent_id long, child_id long, kind string"))
+    assert again["edges"].count() == 3
 
 
 def test_policy_and_repeats(spark):
