@@ -1,10 +1,13 @@
 """Secret scan: fixed patterns plus assignment-aware lexing of source and configuration text.
 
 The lexer reads `name = literal` pairs (code, JSON, YAML with block scalars, INI,
-shell, XML elements and attributes, subscripts, literals wrapped in calls),
-follows constants (`key = BASE`, `"${BASE}tail"`, `A + "tail"`) back to the
-literals they hold, and scores each literal by the sensitivity of the name it
-ends up in.  Comments are read like code, as secrets stand there too.
+shell, XML elements and attributes, subscripts, tuples, triple-quoted strings,
+literals wrapped in calls), follows constants (`key = BASE`, `"${BASE}tail"`,
+`f"{BASE}tail"`, `A + "tail"`, `A . "tail"`, `"%s-tail" % A`, adjacent literals)
+back to the literals they hold, also those that are set further down, and scores
+each value as a whole by the sensitivity of the name it ends up in.  Comments
+are read like code, as secrets stand there too.  No form has a bound on its
+length; every pattern moves on by what it has read, so time is linear.
 """
 
 from __future__ import annotations
@@ -35,140 +38,282 @@ NAME_WEIGHT = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "s
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|changeme|example|placeholder|none|null|true|false|your[-_ ].*)$", re.IGNORECASE)
 #: Literals that score this much are reported.
 MIN_SCORE = 1.2
-#: Characters of a value joined of several pieces that its score is taken from; a literal by itself is scored whole.
-JOINED_SAMPLE = 1024
+#: Names that end in one of these hold a figure about a secret, not one.
+FIGURES = {"count", "counts", "size", "length", "limit", "total", "number", "index", "usage", "budget", "ttl", "expiry", "expires"}
 
-_TYPE = r"""(?P<type>[A-Za-z_][\w.]{0,63})(?:[<\[][^"'=\n]{0,64}[>\]])?(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]{0,63}){0,4}[?!]?"""
+_TYPE = r"""(?P<type>[A-Za-z_][\w.]*+)(?:[<\[][^"'=:\n]*[>\]])?(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+[?!]?"""
 # a name begins where a run of name characters does, so long runs are read once
 _NAME = r"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)"""
 _PAIR = re.compile(
     _NAME
-    + r"""(?:["'](?:[ \t]*\])?|\])?[ \t]*"""
+    + r"""(?:["'](?:[ \t]*\])?|\])?[ \t]*+"""
     + r"""(?::[ \t]*(?:&(?:'[a-z]+[ \t]+)?)?"""
     + _TYPE
-    + r"""(?:[ \t]+=(?![=>])|=(?=[ \t]*["']))|:=|=>|=(?!=)|:(?![:/]))[ \t]*"""
-    + r"""(?:(?:[A-Za-z_][\w.]{0,63}\([ \t]*){1,4}(?=["'])|(?=["'$A-Za-z0-9+/_-]))"""
+    + r"""(?:[ \t]+=(?![=>])|=(?=[ \t]*["']))|:=|=>|=(?!=)|:(?![:/]))[ \t]*+"""
+    + r"""(?:(?P<open>(?:(?:[A-Za-z_][\w.]*+)?\([ \t\n]*+)++)(?=[bBrRfFuU]{0,2}["'])|(?=["'$A-Za-z0-9+/_-]))"""
 )
 _TERM = re.compile(
-    r"""(?:[bBrRfFuU]{0,2}"(?P<double>(?:[^"\\\n]|\\.)*+)"|[bBrRfFuU]{0,2}'(?P<single>(?:[^'\\\n]|\\.)*+)'"""
+    r"""(?:(?P<prefix>[bBrRfFuU]{0,2})(?:\"{3}(?P<double3>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<single3>(?:[^'\\]|\\.|'(?!''))*+)'{3}"""
+    r"""|"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)')"""
     r"""|\$\{(?P<braced>[A-Za-z_]\w*)\}|\$(?P<dollar>[A-Za-z_]\w*)|(?P<bare>[A-Za-z0-9+/_.=-]+))""",
-    re.ASCII,
+    re.ASCII | re.DOTALL,
 )
+_QUOTED = ("double", "single", "double3", "single3")
 _INSIDE = re.compile(r"\$\{(?P<braced>[A-Za-z_]\w*)\}|\$(?P<dollar>[A-Za-z_]\w*)", re.ASCII)
-_ELEMENT = re.compile(r"""<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]{0,255})(?:[ \t\n][^<>]{0,1000})?>[ \t\n]*(?P<value>[^<>]*[^<> \t\n])[ \t\n]*</(?P=name)>""")
+_FIELD = re.compile(r"\{\{|\{(?P<braced>[A-Za-z_]\w*)(?P<dollar>(?!))?[^{}\n]*\}", re.ASCII)
+_SLOT = re.compile(r"%(?:%|[-+ #0]*\d*(?:\.\d+)?[sdrxc])|\{\d*\}")
+_GIVEN = re.compile(r"""[ \t]*%[ \t]*(?:\(([^()"'\n]*)\)|([A-Za-z_]\w*))|\.format\(([^()"'\n]*)\)""", re.ASCII)
+_ELEMENT = re.compile(r"""<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*+)(?:[ \t\n][^<>]*+)?>[ \t\n]*+(?P<value>[^<>]*[^<> \t\n])[ \t\n]*</(?P=name)>""")
 _BLOCK = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?:[ \t]*[|>][+-]?[ \t]*\n(?P<value>(?:[ \t]+[^ \t\n][^\n]*(?:\n|\Z))++)""")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_JOIN = re.compile(r"[ \t]*\+[ \t]*|[ \t]+\.[ \t]+(?=[\"'$A-Za-z_])|\.(?=[\"'$])")
+_NEXT = re.compile(r"[ \t]*(?=[bBrRfFuU]{0,2}[\"'])")
+_NEXT_LINE = re.compile(r"[ \t\n]*(?:\+[ \t\n]*)?(?=[bBrRfFuU]{0,2}[\"'])")
+_COMMA = re.compile(r"[ \t]*,[ \t]*")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Some part of a name that has a weight; texts without any hold no literal to report.
+_SENSITIVE = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "connection", "dsn")
 
 
 def name_weight(name: str) -> float:
     parts = [p.lower() for p in _PART.findall(name)]
+    if not parts or parts[-1] in FIGURES:
+        return 0.0
     keys = parts + [f"{a}_{b}" for a, b in zip(parts, parts[1:], strict=False)]
     return max((NAME_WEIGHT.get(k, 0.0) for k in keys), default=0.0)
 
 
+class Shape:
+    """What the score of a text needs, adding up over its pieces: characters by kind, its first and last ones."""
+
+    __slots__ = ("chars", "head", "last", "n")
+
+    def __init__(self, text: str) -> None:
+        self.n, self.head, self.last, self.chars = len(text), text[:12], text[-1:], Counter(text)
+
+    def __add__(self, other: Shape) -> Shape:
+        out = object.__new__(Shape)
+        out.n, out.head, out.last = self.n + other.n, (self.head + other.head)[:12], other.last or self.last
+        out.chars = self.chars + other.chars
+        return out
+
+    def is_placeholder(self) -> bool:
+        if self.n <= len(self.head):
+            return bool(_PLACEHOLDER.match(self.head))
+        if "\n" in self.chars:
+            return False
+        return self.chars.keys() <= {"x", "X"} or len(self.chars) == 1 and self.head[0] in "*." or self.head[0] == "<" and self.last == ">" or self.head[:4].lower() == "your" and self.head[4] in "-_ "
+
+    def score(self) -> float:
+        """0 to 1: length, entropy and mix of character classes, spaces and tabs left out."""
+        if self.is_placeholder():
+            return 0.0
+        counts = {c: k for c, k in self.chars.items() if c not in " \t"}
+        n = sum(counts.values())
+        if n < 8:
+            return 0.0
+        entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+        classes = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return 0.4 * min(1.0, n / 16) + 0.4 * min(1.0, entropy / 3.5) + 0.1 * min(2, classes - 1)
+
+
 def literal_score(value: str) -> float:
-    """0 to 1: length, entropy and mix of character classes of a literal, spaces and tabs left out."""
-    if _PLACEHOLDER.match(value):
-        return 0.0
-    value = value.replace(" ", "").replace("\t", "")
-    if len(value) < 8:
-        return 0.0
-    n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return 0.4 * min(1.0, n / 16) + 0.4 * min(1.0, entropy / 3.5) + 0.1 * min(2, classes - 1)
+    return Shape(value).score()
 
 
-def literal_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of literals whose name and shape together score MIN_SCORE or more.
+class Value:
+    """What a name holds: spans of literals and values of other names, in order; shared, not copied."""
 
-    held maps each name to its value: (parts, sample), where a part is a span
-    or the value of another name and sample is the start of the joined text
-    (None for a literal by itself).  Values are shared, not copied, and each is
-    reported once, so that chains of constants cost no more than their length.
-    A name that is set again takes the later value for what follows.  In
-    `name: word = literal`, `word` may be a type or, after a label, the name
-    proper, so the stronger of the two counts.
+    __slots__ = ("parts", "shape", "told")
+
+    def __init__(self, parts: list[tuple[int, int] | Value]) -> None:
+        self.parts, self.shape, self.told = parts, None, False
+
+
+def _shape(value: Value, text: str) -> Shape:
+    """The shape of a value as a whole, from those of its parts, each worked out once."""
+    stack = [value]
+    while stack:
+        top = stack[-1]
+        if top.shape is None:
+            waiting = [p for p in top.parts if isinstance(p, Value) and p.shape is None]
+            if waiting:
+                stack += waiting
+                continue
+            shapes = [p.shape if isinstance(p, Value) else Shape(text[p[0] : p[1]]) for p in top.parts]
+            total = shapes[0]
+            for x in shapes[1:]:
+                total = total + x
+            top.shape = total
+        stack.pop()
+    return value.shape
+
+
+def _is_secret(weight: float, score: float) -> bool:
+    return weight > 0 and weight + score >= MIN_SCORE + (1 - weight) * 0.5
+
+
+class Pairs:
+    """One pass over a text: what each name holds, and the spans that end up in sensitive names.
+
+    later: what names hold at the end of the text, for those used before they are set.
     """
-    if "=" not in text and ":" not in text and "</" not in text:
-        return []
-    held: dict[str, tuple[list, str | None]] = {}
-    found, told = set(), set()
 
-    def sample(part) -> str:
-        if isinstance(part[0], int):
-            return text[part[0] : part[1]]
-        return sample(part[0][0]) if part[1] is None else part[1]
+    def __init__(self, text: str, later: dict[str, Value] | None) -> None:
+        self.text, self.later = text, later or {}
+        self.held: dict[str, Value] = {}
+        self.open_names: set[str] = set()  # names that no value was known for
+        self.found: set[tuple[int, int]] = set()
 
-    def report(value) -> None:
-        stack = [value]
-        while stack:
-            part = stack.pop()
-            if isinstance(part[0], int):
-                found.add(part)
-            elif id(part) not in told:
-                told.add(id(part))
-                kept.append(part)
-                stack += part[0]
-
-    kept: list[tuple] = []  # reported values stay alive, so their id stays theirs
-    for pair in _PAIR.finditer(text):
-        at, parts = pair.end(), []
-        while term := _TERM.match(text, at):
-            kind, value = term.lastgroup, term[term.lastgroup]
-            quoted = kind in ("double", "single")
-            ref = re.fullmatch(r"\$\{?(\w+)\}?", value) if quoted else None
-            name = ref[1] if ref else value
-            if kind in ("braced", "dollar") or (ref or kind == "bare") and name in held:
-                if name in held:
-                    parts.append(held[name])
-            elif quoted and "$" in value:
-                # constants inside a string, and the literal pieces between them
-                last, (begin, stop) = 0, term.span(kind)
-                for ref in _INSIDE.finditer(value):
-                    if (name := ref["braced"] or ref["dollar"]) in held:
-                        if last < ref.start():
-                            parts.append((begin + last, begin + ref.start()))
-                        parts.append(held[name])
-                        last = ref.end()
-                if begin + last < stop or not parts:
-                    parts.append((begin + last, stop))
-            else:
-                parts.append(term.span(kind))
-            plus = _PLUS.match(text, term.end())
-            if not plus:
+    def known(self, name: str) -> Value | None:
+        value = self.held.get(name)
+        return value if value is not None else self.later.get(name)
+
+    def between(self, span: tuple[int, int], holes: list[tuple[int, int, str]]) -> list:
+        """Literal pieces of a string and the values of the names that stand in its holes; unknown names stay text."""
+        parts, last = [], span[0]
+        for start, end, name in holes:
+            value = self.known(name)
+            if value is None:
+                self.open_names.add(name)
+                continue
+            if last < start:
+                parts.append((last, start))
+            parts.append(value)
+            last = end
+        if last < span[1] or not parts:
+            parts.append((last, span[1]))
+        return parts
+
+    def term(self, at: int) -> tuple[list, int, bool] | None:
+        """Parts of the term at a place, where it ends, and whether it is a string."""
+        text, term = self.text, _TERM.match(self.text, at)
+        if not term:
+            return None
+        kind = term.lastgroup
+        value, span = term[kind], term.span(kind)
+        if kind not in _QUOTED:
+            if kind == "bare" and self.known(value) is None:
+                self.open_names.add(value)
+                return [span], term.end(), False
+            found = self.known(value)
+            if found is None:
+                self.open_names.add(value)
+            return [] if found is None else [found], term.end(), False
+        end = term.end()
+        given = _GIVEN.match(text, end) if "%" in value or "{" in value else None
+        if given:
+            names = [n.strip() for n in (given[1] or given[2] or given[3] or "").split(",")]
+            slots = [m for m in _SLOT.finditer(value) if m[0] != "%%"]
+            holes = [(m.start(), m.end(), n) for m, n in zip(slots, names, strict=False)]
+            end = given.end()
+        elif "f" in term["prefix"].lower() and "{" in value:
+            holes = [(m.start(), m.end(), m["braced"]) for m in _FIELD.finditer(value) if m["braced"]]
+        elif "$" in value:
+            holes = [(m.start(), m.end(), m["braced"] or m["dollar"]) for m in _INSIDE.finditer(value)]
+        else:
+            holes = []
+        whole = len(holes) == 1 and holes[0][:2] == (0, len(value))
+        if whole and self.known(holes[0][2]) is None:
+            self.open_names.add(holes[0][2])
+            return [], end, True
+        return self.between(span, [(span[0] + a, span[0] + b, n) for a, b, n in holes]), end, True
+
+    def expression(self, at: int, lines: bool) -> tuple[list, int]:
+        """Parts of terms joined by operators, or by standing side by side as strings; lines: over line ends, inside brackets."""
+        parts: list = []
+        while got := self.term(at):
+            new, at, quoted = got
+            parts += new
+            join = _JOIN.match(self.text, at) or (quoted and (_NEXT_LINE if lines else _NEXT).match(self.text, at)) or None
+            if not join:
                 break
-            at = plus.end()
-        names = [n for n in (pair["name"], pair["type"]) if n]
-        if pair["type"] and any(c.isdigit() for c in pair["type"]):  # `name: literal = ...` is possible too
-            weight = name_weight(pair["name"])
-            if weight and weight + literal_score(pair["type"]) >= MIN_SCORE + (1 - weight) * 0.5:
-                found.add(pair.span("type"))
+            at = join.end()
+        return parts, at
+
+    def assign(self, names: list[str], parts: list) -> None:
         if not parts:
-            continue
-        if len(parts) == 1:
-            value = ([parts[0]], None) if isinstance(parts[0][0], int) else parts[0]
-        else:
-            joined, n = [], 0
-            for part in parts:
-                if n >= JOINED_SAMPLE:
-                    break
-                joined.append(sample(part)[:JOINED_SAMPLE])
-                n += len(joined[-1])
-            value = (parts, "".join(joined)[:JOINED_SAMPLE])
-        held.update(dict.fromkeys(names, value))
+            return
+        value = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
+        self.held.update(dict.fromkeys(names, value))
         weight = max(map(name_weight, names))
-        if weight and weight + literal_score(sample(value)) >= MIN_SCORE + (1 - weight) * 0.5:
-            report(value)
-    for pattern in (_ELEMENT, _BLOCK):
-        for m in pattern.finditer(text):
-            start = m.end("value") - len(m["value"].lstrip())
-            value = m["value"].strip()
-            weight = name_weight(m["name"])
-            if weight and weight + literal_score(value.replace("\n", "")) >= MIN_SCORE + (1 - weight) * 0.5:
-                found.add((start, start + len(value)))
-    return sorted((x, y) for x, y in found if x < y)
+        if weight and _is_secret(weight, _shape(value, self.text).score()):
+            self.report(value)
+
+    def report(self, value: Value) -> None:
+        stack: list = [value]
+        while stack:
+            part = stack.pop()
+            if not isinstance(part, Value):
+                self.found.add(part)
+            elif not part.told:
+                part.told = True
+                stack += part.parts
+
+    def targets(self, start: int, since: int) -> list[str]:
+        """Names before the last one of a tuple on the left of an assignment, from the left."""
+        before = self.text[max(since, self.text.rfind("\n", since, start) + 1) : start].rstrip(" \t(")
+        names: list[str] = []
+        if before.endswith(","):
+            for piece in reversed(before[:-1].split(",")):
+                name = piece.split()[-1] if piece.split() else ""
+                if not name.isidentifier():
+                    break
+                names.append(name)
+                if name != piece.strip():
+                    break
+        return names[::-1]
+
+    def run(self) -> None:
+        text, since = self.text, 0
+        for pair in _PAIR.finditer(text):
+            kind = pair["type"]
+            names = [n for n in (pair["name"], kind) if n]
+            if kind and any(c.isdigit() for c in kind):  # `name: literal = ...` is possible too
+                if _is_secret(name_weight(pair["name"]), literal_score(kind)):
+                    self.found.add(pair.span("type"))
+                    # the name before it is no target of what follows
+            more = self.targets(pair.start(), since) if "," in text[since : pair.start()] and "=" in pair[0] else []
+            since = pair.end()
+            parts, at = self.expression(pair.end(), bool(pair["open"]) and "(" in pair["open"])
+            values = [parts]
+            while more and len(values) <= len(more) and (comma := _COMMA.match(text, at)):
+                parts, at = self.expression(comma.end(), False)
+                values.append(parts)
+            if more and len(values) == len(more) + 1:
+                for name, parts in zip([*more, pair["name"]], values, strict=True):
+                    self.assign([name], parts)
+            else:
+                self.assign(names, values[0])
+        for pattern in (_ELEMENT, _BLOCK):
+            for m in pattern.finditer(text):
+                start = m.end("value") - len(m["value"].lstrip())
+                value = m["value"].strip()
+                if _is_secret(name_weight(m["name"]), literal_score(value.replace("\n", ""))):
+                    self.found.add((start, start + len(value)))
+
+
+def literal_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of literals whose name and shape together score MIN_SCORE or more.
+
+    A name that is set again takes the later value for what follows; one that is
+    used before it is set, the value it has at the end.  Values are shared, so
+    chains of constants cost no more than their length.  In `name: word =
+    literal`, `word` may be a type or, after a label, the name proper, so the
+    stronger of the two counts.
+    """
+    low = text.lower()
+    if not any(x in low for x in _SENSITIVE) or ("=" not in text and ":" not in text and "</" not in text):
+        return []
+    pairs = Pairs(text, None)
+    pairs.run()
+    if pairs.open_names & pairs.held.keys():
+        ends = pairs.held
+        for value in ends.values():
+            value.told = False
+        again = Pairs(text, ends)
+        again.run()
+        pairs = again
+    return sorted((x, y) for x, y in pairs.found if x < y)
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -213,3 +213,80 @@ def test_phrases_of_nothing(spark):
 def test_scores_beyond_64_bits(spark):
     df = spark.createDataFrame([(3_000_000_000_000, 5_000_000_000_000, 7_000_000_000_000)], "a long, l long, r long")
     assert df.select(phrases._score(F.col("a"), F.col("l"), F.col("r")).alias("s")).first().s == 10**6 * 9 // 35
+
+
+BASE64 = "Zx9abcQ81kfj3Qw8"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        # values are scored whole, however they are put together
+        (f'pwd = "{"x" * 1100}{BASE64}"', [f"{'x' * 1100}{BASE64}"]),
+        (f'a = "{"x" * 1100}"\npwd = a + "{BASE64}"', ["x" * 1100, BASE64]),
+        ('a = "xxxxxxxx"\npassword = a + "xxxxxxxxxx"', []),
+        # no bound on the length of a form
+        (f"<{'n' * 300}_password>{BASE64}</{'n' * 300}_password>", [BASE64]),
+        (f'<password {"a" * 1200}="b">{BASE64}</password>', [BASE64]),
+        (f'password: Box<{"T" * 90}> = "{BASE64}"', [BASE64]),
+        (f'password: {"T" * 90} = "{BASE64}"', [BASE64]),
+        (f'password = a(b(c(d(e(f("{BASE64}"))))))', [BASE64]),
+        # constants set further down
+        (f'password = A + "tail"\nA = "{BASE64}"', ["tail", BASE64]),
+        (f'password = "${{A}}tail"\nA = "{BASE64}"', ["tail", BASE64]),
+        # strings of several kinds
+        (f'password = """{BASE64}"""', [BASE64]),
+        (f"password = '''{BASE64}'x\n'''", [f"{BASE64}'x\n"]),
+        (f'a = "{BASE64}"\npassword = f"{{a}}tail{{a!r:>10}}"', [BASE64, "tail"]),
+        (f'a = "{BASE64}"\npassword = rf"pre-{{a}}"', [BASE64, "pre-"]),
+        ('password = "Zx9abcQ8" "1kfj3Qw8"', ["Zx9abcQ8", "1kfj3Qw8"]),
+        ('password = (\n    "Zx9abcQ8"\n    "1kfj3Qw8"\n)', ["Zx9abcQ8", "1kfj3Qw8"]),
+        ("$password = 'Zx9abcQ8' . '1kfj3Qw8';", ["Zx9abcQ8", "1kfj3Qw8"]),
+        (f'a = "{BASE64}"\npassword = "p-%s-%d" % (a, b)', [BASE64, "p-", "-%d"]),
+        (f'a = "{BASE64}"\npassword = "p-{{}}".format(a)', [BASE64, "p-"]),
+        # tuples
+        (f'user, password = "some-user-name", "{BASE64}"', [BASE64]),
+        (f'password, user = "{BASE64}", "some-User-name1"', [BASE64]),
+        # figures about secrets, and names that only hold none
+        ("token_count: 1234567890123456", []),
+        (f'description = "{BASE64}"', []),
+    ],
+)
+def test_secret_forms(text, want):
+    from rosterlake.llm import secrets
+
+    assert sorted(text[s:e] for s, e in secrets.literal_spans(text)) == sorted(want)
+
+
+def test_secrets_planted_in_sources():
+    """Recall and precision over generated files of several syntaxes, each with known secrets among harmless pairs."""
+    from rosterlake.llm import secrets
+
+    rnd = random.Random(8)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    word = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
+    names = ["db_password", "clientSecret", "API_KEY", "private_key", "authToken", "signing_key"]
+    harmless = ["title", "color", "path", "user_name", "version", "keyboard_layout"]
+    forms = ["{n} = '{v}'\n", '{n}: "{v}"\n', '"{n}": "{v}",\n', "export {n}={v}\n", "<{n}>{v}</{n}>\n", "cfg['{n}'] = \"{v}\"\n", "{n} := `x`; {n} = \"{v}\"\n", '  {n} => "{v}"\n', "X{k} = '{v}'\n{n} = X{k}\n", '{n}: str = call("{v}")\n']
+    planted = told = right = 0
+    for k in range(300):
+        text, want = "", set()
+        for i in range(12):
+            secret = rnd.random() < 0.4
+            v = word(20)
+            text += rnd.choice(forms).format(n=rnd.choice(names if secret else harmless), v=v, k=i)
+            want |= {v} if secret else set()
+        got = {text[s:e] for s, e in secrets.literal_spans(text)}
+        planted, told, right = planted + len(want), told + len(got), right + len(want & got)
+    assert right / planted > 0.99 and right / told > 0.99
+
+
+@pytest.mark.parametrize("text", ["a=b(" * 60_000 + "password", 'password="""' * 40_000, "password: a<" * 40_000, "a, " * 80_000 + 'password = "x"', "<password " * 40_000, "password" * 60_000, 'f"{' * 60_000 + "token=", "x = a + " * 60_000 + "password", "password: |\n" * 40_000, "password | a " * 40_000, '"a" ' * 60_000 + "password=", 'password = "a" ' + '"b" ' * 60_000, "a = a\n" * 50_000 + "password = a\n", 'password = ("%s" % (' * 20_000])
+def test_secret_scan_is_linear(text):
+    import time
+
+    from rosterlake.llm import secrets
+
+    began = time.process_time()
+    secrets.literal_spans(text)
+    assert time.process_time() - began < 5
