@@ -116,9 +116,9 @@ def site_signals(pages: DataFrame, max_paths: int = 8) -> dict[str, DataFrame]:
     companies all of whose pages are forbidden.
     """
     rank = F.array_position(F.array(*map(F.lit, PATH_ORDER[:max_paths])), F.col("path")).cast("int")
-    tried = pages.withColumn("path_rank", rank).where("path_rank > 0").withColumn("page_id", F.concat_ws("/", "company_id", "path_rank"))
-    found = page_signals(tried.where("status < 400").select("page_id", "html"), badges=False)
-    placed = found.join(tried.select("page_id", "company_id", "path", "path_rank").distinct(), "page_id")
+    tried = pages.withColumn("path_rank", rank).where("path_rank > 0")
+    opened = tried.where("status < 400").select(F.col("path_rank").alias("page_id"), "html", "company_id", "path", "path_rank")
+    placed = page_signals(opened, badges=False, keep=("company_id", "path", "path_rank"))
     best = placed.groupBy("company_id").agg(F.min("path_rank").alias("path_rank"))
     values = ["value_min", "value_point", "value_max"]
     statement = F.when(F.col("method") == "json_ld", "json_ld").when(F.col("kind") == "exact", "exact").otherwise("range")
@@ -127,8 +127,8 @@ def site_signals(pages: DataFrame, max_paths: int = 8) -> dict[str, DataFrame]:
     return {"signals": with_confidence(rows).drop("source"), "gates": gates}
 
 
-def page_signals(pages: DataFrame, badges: bool = True) -> DataFrame:
-    """Size statements of archived pages, best method only: page_id, method, value_min, value_point, value_max, kind, confidence.
+def page_signals(pages: DataFrame, badges: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Size statements of archived pages, best method only: page_id, method, value_min, value_point, value_max, kind, confidence, and the columns to keep.
 
     JSON-LD comes before a size badge, which comes before statements in the
     text.  One pass, without a shuffle: each reader runs where those before it
@@ -154,7 +154,7 @@ def page_signals(pages: DataFrame, badges: bool = True) -> DataFrame:
         stated = F.array(row("json_ld", ld.value_min, ld.value_point, ld.value_max, ld.kind))
         return F.when(ld.isNotNull(), stated).otherwise(let(html_text(F.coalesce("html", F.lit(""))), of_text))
 
-    return pages.select("page_id", F.explode(let(stated_employees("html"), best)).alias("s")).select("page_id", "s.*")
+    return pages.select("page_id", *keep, F.explode(let(stated_employees("html"), best)).alias("s")).select("page_id", "s.*", *keep)
 
 
 def snapshot_choice(snapshots: DataFrame, as_of: Column, horizons: tuple[int, ...] = (6, 12, 24), drift: int = 12) -> DataFrame:

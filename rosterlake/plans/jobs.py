@@ -25,7 +25,7 @@ def reextract(archive: DataFrame, companies: DataFrame, stored: DataFrame) -> Da
     pages = archive.where("status < 400").withColumn("at", at)
     pages = pages.select("page_id", F.coalesce("at.origin", "url").alias("url"), "at.snapshot_month", F.col("body").alias("html"))
     owner = RS.host_to_company(pages, companies)
-    found = X.page_signals(pages).join(pages.drop("html"), "page_id").join(owner, "page_id")
+    found = X.page_signals(pages, keep=("url", "snapshot_month")).join(owner, "page_id")
     archived = F.col("snapshot_month").isNotNull()
     of_page = F.when(F.col("method") == "json_ld", "json_ld").when(F.col("kind") == "exact", "exact").otherwise("range")
     statement = F.when(archived, F.when(F.col("method") == "json_ld", "json_ld").otherwise("text")).otherwise(of_page)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlake.functions import text as T
 from rosterlake.operators import evaluation as E
 from rosterlake.operators import evidence as X
+from rosterlake.operators import growth as G
+from rosterlake.operators import overrides as OV
 from rosterlake.operators import promotion as PR
 from rosterlake.operators import reading as RD
 from rosterlake.plans import adapters as A
+from rosterlake.plans import jobs as J
 from rosterlake.plans.estimate import Estimate
 from rosterlake.plans.incremental import refresh
 from rosterlake.plans.oracle import sql
@@ -79,6 +83,53 @@ def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "method", *values, "kind")
 
 
+@query("""WITH u AS (SELECT *, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www[.]', '') AS host FROM pages), d AS (
+  SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 12))::BIGINT AS company_id FROM u WHERE host NOT LIKE 'blog.%' AND host NOT LIKE 'm.%'
+), o AS (
+  SELECT p.*, company_id FROM u p JOIN d ON p.host = d.host OR p.host LIKE '%.' || d.host
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(d.host) DESC, company_id) = 1
+), r AS (
+  SELECT DISTINCT company_id, page_id % 7 = 3 AS archived, url, page_id % 3 AS k, (page_id % 900 + 20)::DOUBLE AS n FROM o WHERE page_id % 3 < 2 AND page_id % 11 <> 5
+)
+SELECT company_id, CASE WHEN archived THEN 'archive' ELSE 'company_page' END AS source_name, CASE WHEN k = 0 THEN 'json_ld' WHEN archived THEN 'text' ELSE 'exact' END AS statement, n AS value_point,
+  CASE WHEN k = 0 AND archived THEN 0.55::DOUBLE WHEN k = 0 THEN 0.7::DOUBLE WHEN archived THEN 0.45::DOUBLE ELSE 0.65::DOUBLE END AS confidence,
+  CASE WHEN archived THEN '2015-03-01' END AS snapshot_month, count(*) AS pages FROM r GROUP BY ALL""")
+def archive_reextraction_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-extraction over the urls and bodies of pages: real hosts name the companies, two pages of three state a size, some came from a web archive or were refused."""
+    k, n = F.col("page_id") % 3, (F.col("page_id") % 900 + 20).cast("string")
+    pages = A.table(spark, sf_dir, "pages")
+    said = F.when(k == 0, F.replace(F.lit(_FORMS[0]), F.lit("{n}"), n)).when(k == 1, F.concat(F.lit("<script>over 77 staff</script><p>"), n, F.lit(" colleagues</p>"))).otherwise("")
+    url = F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("https://archive.example/web/20150314000000/"), F.col("url"))).otherwise(F.col("url"))
+    status = F.when(F.col("page_id") % 11 == 5, 403).otherwise(200)
+    archive = pages.select("page_id", url.alias("url"), status.alias("status"), F.concat("html", said).alias("body"))
+    hosts = pages.select(T.domain_key("url").alias("domain")).distinct().where("domain is not null and not domain rlike '^(blog|m)[.]'")
+    companies = hosts.withColumn("company_id", F.conv(F.substring(F.md5("domain"), 1, 12), 16, 10).cast("long"))
+    stored_signals = spark.createDataFrame([], "company_id long, source_name string, content_hash string")
+    rows = J.reextract(archive, companies, stored_signals)
+    return rows.groupBy("company_id", "source_name", "statement", "value_point", "confidence", "snapshot_month").agg(F.count("*").alias("pages"))
+
+
+@query(sql("""SELECT s.company_id, s.month, 'anchor' AS what, p.anchor_id AS item, round(p.value_point, 4) AS value FROM stored s JOIN placed p ON p.company_id = s.company_id AND p.segment_no = s.segment_no
+UNION ALL SELECT s.company_id, s.month, 'event', strftime(v.event_month, '%Y-%m-%d') || ' ' || v.event_type, NULL FROM stored s JOIN segments g ON g.company_id = s.company_id AND g.segment_no = s.segment_no
+  JOIN events v ON v.company_id = s.company_id AND v.event_month BETWEEN g.segment_start AND g.segment_end
+UNION ALL SELECT s.company_id, s.month, 'growth', w.horizon, round(w.growth_point, 4) FROM stored s JOIN growth w ON w.company_id = s.company_id AND w.month = s.month""", dates=("month",)))
+def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every evidence record holds, item by item: anchors with their values, events, growth."""
+    e = full(spark, sf_dir)
+    series = TB.checkpointed(e.stored)
+    happened = OV.with_events(A.events(spark, sf_dir), e.decoded["events"])
+    tree = X.evidence(series.select("company_id", "month"), series, e.segments, e.placed, happened, G.growth_series(series))
+    item = lambda what, name, value: F.struct(F.lit(what).alias("what"), name.alias("item"), value.cast("double").alias("value"))
+    none = F.lit(None).cast("double")
+    of = {
+        "anchors": lambda x: item("anchor", x.anchor_id, x.value_point),
+        "events": lambda x: item("event", F.concat_ws(" ", F.date_format(x.event_month, "yyyy-MM-dd"), x.event_type), none),
+        "growth": lambda x: item("growth", x.horizon, x.growth_point),
+    }
+    every = F.flatten(F.array(*(F.coalesce(F.transform(c, f), F.array()) for c, f in of.items())))
+    return rounded(tree.select("company_id", "month", F.inline(every)), "value")
+
+
 @query("""WITH s AS (
   SELECT DISTINCT 'site' || (page_id % 97) AS origin, (DATE '2001-11-01' - to_months((page_id * 7 % 61)::INT))::DATE AS snapshot_month FROM pages
 ), h AS (
