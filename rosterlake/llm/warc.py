@@ -112,9 +112,11 @@ def write_pages(pages: DataFrame, file_bytes: int = FILE_BYTES, shard_bytes: int
     # one row a payload that occurs twice, combined on the map side
     groups = keyed.groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("first_id"), F.max_by("url", F.struct("page_id", "url")).alias("first_url"), F.max("length").alias("n")).where((F.col("copies") > 1) & (F.col("n") >= min_revisit_bytes))
     groups = written(groups.drop("copies", "n"), "payloads")
-    # only pages whose payload may have a copy are shuffled for the join
+    # payloads that have copies meet their groups as ids; html is shuffled by page, never by a payload that many share
     split = with_maybe(keyed, "digest", groups.select("digest"))
-    several = split.where("maybe").join(groups, "digest", "left")
+    ids = split.where("maybe").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"))
+    told = ids.join(groups, F.col("_digest") == F.col("digest")).select("_id", "_digest", "first_id", "first_url").distinct()
+    several = split.where("maybe").join(told, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_digest")
     single = split.where("not maybe").withColumn("first_id", F.lit(None).cast("long")).withColumn("first_url", F.lit(None).cast("string"))
     marked = several.unionByName(single).withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     placed, shards = range_shards(marked, "page_id", F.col("length"), shard_bytes, pages.select("page_id", F.octet_length(payload).alias("length")))
