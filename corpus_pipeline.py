@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run`
 writes as Parquet in the shared folder and rereads as the next stage's docs.
 All stages but the last return the columns of documents.
+
+Rows are taken as they come: a null text counts as empty and an empty one is
+dropped by the quality rules; null ids are kept apart by their texts; repeated
+rows count once after near-dedup; texts are read whole, however long; further
+columns are carried along; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations

@@ -117,7 +117,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contai
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of docs, with all their columns, whose text holds no item; rows that share an id are judged apart."""
+    """The rows of docs, with all their columns, whose text holds no item; rows that share an id are judged apart.
+
+    Null and empty texts hold nothing and stay; so do all rows where items is
+    empty.  Rows that repeat both id and text stay or go together.
+    """
     leaks = written(keyed_leaks(docs, items, shingle, containment).select(F.col("doc_id").alias("_leak"), F.col("key").alias("_leak_key")).distinct(), "leaks")
     side = small_enough(leaks, F.lit(80))
     return docs.join(side(leaks), F.col("doc_id").eqNullSafe(F.col("_leak")) & (text_key(F.col("text")) == F.col("_leak_key")), "left_anti")

@@ -158,7 +158,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_s
     A row's text is the whole text where the pass takes all its words, else the
     words taken, in order, joined by spaces; n_chars, if there is one, follows.
     Rows lie in the partition of the first output shard that takes of them, in
-    order of shards and, within one, of a pseudorandom order.
+    order of shards and, within one, of a pseudorandom order.  Null and empty
+    texts have no words to take and give no rows; null sources are a source of
+    their own; rows that repeat others, or have null ids, are taken row by row;
+    an empty table gives no rows.
     """
     nulls = F.concat(*(F.col(c).isNull().cast("string") for c in docs.columns))
     # two hashes of all columns name a row; equal rows are told apart by where they are packed

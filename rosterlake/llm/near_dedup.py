@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -47,6 +47,8 @@ K, T = 48, 23
 #: Rows of a posting, and sets of a candidate group, that one task compares; larger ones go the ways of steps 4 and 5.
 POSTING_CHUNK = 512
 GROUP_CHUNK = 1024
+#: A group above so many bytes a set, times GROUP_CHUNK, goes to more chunks.
+SET_BYTES = 16 << 10
 HUBS = 8
 EDGES = "a long, b long"
 #: Parts that the rows of a posting above POSTING_CHUNK are dealt to.
@@ -292,7 +294,19 @@ def class_sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, size: int
     sets = built.join(side, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))).groupBy("id", "grp", "n").agg(F.min("set").alias("set"))
     out = written(sets, "sets")
     drop(side)
-    return out
+    # groups whose sets are long count for more, so that chunks are bounded in bytes as well
+    heavy = out.groupBy("grp").agg(_load(F.lit(0)).alias("load")).where(F.col("load") > GROUP_CHUNK)
+    if heavy.isEmpty():
+        return out
+    weighed = out.join(heavy, "grp", "left").withColumn("n", F.greatest("n", F.coalesce("load", F.lit(0)))).drop("load")
+    weighed.scratch_path = out.scratch_path
+    return weighed
+
+
+def _load(count: Column, where: Column | None = None) -> Column:
+    """A group's number of sets, or of SET_BYTES of them where that is more."""
+    size = F.octet_length("set") if where is None else F.when(where, F.octet_length("set"))
+    return F.greatest(count.cast("long"), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / SET_BYTES))
 
 
 def with_hubs(sets: DataFrame) -> DataFrame:
@@ -326,7 +340,7 @@ def remaining_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     heads = prefix.groupBy("grp", "member").agg(F.min("id").alias("head"), F.count("*").alias("held"), F.max("outside").alias("any")).where("any and held > 1")
     finer = components(prefix.join(heads, ["grp", "member"]).select(F.col("head").alias("a"), F.col("id").alias("b")))
     split = open_sets.drop("grp", "n").join(finer.withColumnRenamed("component", "grp"), "id")
-    counts = split.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.col("outside").cast("int")).alias("n_out")).where("n_out > 0")
+    counts = split.groupBy("grp").agg(_load(F.count("*")).alias("n"), _load(F.sum(F.col("outside").cast("int")), F.col("outside")).alias("n_out")).where("n_out > 0")
     met = written(split.join(counts, "grp"), "met")
     parts, pieces = (F.ceil(F.col(c) / GROUP_CHUNK).cast("int") for c in ("n", "n_out"))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

@@ -157,7 +157,11 @@ def apply_rules(docs: DataFrame, model: gbt.Trees, keep_from: float = KEEP_FROM)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules and the trees keep."""
+    """The rows of docs, with all their columns, that the rules and the trees keep.
+
+    Rows are judged one by one, so null and repeated ids and repeated rows do no
+    harm; null and empty texts fail the rules; an empty table gives no rows.
+    """
     model = train(docs, labels)
     schema = docs.schema
 

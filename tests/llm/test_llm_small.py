@@ -180,9 +180,10 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize(("size", "chunk"), [(2, 4096), (2, 6), (5, 1024)])
-def test_near_duplicates(spark, monkeypatch, size, chunk):
+@pytest.mark.parametrize(("size", "chunk", "set_bytes"), [(2, 4096, 16 << 10), (2, 6, 16 << 10), (2, 6, 64), (5, 1024, 16 << 10)])
+def test_near_duplicates(spark, monkeypatch, size, chunk, set_bytes):
     monkeypatch.setattr(near_dedup, "GROUP_CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "SET_BYTES", set_bytes)
     monkeypatch.setattr(near_dedup, "POSTING_CHUNK", max(8, chunk))
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts), size).collect()}
