@@ -266,11 +266,20 @@ def relations(events: DataFrame, companies: DataFrame, aliases: DataFrame | None
 
 
 def shard(rows: DataFrame, order: list[str], n: int, m: int) -> DataFrame:
-    """Every m-th row from the n-th on, in the given order (a small dimension: one partition numbers it)."""
+    """Every m-th row from the n-th on, in the given order; `order` should tell rows apart.
+
+    Rows are numbered by ranges: within a range's partition, after the number of
+    rows in those before it (one row a partition).
+    """
     from pyspark.sql import Window
 
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("_n", number).where(F.col("_n") % m == n - 1).drop("_n")
+    placed = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = placed.withColumn("_n", number).join(F.broadcast(starts), "_part").withColumn("_n", F.col("_n") + F.col("_start"))
+    return numbered.where(F.col("_n") % m == n - 1).drop("_n", "_part", "_start")
+
 
 
 def missing_keys(wanted: DataFrame, existing: DataFrame, keys: list[str], distinct: bool = True) -> DataFrame:

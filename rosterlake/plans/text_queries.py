@@ -96,6 +96,43 @@ def note_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RS.relations(s.select(k.alias("company_id"), hint.alias("hint_type"), note.alias("note")), companies)["edges"]
 
 
+@query("""WITH p AS (SELECT p_partkey AS row_id, p_partkey % 9 AS k, (p_size + 100)::DOUBLE AS n FROM part)
+SELECT row_id, ['over', 'about', 'exact', 'team of', 'n-person', 'strong', 'strong', 'headcount', 'over'][k + 1] AS family, CASE WHEN k IN (2, 7) THEN 'exact' ELSE 'range' END AS kind,
+  round(n * [1, 0.9, 1, 0.9, 0.9, 1, 1, 1, 1][k + 1], 6) AS value_min, round(n * [1.1, 1, 1, 1, 1, 1.1, 1, 1, 1.1][k + 1], 6) AS value_point, round(n * [1.25, 1.1, 1, 1.15, 1.1, 1.25, 1.1, 1, 1.25][k + 1], 6) AS value_max FROM p""")
+def size_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size statements of every family, one of them with a bare count that only repeats it."""
+    n = F.col("p_size") + 100
+    said = phrase(
+        F.col("p_partkey"), "We are over {n} employees.", "nearly {n} Team  Members", "{n} colleagues", "a crew of {n} enthusiasts", "our {n}-person team", "{n}+ strong", "{n} strong", "Headcount: {n}",
+        "more than {n} staff, yes, {n} staff", n=n,
+    )
+    rows = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.explode(T.size_mentions(said)).alias("m"))
+    return rows.select("row_id", F.col("m.qualifier").alias("family"), "m.kind", *(F.round(f"m.{c}", 6).alias(c) for c in ("value_min", "value_point", "value_max")))
+
+
+@query("""SELECT c_custkey AS row_id, CASE c_custkey % 5 WHEN 0 THEN 'firm-' || c_custkey WHEN 1 THEN 'firm_' || c_custkey WHEN 2 THEN 'firm' || c_custkey END AS slug FROM customer""")
+def profile_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of profile URLs, of bare slugs, and of what is neither."""
+    k = F.col("c_custkey")
+    text = phrase(k, "https://www.linkedin.com/company/Firm-{n}/about?x=1", " Firm_{n} ", "linkedin.com/company/firm{n}#top", "https://example.com/firm-{n}", "", n=k)
+    return A.table(spark, sf_dir, "customer").select(k.alias("row_id"), T.profile_slug(text).alias("slug"))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ambiguous_qualifier:consulting' WHEN 2 THEN 'domain_in_body' WHEN 3 THEN 'single_token_no_domain_in_body' WHEN 4 THEN 'no_token_overlap' ELSE 'ok' END AS reason,
+  page_id % 6 IN (0, 2, 5) AS accepted FROM pages""")
+def judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles before real page bodies: shared words, qualifiers, domains that the body mentions or does not."""
+    k = F.col("page_id")
+    head = phrase(
+        k, '<meta property="og:title" content="Qzacme Robotics Weekly | LinkedIn">', '<meta property="og:title" content="Qzacme Consulting">', '<meta property="og:title" content="Qzacme">see www.QZACME{n}.example',
+        '<meta property="og:title" content="Qzacme">', '<meta property="og:title" content="Qzother">', '<meta property="og:title" content="QZACME">', n=k,
+    )
+    name = phrase(k, "Qzacme Robotics", *["Qzacme"] * 5)
+    domain = F.when((k % 6).isin(2, 3), F.concat(F.lit("https://qzacme"), k.cast("string"), F.lit(".example/")))
+    rows = A.table(spark, sf_dir, "pages").select("page_id", name.alias("name"), domain.alias("domain"), F.concat(head, "html").alias("body"))
+    return P.judged_pages(rows).select("page_id", "reason", "accepted")
+
+
 @query("""WITH c AS (SELECT c_custkey AS row_id, c_custkey % 4 AS k, 'acme-' || c_custkey AS h, 'acme' || c_custkey AS j FROM customer)
 SELECT row_id, CASE k WHEN 0 THEN 'my-site:domain_label,' || h || '-inc:name_slug,' || j || 'inc:name_concat' WHEN 1 THEN h || ':domain_label,' || j || ':name_concat' WHEN 2 THEN j || ':domain_label'
   ELSE h || '-co-kg:name_slug,' || j || 'cokg:name_concat' END AS slugs FROM c""")
