@@ -17,17 +17,19 @@ windows start earlier there), so large groups of copies never meet in a task.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .membership import maybe_members
 from .quality_rules import repeated_in_document
-from .storage import drop, new_dir, remove_dir, slices, written
+from .storage import drop, new_dir, open_fs, put_temporary, read_file, remove_dir, slices, written
 from .textscan import U64, Scan, covered, joined, per_doc, scan, sliding, sorted_unique_by_doc, splitmix, windows, word_hash
 
 # Fixed value of the contract.
@@ -114,20 +116,71 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(kept_digests(s, np.ones(len(s.start), bool))), pa.array(per_doc(gone, s.first)), pa.array(kept_digests(s, ~gone))], ["id", "key", "n_removed", "kept_sha256"])
 
 
+_RUN = "id long, anchor long"
+_KEYS = "key string, first_id long"
+
+
 class FingerprintIndex:
-    """Runs of (anchor, document) and of text digests of all documents added so far."""
+    """Runs of (anchor, document) and of text digests of all documents added so far.
+
+    folder: where the index lives; one that is there already is opened as its
+    newest manifest has it, so a later session adds to what an earlier one
+    built.  Manifests appear under their names when all they list is written,
+    so a job that dies leaves the version before.  One writer at a time.
+    Without a folder the index is scratch and goes with `close`.
+    """
 
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark = spark
-        self.max_runs = max_runs
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS, folder: str | None = None):
+        self.spark, self.max_runs, self.lasting = spark, max_runs, folder is not None
+        self.folder = folder.rstrip("/") if folder else new_dir(spark, "fingerprints")
+        self.buckets, self.version = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
         self.runs: list[tuple[str, str]] = []
         self.keys: list[DataFrame] = []
+        if self.lasting:
+            self._open()
+
+    def _open(self) -> None:
+        fs, root = open_fs(self.folder)
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        numbers = sorted(int(f.base_name.split(".")[0].split("-")[1]) for f in found if f.base_name.startswith("manifest-"))
+        if not numbers:
+            return
+        held = json.loads(read_file(self.folder, f"manifest-{numbers[-1]}.json"))
+        self.version, self.buckets = numbers[-1], held["buckets"]
+        self.runs = [(self._named(path), path) for path in held["runs"]]
+        self.keys = [self._keys_at(path) for path in held["keys"]]
+
+    def _named(self, path: str) -> str:
+        """Register the files of a run as a bucketed table again."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        columns = _RUN.replace("long", "bigint")
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return name
+
+    def _keys_at(self, path: str) -> DataFrame:
+        out = self.spark.read.schema(_KEYS).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def _write_keys(self, keys: DataFrame) -> DataFrame:
+        path = f"{self.folder}/keys-{uuid.uuid4().hex}"
+        keys.select("key", "first_id").write.option("compression", "zstd").parquet(path)
+        return self._keys_at(path)
+
+    def _commit(self) -> None:
+        if not self.lasting:
+            return
+        self.version += 1
+        body = json.dumps({"buckets": self.buckets, "runs": [path for _, path in self.runs], "keys": [k.scratch_path for k in self.keys]}).encode()
+        name = f"manifest-{self.version}.json"
+        temp = put_temporary(self.folder, name, [body])
+        fs, root = open_fs(self.folder)
+        fs.move(f"{root}/{temp}", f"{root}/{name}")
 
     def _run(self, rows: DataFrame) -> tuple[str, str]:
-        """Write a sorted immutable run: a table bucketed by anchor in the shared folder."""
-        name, path = f"fingerprints_{uuid.uuid4().hex}", new_dir(self.spark, "run")
-        dealt = rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
+        """Write a sorted immutable run: a table bucketed by anchor."""
+        name, path = f"fingerprints_{uuid.uuid4().hex}", f"{self.folder}/run-{uuid.uuid4().hex}"
+        dealt = rows.select("id", "anchor").repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
         dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).option("compression", "zstd").saveAsTable(name)
         return name, path
 
@@ -143,20 +196,24 @@ class FingerprintIndex:
         for name, _ in self.runs[1:]:
             rows = rows.unionByName(self.spark.table(name))
         merged = self._run(rows)
-        for run in self.runs:
-            self._drop(run)
-        self.runs = [merged]
         keys = self.keys[0]
         for more in self.keys[1:]:
             keys = keys.unionByName(more)
-        keys = written(keys, "keys")
-        drop(*self.keys)
-        self.keys = [keys]
+        keys = self._write_keys(keys)
+        old = self.runs, self.keys
+        self.runs, self.keys = [merged], [keys]
+        self._commit()
+        # no manifest that is opened from now on names these
+        for run in old[0]:
+            self._drop(run)
+        drop(*old[1])
 
     def close(self) -> None:
+        """Let go of the tables; a scratch index is deleted, a lasting one stays in its folder."""
         for run in self.runs:
-            self._drop(run)
-        drop(*self.keys)
+            self.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
+        if not self.lasting:
+            remove_dir(self.spark, self.folder)
         self.runs, self.keys = [], []
 
     def add(self, batch: DataFrame, archive: DataFrame) -> DataFrame:
@@ -172,7 +229,7 @@ class FingerprintIndex:
         own = described.groupBy("key").agg(F.min("id").alias("first_id"))
         for past in self.keys:
             own = own.join(past, "key", "left_anti")
-        own = written(own, "keys")
+        own = self._write_keys(own)
         heads = described.join(own, "key").where(F.col("id") == F.col("first_id"))
         new = self._run(heads.select("id", F.explode("anchors").alias("anchor")))
         fresh = self.spark.table(new[0])
@@ -212,6 +269,7 @@ class FingerprintIndex:
         drop(described, touched, read, found, cut)
         self.keys.append(own)
         self.runs.append(new)
+        self._commit()
         if len(self.runs) > self.max_runs:
             self.compact()
         return result
@@ -220,16 +278,16 @@ class FingerprintIndex:
 def remove_repeats(docs: DataFrame, batches: int = 3, max_runs: int = 1) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_sha256; one row per row.
 
-    The table is added to a fresh index in batches of ascending doc_id; the
-    result does not depend on where they are cut.  Null and empty texts have no
+    The table is added to a fresh index in batches of ascending doc_id and about
+    equal numbers of rows; the result does not depend on where they are cut.  Null and empty texts have no
     words; rows that repeat an id start at the same place, so neither removes
     the other; a null id counts as the smallest.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     index = FingerprintIndex(spark, max_runs)
-    cuts = [] if lo is None else [lo + (hi - lo + 1) * k // batches for k in range(1, batches)]
+    # approximate places will do, but they must be whole: doubles pass 2**53 inexactly, which only moves a cut
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02)}) if batches > 1 else []
     out = None
     for a, b in zip([None, *cuts], [*cuts, None], strict=True):
         past = F.lit(False) if a is None else F.col("doc_id").isNull() | (F.col("doc_id") < a)

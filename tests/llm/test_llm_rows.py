@@ -85,3 +85,34 @@ def test_pipeline_on_odd_rows_and_on_nothing(spark, tmp_path):
         assert stage_docs.columns == docs.columns
     encoded = token_store.encoded_documents(stage_docs, corpus_pipeline.tokenizer_file())
     assert encoded.agg(F.count("*")).first()[0] == stage_docs.count()
+
+
+def test_fingerprint_index_over_sessions(spark, tmp_path):
+    """A later session opens what an earlier one built; a run that fails leaves the version before; results are those of one go."""
+    import random
+
+    from rosterlake.llm import substring_dedup as SD
+
+    rnd = random.Random(11)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(6)]
+    texts = [" ".join(rnd.choice([*passages, *(f"x{rnd.random()} " * 25 for _ in range(3))]) for _ in range(rnd.randrange(1, 4))) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(60, texts[3]), (61, None), (62, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: tuple(r) for r in SD.remove_repeats(docs, 1).collect()}
+    folder, got, cuts = f"file://{tmp_path}/index", {}, [0, 20, 35, 50, 63]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        session = spark.newSession()
+        index = SD.FingerprintIndex(session, 2, folder)
+        frame = session.createDataFrame(rows, "doc_id long, text string")
+        part = index.add(frame.where(f"doc_id >= {a} and doc_id < {b}"), frame.where(f"doc_id < {a}"))
+        got |= {r.doc_id: tuple(r) for r in part.collect()}
+        index.close()
+        if b == 35:
+            broken = SD.FingerprintIndex(spark.newSession(), 2, folder)
+            before = [p for _, p in broken.runs]
+            with pytest.raises(Exception, match="boom"):
+                broken.add(docs.where("doc_id >= 35").withColumn("text", F.raise_error(F.lit("boom")).cast("string")), docs.limit(0))
+            broken.close()
+            assert [p for _, p in SD.FingerprintIndex(spark.newSession(), 2, folder).runs] == before
+    assert got == whole and any(r[2] for r in whole.values())
+    assert SD.FingerprintIndex(spark.newSession(), 2, folder).version >= 4
