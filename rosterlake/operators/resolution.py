@@ -58,7 +58,7 @@ MATCHED_BY = {0: "domain", 1: "slug", 2: "name", 3: "new"}
 #: Key rows that one task replays; more are cut into blocks by row number.
 MAX_REPLAY_KEYS = 200_000
 
-_CLAIMS = "block int, known boolean, id long, at long, rank int, key string"
+_CLAIMS = "block int, known boolean, id long, at long, rank int, key string, outcome boolean"
 
 
 def _replayed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -66,8 +66,9 @@ def _replayed(rows: pd.DataFrame) -> pd.DataFrame:
 
     rows: block, id, rank, key; holder_known, holder_id (null where the key is
     free) and which of domain and slug that holder has.  Returns the rows'
-    outcomes (`at` null) and the block's claims: a key that a company came to
-    hold, or, without a key, a domain or slug that it took for its own.
+    outcomes (`outcome`) and the block's claims: a key that a company came to
+    hold, or, without a key, a domain or slug that it took for its own.  `at`
+    is the row in both.
     """
     Company = tuple[bool, int]
     holder: dict[str, Company] = {}
@@ -88,12 +89,12 @@ def _replayed(rows: pd.DataFrame) -> pd.DataFrame:
             if rank == 2 or (company, rank) not in single:
                 if key not in holder:
                     holder[key] = company
-                    out.append((block, *company, ident, rank, key))
+                    out.append((block, *company, ident, rank, key, False))
                 if rank < 2:
                     single.add((company, rank))
-                    out.append((block, *company, ident, rank, None))
-        out.append((block, *company, None, how, str(ident)))
-    return pd.DataFrame(out, columns=["block", "known", "id", "at", "rank", "key"]).astype({"at": "Int64"})
+                    out.append((block, *company, ident, rank, None, False))
+        out.append((block, *company, ident, how, None, True))
+    return pd.DataFrame(out, columns=["block", "known", "id", "at", "rank", "key", "outcome"])
 
 
 def _first_claims(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +103,7 @@ def _first_claims(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each company takes a domain or slug once in a block, so minima of few rows.
     """
     company = F.struct("known", "id").alias("holder")
-    of = claims.where("at is not null").select("block", "at", "rank", "key", company)
+    of = claims.where("not outcome").select("block", "at", "rank", "key", company)
     keys = of.where("key is not null").groupBy("key").agg(F.min(F.struct("block", "at", "holder")).alias("m")).select("key", F.col("m.block").alias("held_from"), "m.holder")
     first = lambda rank: F.min(F.when(F.col("rank") == rank, F.col("block")))
     own = of.where("key is null").groupBy("holder").agg(first(0).alias("domain_from"), first(1).alias("slug_from"))
@@ -122,7 +123,7 @@ def resolve_by_blocks(keys: DataFrame, block_keys: int = MAX_REPLAY_KEYS) -> Dat
     """
     given = keys.where("node.known")
     # companies that were there come first, in the order of their ids
-    before = given.select(F.lit(-1).alias("block"), "node.known", "node.id", F.col("node.id").alias("at"), "rank", "key")
+    before = given.select(F.lit(-1).alias("block"), "node.known", "node.id", F.col("node.id").alias("at"), "rank", "key", F.lit(False).alias("outcome"))
     before = before.unionByName(before.where("rank < 2").withColumn("key", F.lit(None).cast("string")))
     rows = keys.where("not node.known").select(F.col("node.id").alias("id"), "rank", "key")
     total = rows.count()
@@ -149,7 +150,7 @@ def resolve_by_blocks(keys: DataFrame, block_keys: int = MAX_REPLAY_KEYS) -> Dat
         claims = checkpointed(told.groupBy("block").applyInPandas(_replayed, _CLAIMS))
         if not cuts:
             break
-    return claims.where("at is null").select(F.col("key").cast("long").alias("row_no"), "rank", "known", "id")
+    return claims.where("outcome").select(F.col("at").alias("row_no"), "rank", "known", "id")
 
 
 def resolve(candidates: DataFrame, companies: DataFrame | None = None, aliases: DataFrame | None = None, max_replay_keys: int = MAX_REPLAY_KEYS) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from rosterlake.operators import evidence as X
 from rosterlake.operators import promotion as PR
 from rosterlake.operators import resolution as RS
+from rosterlake.plans import queries as plan_queries
 from rosterlake.sources import tables as TB
 from rosterlake.streaming import archive as ST
 
@@ -107,6 +109,29 @@ def test_resolution_tables(spark):
     assert RS.resolve(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_aliases_of_a_resolution_against_existing_companies(spark, sf):
+    """The registered query against one sequential replay; what joins the outcomes decides in which order Spark filters them."""
+    folder = f"/root/testdata/{sf}"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    rows = [tuple(r) for r in plan_queries._candidates(spark, folder).orderBy("row_no").collect()]
+    existing = [r for r in rows if r[0] % 7 == 0]
+    names = {k: name for k, name, _, _ in rows}
+    key = lambda name: name.lower().removesuffix(" inc.").replace(" ", "")
+    kind = lambda name: "legal" if name.endswith("Inc.") else "dba"
+    keyed = lambda some: [(k, key(name), domain, slug) for k, name, domain, slug in some]
+    found = one_by_one(keyed(r for r in rows if r[0] % 7), keyed(existing), [(k, key(name)) for k, name, _, _ in existing])
+    there, want = {(("id", k), key(name), "legal") for k, name, _, _ in existing}, {}
+    for k, (company, how) in found.items():
+        alias = (company, key(names[k]), kind(names[k]))
+        if how != "failed" and alias not in there:
+            want.setdefault(alias, names[k])
+    got = plan_queries.resolution_aliases(spark, folder).collect()
+    named = lambda r: ("id", r.company_id) if r.company_id is not None else ("row", r.company_row)
+    assert want and len(got) == len(want) and {(named(r), r.key, r.alias_type): r.alias for r in got} == want
+
+
 def test_host_to_company_takes_the_longest_suffix(spark):
     pages = spark.createDataFrame([(1, "https://a.b.c/x"), (2, "https://z.b.c"), (3, "https://q.org"), (4, None)], "page_id long, url string")
     comp = spark.createDataFrame([(7, "b.c"), (8, "a.b.c")], "company_id long, domain string")
