@@ -81,19 +81,26 @@ def search_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", F.array_join(P.result_slugs(body), ",").alias("slugs"))
 
 
-@query("""SELECT s_suppkey + 1 AS parent_id, s_suppkey AS child_id, CASE WHEN s_suppkey % 6 = 2 THEN 'renamed' ELSE 'acquired' END AS kind
-FROM supplier WHERE s_suppkey % 6 < 3 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)""")
+@query("""WITH said AS (SELECT s_suppkey AS k, kind, s_suppkey + step AS n FROM supplier, (VALUES ('acquired', 0), ('acquired', 1), ('acquired', 1), ('acquired', 2), ('acquired', 3), ('renamed', 1), ('renamed', 2)) AS v(kind, step))
+SELECT DISTINCT n AS parent_id, k AS child_id, kind, NULL::VARCHAR AS unresolved FROM said WHERE n <> k AND n IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT NULL, k, kind, 'Firm ' || n FROM said WHERE n NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT NULL, s_suppkey, 'acquired', 'Nobody ' || (s_suppkey + 1) FROM supplier""")
 def note_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes of each company's events: acquirers, a new name, an acquirer nobody knows, and phrases that name no owner."""
+    """Each company has every note: three acquirers, itself and a repeat, two new names, an acquirer nobody knows, and what names no owner."""
     k = F.col("s_suppkey")
-    note = phrase(
-        k, "Was acquired by Firm {n} in 2020.", "Acquired by Firm {n}. Then moved", "since renamed to Firm {n} during 2019", "acquired by Nobody {n}; ended",
-        "now part of the merger of Firm {n}", "building owned by Firm {n}, renamed to Firm {n}", n=k + 1,
-    )
+    notes = [
+        ("acquisition", "Was acquired by Firm {n} in 2020.", 1), ("acquisition", "Acquired by Firm {n}. Then moved", 2), ("acquisition", "later ACQUIRED  by Firm {n}, Inc.", 3),
+        ("acquisition", "acquired by Firm {n}", 0), ("acquisition", "acquired by Firm {n}", 1), ("acquisition", "acquired by Nobody {n}; ended", 1),
+        ("rebrand", "since renamed to Firm {n} during 2019", 1), ("rebrand", "Rebranded as Firm {n} on 1 May", 2),
+        ("acquisition", "now part of the merger of Firm {n}", 4), ("acquisition", "building owned by Firm {n}, renamed to Firm {n}", 4), ("rebrand", "acquired by Firm {n}", 4), ("merger", "acquired by Firm {n}", 4),
+    ]
+    event = lambda hint, note, step: F.struct(F.lit(hint).alias("hint_type"), phrase(k, note, n=k + step).alias("note"))
     s = A.table(spark, sf_dir, "supplier")
     companies = s.select(k.alias("company_id"), F.concat(F.lit("Firm "), k.cast("string"), F.lit(" LLC")).alias("name"))
-    hint = F.when(k % 6 == 2, "rebrand").otherwise("acquisition")
-    return RS.relations(s.select(k.alias("company_id"), hint.alias("hint_type"), note.alias("note")), companies)["edges"]
+    events = s.select(k.alias("company_id"), F.explode(F.array(*(event(*x) for x in notes))).alias("e")).select("company_id", "e.*")
+    got = RS.relations(events, companies)
+    unresolved = got["unresolved"].select(F.lit(None).cast("long").alias("parent_id"), F.col("company_id").alias("child_id"), "kind", F.col("parent_name").alias("unresolved"))
+    return got["edges"].withColumn("unresolved", F.lit(None).cast("string")).unionByName(unresolved)
 
 
 @query("""WITH p AS (SELECT p_partkey AS row_id, p_partkey % 9 AS k, (p_size + 100)::DOUBLE AS n FROM part)

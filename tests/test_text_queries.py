@@ -85,6 +85,17 @@ def test_relations_follow_the_type_of_the_event(spark):
     assert again["edges"].count() == 3
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_note_relations_covers_every_company(spark):
+    """Each supplier has a link or an unresolved name of either kind; nobody is left out by its number."""
+    keys = {r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    rows = text_queries.note_relations(spark, SF).collect()
+    edges = {(r.parent_id, r.child_id, r.kind) for r in rows if r.parent_id is not None}
+    assert edges == {(k + i, k, kind) for k in keys for kind, steps in (("acquired", 3), ("renamed", 2)) for i in range(1, steps + 1) if k + i in keys}
+    missing = {(r.child_id, r.kind, r.unresolved) for r in rows if r.parent_id is None}
+    assert missing == {(k, "acquired", f"Nobody {k + 1}") for k in keys} | {(k, kind, f"Firm {k + i}") for k in keys for kind, steps in (("acquired", 3), ("renamed", 2)) for i in range(1, steps + 1) if k + i not in keys}
+
+
 def test_policy_and_repeats(spark):
     assert X.policy(spark).count() == 12
     rows = [(1, "s", "u", "t", 5), (1, "s", "u", "t", 3), (1, "s", "u", "other", 9)]
