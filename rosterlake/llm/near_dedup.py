@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .membership import maybe_members
-from .storage import drop, slices, written
+from .storage import drop, shuffled, slices, written
 from .textscan import U64, Scan, constants, scan, segment_hash, sorted_unique_by_doc, windows, word_hash
 
 SHINGLE = 5
@@ -263,7 +263,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """classes (id, n_shingles, signature) -> id, grp: groups outside of which no two classes agree in T coordinates."""
     p, q = SIMILARITY
     # below, every other set is further away than SIMILARITY
-    classes = classes.where(F.col("n_shingles") * (q - p) >= p)
+    classes = shuffled(classes.where(F.col("n_shingles") * (q - p) >= p))
     pairs = F.posexplode(F.expr(f"transform(sequence(0, {K - 1}), i -> substring(signature, 4 * i + 1, 4))"))
     posted = classes.select("id", pairs.alias("j", "v")).select("id", F.xxhash64("j", "v").alias("pair"))
     common = posted.groupBy("pair").count().where("count > 1")
@@ -271,8 +271,8 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     # a class's pairs that it alone has come first in the prefix; what is left of the prefix holds its rarest shared pairs
     own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("pairs"))
     left = F.lit(K - T + 1) - (F.lit(K) - F.size("pairs"))
-    prefix = written(own.where(left > 0).select("id", F.explode(F.slice("pairs", F.lit(1), left)).alias("p")).select("id", F.col("p.pair").alias("pair")), "prefix")
-    held = written(prefix.groupBy("pair").agg(F.count("*").alias("held"), F.min("id").alias("head")).where("held > 1"), "postings")
+    prefix = shuffled(written(own.where(left > 0).select("id", F.explode(F.slice("pairs", F.lit(1), left)).alias("p")).select("id", F.col("p.pair").alias("pair")), "prefix"))
+    held = shuffled(written(prefix.groupBy("pair").agg(F.count("*").alias("held"), F.min("id").alias("head")).where("held > 1"), "postings"))
     # the few large postings meet salted rows, so no task gets a whole one
     large = held.where(F.col("held") > POSTING_CHUNK).select("pair", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = prefix.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(large, ["pair", "salt"], "left")
@@ -336,7 +336,7 @@ def remaining_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     open_sets = named.join(main.select("grp", "main"), "grp").withColumn("outside", F.col("component") != F.col("main"))
     open_sets = written(open_sets.select("id", "grp", "n", "set", "outside"), "open")
     tasks = _tasks(with_hubs(open_sets).select("task", "grp", "id", "outside", "hub", "set"), "task")
-    prefix = written(tasks.mapInArrow(_first_members, "grp long, id long, outside boolean, member long"), "prefix")
+    prefix = shuffled(written(tasks.mapInArrow(_first_members, "grp long, id long, outside boolean, member long"), "prefix"))
     heads = prefix.groupBy("grp", "member").agg(F.min("id").alias("head"), F.count("*").alias("held"), F.max("outside").alias("any")).where("any and held > 1")
     finer = components(prefix.join(heads, ["grp", "member"]).select(F.col("head").alias("a"), F.col("id").alias("b")))
     split = open_sets.drop("grp", "n").join(finer.withColumnRenamed("component", "grp"), "id")
@@ -363,7 +363,7 @@ def judged(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # the first row of a class or component: the smallest doc_id, null ids last, then by digest
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     of_key = described.where("key is not null").groupBy("key").agg(F.min(row).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
-    classes = written(of_key.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = shuffled(written(of_key.withColumn("id", F.monotonically_increasing_id()), "classes"))
     groups = candidate_groups(classes.select("id", "n_shingles", "signature"))
     sets = class_sets(docs, classes, groups, size)
     of_class = components(remaining_links(sets, confirmed_links(sets)))

@@ -38,6 +38,19 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for joins that must not broadcast it, nor what is made of it by explodes and aggregates.
+
+    Spark takes a table for as large as its files and an explode for as large
+    as what goes in; ids that compress well, or 48 rows out of one, would pass
+    its threshold and not fit the driver.
+    """
+    out = df.hint("merge")
+    if path := df.__dict__.get("scratch_path"):
+        out.scratch_path = path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by `written` that no later result reads."""
     for df in tables:
