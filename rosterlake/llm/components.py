@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, written
+from .storage import drop, shuffled, written
 
 
 def ordered(edges: DataFrame) -> DataFrame:
@@ -23,18 +23,18 @@ def components(edges: DataFrame) -> DataFrame:
     tables in the shared folder; hot ids are combined on the map side before
     they are shuffled.
     """
-    live, labels = written(ordered(edges), "edges"), None
+    live, labels = shuffled(written(ordered(edges), "edges")), None
     while labels is None or not live.isEmpty():
         ends = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to")), "least")
+        least = shuffled(written(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to")), "least"))
         further = least.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        up = written(least.join(further, "to").select("id", F.col("further").alias("up")), "up")
+        up = shuffled(written(least.join(further, "to").select("id", F.col("further").alias("up")), "up"))
         at = lambda name: up.select(F.col("id").alias(name), F.col("up").alias(f"{name}_up"))  # noqa: E731, B023
-        left = written(ordered(live.join(at("a"), "a").join(at("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))), "edges")
+        left = shuffled(written(ordered(live.join(at("a"), "a").join(at("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))), "edges"))
         if labels is None:
-            after = written(up.withColumnRenamed("up", "component"), "labels")
+            after = shuffled(written(up.withColumnRenamed("up", "component"), "labels"))
         else:
-            after = written(labels.join(at("component"), "component", "left").select("id", F.coalesce("component_up", "component").alias("component")), "labels")
+            after = shuffled(written(labels.join(at("component"), "component", "left").select("id", F.coalesce("component_up", "component").alias("component")), "labels"))
             drop(labels)
         drop(live, least, up)
         live, labels = left, after
