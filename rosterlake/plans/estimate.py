@@ -11,7 +11,7 @@ from rosterlake.config import EstimateConfig, Window
 from rosterlake.operators import confidence as C
 from rosterlake.operators import overrides as O
 from rosterlake.operators import series as S
-from rosterlake.sources.tables import checkpointed
+from rosterlake.sources.tables import checkpointed, shuffled
 
 
 class Estimate:
@@ -19,6 +19,7 @@ class Estimate:
 
     Several steps read segments, counts and placed; as tables these are computed
     once and survive lost executors, and what no result needs is never computed.
+    They compress well, so joins never broadcast them by the size of their files.
     """
 
     def __init__(self, companies: DataFrame, employment: DataFrame, anchors: DataFrame, events: DataFrame, overrides: DataFrame, window: Window, now: Column, config: EstimateConfig) -> None:
@@ -31,15 +32,15 @@ class Estimate:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return checkpointed(S.segments(O.with_events(self.events, self.decoded["events"]), self.companies, self.window))
+        return shuffled(checkpointed(S.segments(O.with_events(self.events, self.decoded["events"]), self.companies, self.window)))
 
     @cached_property
     def counts(self) -> DataFrame:
-        return checkpointed(S.profile_counts(self.employment, self.companies, self.window))
+        return shuffled(checkpointed(S.profile_counts(self.employment, self.companies, self.window)))
 
     @cached_property
     def placed(self) -> DataFrame:
-        return checkpointed(S.anchors_in_segments(O.with_pins(self.anchors, self.decoded["pins"]), self.segments))
+        return shuffled(checkpointed(S.anchors_in_segments(O.with_pins(self.anchors, self.decoded["pins"]), self.segments)))
 
     @cached_property
     def reconciled(self) -> DataFrame:

@@ -38,6 +38,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for joins that must not broadcast it, nor what is made of it by explodes, windows and aggregates.
+
+    Spark takes a table for as large as its files: five million company-months
+    are a few MB of Parquet and hundreds in the driver.
+    """
+    return df.hint("merge")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New snapshot of `old` after `new`, with an action for each row: inserted, refreshed, unchanged, kept.
 
