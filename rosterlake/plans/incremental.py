@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from rosterlake.plans.estimate import Estimate
 from rosterlake.sources.buckets import BucketStore, Conflict
-from rosterlake.sources.tables import checkpointed
+from rosterlake.sources.tables import checkpointed, shuffled
 
+#: Changed companies that are broadcast to pick their inputs, some 30 MB; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 #: Buckets of a new store: a few hundred MB each at a billion company-months.
 BUCKETS = 64
 
@@ -62,8 +64,8 @@ def refresh(e: Estimate, series: BucketStore, prints: BucketStore, buckets: int
     both = now.alias("n").join(prints.read().alias("o"), "company_id", "full")
     action = F.when(F.col("o.fingerprint").isNull(), "new").when(F.col("n.fingerprint").isNull(), "gone").when(F.col("n.fingerprint") != F.col("o.fingerprint"), "changed")
     changed = checkpointed(both.select("company_id", action.alias("action")).where("action is not null"))
-    if not changed.isEmpty():
-        ids = changed.select("company_id")
+    if n := changed.count():
+        ids = changed.select("company_id") if n <= MAX_BROADCAST_IDS else shuffled(changed.select("company_id"))
         series.replace(ids, checkpointed(_only(e, ids).stored))
         prints.replace(ids, now.join(ids, "company_id", "left_semi"))
     return {"stored": series.read(), "changed": changed}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rosterlake.sources.tables import upsert
+from rosterlake.sources.tables import shuffled, upsert
 
 _BUCKET = "_bucket"
 
@@ -106,11 +106,11 @@ class BucketStore:
         return m
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The rows of a version, or of some of its buckets."""
+        """The rows of a version, or of some of its buckets; joins shuffle them, see `tables.shuffled`."""
         m = self.manifest(version)
         if m is None:
             raise FileNotFoundError(self.path)
-        return self._rows(m, m.folders if buckets is None else {b: m.folders[b] for b in buckets if b in m.folders})
+        return shuffled(self._rows(m, m.folders if buckets is None else {b: m.folders[b] for b in buckets if b in m.folders}))
 
     def _rows(self, m: Manifest, folders: dict[int, str]) -> DataFrame:
         if not folders:
