@@ -462,7 +462,7 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT s.company_id, s.month, round(s.value_point, 4) AS value_point, s.method, g.segment_no, g.segment_start, (SELECT count(*) FROM placed p WHERE p.company_id = s.company_id AND p.segment_no = g.segment_no) AS n_anchors, (SELECT count(*) FROM events v WHERE v.company_id = s.company_id AND v.event_month BETWEEN g.segment_start AND g.segment_end) AS n_events, (SELECT count(*) FROM growth w WHERE w.company_id = s.company_id AND w.month = s.month) AS n_growth FROM stored s JOIN segments g USING (company_id, segment_no)", 7, dates=("month", "segment_start")))
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = full(spark, sf_dir)
-    series = TB.checkpointed(e.stored)
+    series = TB.shuffled(TB.checkpointed(e.stored))
     wanted = series.select("company_id", "month")
     all_events = OV.with_events(A.events(spark, sf_dir), OV.decode(A.overrides(spark, sf_dir), now())["events"])
     tree = X.evidence(wanted, series, e.segments, e.placed, all_events, G.growth_series(series))
